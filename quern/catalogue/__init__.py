@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from . import aggregates, graphs, predicates, related, scalars, sets, vectors, windows
+from .base import QUERIES, SQL
+
+__all__ = ["aggregates", "graphs", "predicates", "related", "scalars", "sets", "vectors", "windows"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'F' and o_totalprice > 100000").select("o_orderkey")
+    return related.join_aliased(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

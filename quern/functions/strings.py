@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def make_safe(c: Column) -> Column:
@@ -175,7 +176,7 @@ def similarity(a: str, b: str) -> float:
     return (m.ratio() + 5 * max(blocks) / small + sum(blocks) / small + ends) / 8
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def string_similarity(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in it:
         yield pd.Series([None if x is None or y is None else similarity(x, y) for x, y in zip(a, b)])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def epoch(t: Column) -> Column:
     """A timestamp as epoch seconds with its fraction."""
-    return F.unix_micros(t) / 1e6
+    return F.unix_micros(t.cast("timestamp")) / 1e6
 
 
 def instant(c: Column) -> Column:

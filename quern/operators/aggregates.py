@@ -154,12 +154,12 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     pair = lambda c: c * (c - 1) / 2
     cells = contingency(df, a, b)
     rows, cols = cells.groupBy("cluster").agg(F.sum("n").alias("n")), cells.groupBy("label").agg(F.sum("n").alias("n"))
-    total = cells.agg(F.sum("n").alias("N"))
-    ent = lambda t, x: t.crossJoin(F.broadcast(total)).agg(F.sum(pair(F.col("n"))).alias(f"s{x}"), (-F.sum(F.col("n") / F.col("N") * F.log(F.col("n") / F.col("N")))).alias(f"h{x}"))
+    total = cells.agg(F.sum("n").alias("total"))
+    ent = lambda t, x: t.crossJoin(F.broadcast(total)).agg(F.sum(pair(F.col("n"))).alias(f"s{x}"), (-F.sum(F.col("n") / F.col("total") * F.log(F.col("n") / F.col("total")))).alias(f"h{x}"))
     joint = cells.join(rows.withColumnRenamed("n", "na"), "cluster").join(cols.withColumnRenamed("n", "nb"), "label").crossJoin(F.broadcast(total))
-    mi = joint.agg(F.sum(pair(F.col("n"))).alias("s"), F.sum(F.col("n") / F.col("N") * F.log(F.col("n") * F.col("N") / (F.col("na") * F.col("nb")))).alias("mi"))
+    mi = joint.agg(F.sum(pair(F.col("n"))).alias("s"), F.sum(F.col("n") / F.col("total") * F.log(F.col("n") * F.col("total") / (F.col("na") * F.col("nb")))).alias("mi"))
     one = ent(rows, "a").crossJoin(ent(cols, "b")).crossJoin(mi).crossJoin(total)
-    expected = F.col("sa") * F.col("sb") / pair(F.col("N"))
+    expected = F.col("sa") * F.col("sb") / pair(F.col("total"))
     mean = (F.col("sa") + F.col("sb")) / 2
     return one.select(((F.col("s") - expected) / (mean - expected)).alias("ari"), (F.col("mi") / ((F.col("ha") + F.col("hb")) / 2)).alias("nmi"))
 

@@ -34,7 +34,7 @@ def ancestors(items: DataFrame, key: str, parent: str, most: int = 20) -> DataFr
     reach = items.select(F.col(key).alias("id"), F.col(key).alias("ancestor"), F.lit(0).alias("hops"))
     step = items.where(F.col(parent).isNotNull()).select(F.col(key).alias("id"), F.col(parent).alias("ancestor"), F.lit(1).alias("hops"))
     span = 1
-    while span < most:
+    while span <= most:
         a, b = reach.alias("a"), step.alias("b")
         more = a.join(b, F.col("a.ancestor") == F.col("b.id")).select(F.col("a.id"), F.col("b.ancestor"), (F.col("a.hops") + F.col("b.hops")).alias("hops"))
         reach = reach.union(more)

@@ -149,9 +149,9 @@ def ppmi(pairs: DataFrame, shift: float = 0.0) -> DataFrame:
     """(a, b, ppmi): positive pointwise mutual information of co-occurrence counts, less a shift."""
     row = pairs.groupBy("a").agg(F.sum("n").alias("na"))
     col = pairs.groupBy("b").agg(F.sum("n").alias("nb"))
-    total = pairs.agg(F.sum("n").alias("N"))
+    total = pairs.agg(F.sum("n").alias("total"))
     joint = pairs.join(row, "a").join(col, "b").crossJoin(F.broadcast(total))
-    v = F.log(F.col("n") * F.col("N") / (F.col("na") * F.col("nb"))) - shift
+    v = F.log(F.col("n") * F.col("total") / (F.col("na") * F.col("nb"))) - shift
     return joint.select("a", "b", F.greatest(v, F.lit(0.0)).alias("ppmi")).where("ppmi > 0")
 
 
