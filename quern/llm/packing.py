@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -17,36 +18,79 @@ from pyspark.sql import functions as F
 
 from ._common import binary_text, slices
 
-#: Words whose ids a worker remembers at most, before it starts anew.
-MEMORY = 200_000
+#: Words and pieces whose ids a worker remembers at most, before it starts anew.
+MEMORY = 300_000
+#: Words that are cut into pieces here: visible ASCII and the Latin letters of two blocks, whose lower case is one
+#: letter of the same blocks and which composition leaves alone. All others go through the tokenizer as a whole.
+PLAIN = re.compile(r"[!-~\u00c0-\u012f\u0131-\u017e]*")
+#: The tokenizer's own pattern on those characters in lower case.
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017e]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017e]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """A visible character for each byte, as byte-level tokenizers have it: itself if visible, else the next from 256."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class Words:
-    """Token ids of whole texts. Pieces between ASCII white space are encoded once and remembered, which is exact for
-    a tokenizer that drops white space and never joins across it."""
+    """Token ids of whole texts. Words between ASCII white space are encoded once and remembered, which is exact for
+    a tokenizer that drops white space and never joins across it; plain words are cut into the tokenizer's pieces
+    here, as far more words than pieces are new."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
+        self.binary = [int(i).to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        #: A probe: where pieces don't give the tokenizer's ids, nothing is cut here.
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        probe = ["It's", "WE'LL", "naïve", "a1b22-c***", "Éçê.", "x'd", "don't!'s"]
+        self.cuts = all(self.cut(w) == self.whole([w])[0] for w in probe)
+
+    def whole(self, words: list[str]) -> list[bytes]:
+        return [b"".join(map(self.binary.__getitem__, e.ids)) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def cut(self, word: str) -> bytes:
+        out = []
+        for p in PIECE.findall(word.lower()):
+            if (ids := self.pieces.get(p)) is None:
+                text = p if p.isascii() else "".join(map(self.letters.__getitem__, p.encode()))
+                ids = self.pieces[p] = b"".join([self.binary[t.id] for t in self.model.tokenize(text)])
+            out.append(ids)
+        return out[0] if len(out) == 1 else b"".join(out)
+
+    def learn(self, words: list[str]) -> None:
+        if len(self.known) > MEMORY:
+            self.known.clear()
+        if len(self.pieces) > MEMORY:
+            self.pieces.clear()
+        known, rest, plain, cut = self.known, [], PLAIN.fullmatch, self.cut
+        for w in words:
+            if w not in known:
+                if self.cuts and plain(w) and "<|" not in w:
+                    known[w] = cut(w)
+                else:
+                    rest.append(w)
+        if rest:
+            known.update(zip(rest, self.whole(rest)))
 
     def encode(self, texts: pa.Array, end: int) -> list[np.ndarray]:
         """For each text (a string array without nulls) its ids and `end`, as uint32."""
-        pieces = pc.ascii_split_whitespace(texts)
-        offsets = pieces.offsets.to_numpy().astype(np.int64)
-        flat = pieces.flatten()
+        parted = pc.ascii_split_whitespace(texts)
+        offsets = parted.offsets.to_numpy().astype(np.int64)
+        flat = parted.flatten()
         if not len(flat):
             return [np.array([end], np.uint32) for _ in range(len(texts))]
         coded = flat.dictionary_encode()
         words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        if new := [w for w in words if w not in self.known]:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, np.uint32).tobytes()
-        got = [self.known[w] for w in words]
+        self.learn(words)
+        got = list(map(self.known.__getitem__, words))
         ids = np.frombuffer(b"".join(got), np.uint32)
         sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
         starts = np.cumsum(sizes) - sizes
