@@ -82,7 +82,7 @@ def sensor_files(spark: SparkSession, path: str) -> DataFrame:
 
 def calendar(spark: SparkSession, path: str) -> DataFrame:
     """(uid, summary, start, end): events of iCalendar files that are not cancelled."""
-    text = spark.read.option("wholetext", True).text(path).select(F.regexp_replace("value", r"\r?\n[ \t]", "").alias("v"))
+    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"\r?\n[ \t]", "").alias("v"))
     event = text.select(F.explode(F.regexp_extract_all("v", F.lit(r"(?s)BEGIN:VEVENT(.*?)END:VEVENT"), F.lit(1))).alias("e"))
     line = lambda k: F.regexp_extract("e", rf"(?m)^{k}(?:;[^:\r\n]*)?:([^\r\n]*)", 1)
     when = lambda k: F.coalesce(F.try_to_timestamp(F.regexp_replace(line(k), "Z$", ""), F.lit("yyyyMMdd'T'HHmmss")), F.try_to_timestamp(line(k), F.lit("yyyyMMdd")))
