@@ -1,7 +1,15 @@
-"""Substring dedup by line hashing: the earliest occurrence of each repeated unit stays."""
+"""Substring dedup by unit hashing: the earliest occurrence of each repeated run of units stays.
+
+Units are paragraphs, lines, or the sentences of lines. Passages are pasted into the middle of lines as often as on
+lines of their own, so the default unit is the sentence; a unit also starts at a capitalised word, which lets the
+units of a pasted passage fall into step at its first word. Short units repeat by chance, so a unit is judged together
+with its neighbours until they hold `least_words` words: a window.
+"""
 
 from __future__ import annotations
 
+import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,87 +18,208 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import binary_text, fresh, slices, written
+from ._common import binary_text, fresh, streamed_groups, written
+
+_UPPER = "".join(re.escape(chr(c)) for c in range(min(sys.maxunicode, 0xFFFF)) if chr(c).isupper())
+#: What stands between units of each kind.
+BETWEEN = {
+    "paragraph": re.compile(r"\n[ \t]*\n\s*"),
+    "line": re.compile(r"\s*\n\s*"),
+    "sentence": re.compile(rf"\s*\n\s*|(?<=[.!?])[ \t]+|[ \t]+(?=[{_UPPER}])"),
+}
 
 
-def units(raw: bytes, paragraphs: bool = False) -> list[tuple[int, int]]:
-    """Byte ranges of the lines (paragraphs: runs between blank lines) without their line ends."""
+def units(text: str, kind: str = "sentence") -> list[tuple[int, int]]:
+    """Character ranges of the units, in order, without what stands between them."""
     out, at = [], 0
-    for part in raw.split(b"\n\n" if paragraphs else b"\n"):
-        out.append((at, at + len(part)))
-        at += len(part) + (2 if paragraphs else 1)
+    for m in BETWEEN[kind].finditer(text):
+        if m.start() > at:
+            out.append((at, m.start()))
+        at = m.end()
+    if at < len(text):
+        out.append((at, len(text)))
     return out
 
 
-def normal(unit: bytes) -> bytes:
-    """ASCII letters in lower case, each run of ASCII white space as one space, none at the ends."""
-    return b" ".join(unit.lower().split())
+def windows(text: str, kind: str = "sentence", least_words: int = 8) -> Iterator[tuple[int, int, bytes]]:
+    """(first unit, last unit, normalised words) of the shortest windows that start or end at each unit.
 
+    So every unit of a repeated passage lies in a window within the passage, its short last units too. Words are
+    compared in lower case, white space does not matter; a text of fewer words has no window.
+    """
+    words = [text[a:z].lower().split() for a, z in units(text, kind)]
+    total = [0]
+    for w in words:
+        total.append(total[-1] + len(w))
+    joined = lambda i, j: " ".join([w for u in words[i : j + 1] for w in u]).encode()
+    j, ends = 0, {}
+    for i in range(len(words)):
+        j = max(i, j)
+        while j < len(words) and total[j + 1] - total[i] < least_words:
+            j += 1
+        if j == len(words):
+            break
+        ends[i] = j
+        yield i, j, joined(i, j)
+    i = 0
+    for j, w in enumerate(words):
+        if len(w) < least_words <= total[j + 1]:
+            while total[j + 1] - total[i + 1] >= least_words:
+                i += 1
+            if ends.get(i) != j:
+                yield i, j, joined(i, j)
+
+
+def _dealt(docs: DataFrame, kind: str, least_words: int) -> DataFrame:
+    """(h1, h2, id, mark, loc, gone): every window's 128-bit digest and place; gone: a repeat within the same slice.
+
+    Of equal windows in a slice only the first goes on under its digest, so a window that a third of all documents
+    hold meets as often as there are slices; the rest are repeats already and keep a key of their own.
+    """
 
-def unit_digests(docs: DataFrame, ident: str, text: str, least_words: int, paragraphs: bool) -> DataFrame:
-    """(ident, unit, h1, h2): the 128-bit digest of each normalised unit of at least `least_words` words."""
-    slim = docs.select(F.col(ident).alias("ident"), binary_text(text).alias("raw"))
-    schema = slim.drop("raw").selectExpr("ident", "0 as unit", "0L as h1", "0L as h2").schema
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b, "raw"):
-                rows, at, made = [], [], []
-                for i, v in enumerate(part.column(1)):
-                    raw = v.as_py()
-                    for n, (a, z) in enumerate(units(raw, paragraphs)):
-                        words = raw[a:z].lower().split()
-                        if len(words) >= least_words:
-                            rows.append(i)
-                            at.append(n)
-                            made.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                if rows:
+            ident, mark = (b.column(k).to_numpy() for k in (0, 1))
+            own: list[int] = []
+            loc: list[int] = []
+            made: list[bytes] = []
+            size = 0
+            for r, v in enumerate(b.column(2)):
+                raw = v.as_py()
+                size += len(raw)
+                for i, j, words in windows(raw.decode(), kind, least_words):
+                    own.append(r)
+                    loc.append(i << 24 | j - i)
+                    made.append(xxhash.xxh3_128_digest(words))
+                if own and (size > 4 << 20 or r == b.num_rows - 1):
                     h = np.frombuffer(b"".join(made), np.int64).reshape(-1, 2)
-                    ident_col = part.column(0).take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays([ident_col, pa.array(at, pa.int32()), pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))], schema.names)
-
-    return slim.mapInArrow(digest, schema)
-
-
-def line_dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text", least_words: int = 8, paragraphs: bool = False) -> DataFrame:
-    """docs with `text` less its repeated units, and n_units, n_removed, removed (byte ranges of the original text).
-
-    Units are lines (or paragraphs); those of fewer than `least_words` words are never judged, as short lines repeat
-    by chance. Of each distinct normalised unit the occurrence with the smallest (ident, position) stays everywhere;
-    the others go with their line end. Null ids rank last. Rows that repeat an id are one occurrence and share their
-    fate; a null text stays null; an empty table gives no rows.
-
-    Only digests are grouped: the minimum combines before the shuffle, so a line that a third of all documents hold
-    costs a row per task; occurrences find the minimum by an equi-join that adaptive execution splits when hot.
+                    row, place = np.array(own), np.array(loc)
+                    order = np.lexsort((place, ident[row], h[:, 1], h[:, 0]))
+                    h, i, m, s = h[order], ident[row][order], mark[row][order], place[order]
+                    new = np.ones(len(order), bool)
+                    new[1:] = (h[1:] != h[:-1]).any(axis=1)
+                    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+                    gone = (i != i[first]) | (s != s[first])
+                    start = np.where(gone & (i == i[first]) & (m == m[first]), after(s[first]), -1)
+                    alone = (i.view(np.uint64) * np.uint64(0xD1342543DE82EF95) + s.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.where(gone, alone.view(np.int64), h[:, 0]), h[:, 1].copy(), i, m, clipped(s, start), gone)], ["h1", "h2", "id", "mark", "loc", "gone"])
+                    own, loc, made, size = [], [], [], 0
+
+    return docs.mapInArrow(spread, "h1 long, h2 long, id long, mark long, loc long, gone boolean")
+
+
+def after(loc: np.ndarray) -> np.ndarray:
+    """The unit behind a window."""
+    return (loc >> 24) + (loc & 0xFFFFFF) + 1
+
+
+def clipped(loc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Windows without the units before `start`; a window that is used up becomes empty (last unit before first)."""
+    first, last = loc >> 24, (loc >> 24) + (loc & 0xFFFFFF)
+    first = np.maximum(first, start)
+    return np.where(first > last, -1, first << 24 | np.maximum(last - first, 0))
+
+
+def repeats(docs: DataFrame, kind: str, least_words: int) -> DataFrame:
+    """(id, mark, loc): windows, less what they share with the occurrence that stays, of which an earlier one exists."""
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in streamed_groups(batches, ["h1", "h2"]):
+            n = len(g["h1"])
+            new = np.zeros(n, bool)
+            new[g["starts"]] = True
+            first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            i, m, s, known = g["id"], g["mark"], g["loc"], g["gone"].astype(bool)
+            found = ~known & ((i != i[first]) | (s != s[first]))
+            start = np.where(found & (i == i[first]) & (m == m[first]), after(s[first]), -1)
+            loc = np.where(known, s, clipped(s, start))
+            keep = (known | found) & (loc >= 0)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (i, m, loc)], ["id", "mark", "loc"])
+
+    rows = _dealt(docs, kind, least_words)
+    return rows.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "id", "loc").mapInArrow(settle, "id long, mark long, loc long")
+
+
+def cut(text: str, own: list[tuple[int, int]], bad: np.ndarray) -> tuple[str, list[tuple[int, int]]]:
+    """The text without its bad units, and the character ranges removed. A run that starts a line takes the line end
+    behind it along, any other only the blanks."""
+    spans: list[tuple[int, int]] = []
+    at = np.flatnonzero(bad)
+    for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else []:
+        a, z = own[run[0]][0], own[run[-1]][1]
+        to = own[run[-1] + 1][0] if run[-1] + 1 < len(own) else len(text)
+        if not run[0] or "\n" in text[own[run[0] - 1][1] : a]:
+            z = to
+        else:
+            while z < to and text[z] in " \t":
+                z += 1
+        spans.append((a, z))
+    kept, at_ = [], 0
+    for a, z in spans:
+        kept.append(text[at_:a])
+        at_ = z
+    return "".join([*kept, text[at_:]]), spans
+
+
+def line_dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text", kind: str = "sentence", least_words: int = 8) -> DataFrame:
+    """docs with `text` less its repeated units, and n_units, n_removed, removed (character ranges of the original).
+
+    Every window's digest is grouped globally; the occurrence with the smallest (ident, position) stays everywhere and
+    the units of all others go, but for those they share with the one that stays. Null ids rank last; of rows that
+    repeat an id, equal texts are one occurrence and share their fate, other texts rank by position. A null text stays
+    null; a text of fewer than `least_words` words is never touched; an empty table gives no rows.
+
+    The digests cross the network once, sorted; the text once, to meet what to remove.
     """
-    found = written(unit_digests(docs, ident, text, least_words, paragraphs), "units")
-    rank = F.struct(F.col("ident").isNull().alias("last"), F.col("ident").alias("ident"), F.col("unit").alias("unit"))
-    first = found.groupBy("h1", "h2").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    gone = found.join(first, ["h1", "h2"]).where(~F.col("first").eqNullSafe(rank))
-    gone = gone.groupBy("ident").agg(F.sort_array(F.collect_set("unit")).alias("gone"))
-
-    n_units, n_removed, removed, key, drop = fresh(docs, "n_units", "n_removed", "removed", "key_", "gone_")
-    both = docs.join(gone.select(F.col("ident").alias(key), F.col("gone").alias(drop)), F.col(ident).eqNullSafe(F.col(key)), "left").drop(key)
+    n_units, n_removed, removed, key, mark, gone = fresh(docs, "n_units", "n_removed", "removed", "key_", "mark_", "gone_")
+    rank = F.coalesce(F.col(ident).cast("long"), F.lit(2**63 - 1))
+    slim = docs.select(rank.alias("id"), F.xxhash64(text).alias("mark"), binary_text(text).alias("raw"))
+    found = written(repeats(slim, kind, least_words).groupBy("id", "mark").agg(F.collect_list("loc").alias("gone")), "windows")
+    found = found.select(F.col("id").alias(key), F.col("mark").alias(mark), F.col("gone").alias(gone))
+    both = docs.withColumn(key, rank).withColumn(mark, F.xxhash64(text)).join(found, [key, mark], "left").select(*docs.columns, gone)
     schema = docs.withColumn(n_units, F.lit(0)).withColumn(n_removed, F.lit(0)).withColumn(removed, F.expr("array(named_struct('start', 0L, 'end', 0L))")).schema
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    at_text, names = docs.columns.index(text), schema.names
+    at_text, names, width = docs.columns.index(text), schema.names, len(docs.columns)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, counts, gones, spans = [], [], [], []
-            for v, d in zip(b.column(at_text), b.column(len(names) - 3)):
-                raw, bad = v.as_py(), d.as_py() or []
-                own = units((raw or "").encode(), paragraphs)
-                counts.append(len(own))
-                gones.append(len(bad))
-                if bad:
-                    data, keep = raw.encode(), set(range(len(own))) - set(bad)
-                    sep = b"\n\n" if paragraphs else b"\n"
-                    raw = sep.join(data[own[i][0] : own[i][1]] for i in sorted(keep)).decode()
+            texts, counts, removed_, spans = [], [], [], []
+            for v, d in zip(b.column(at_text), b.column(width)):
+                raw = v.as_py()
+                own = units(raw or "", kind)
+                ranges: list[tuple[int, int]] = []
+                bad = np.zeros(len(own), bool)
+                if d.is_valid:
+                    loc = d.values.to_numpy()
+                    step = np.zeros(len(own) + 1, np.int64)
+                    np.add.at(step, loc >> 24, 1)
+                    np.add.at(step, after(loc), -1)
+                    bad = np.cumsum(step[:-1]) > 0
+                    raw, ranges = cut(raw, own, bad)
                 texts.append(raw)
-                spans.append([{"start": own[i][0], "end": own[i][1]} for i in bad])
-            cols = [*b.columns[: len(names) - 3], pa.array(counts, pa.int32()), pa.array(gones, pa.int32()), pa.array(spans, spans_type)]
+                counts.append(len(own))
+                removed_.append(int(bad.sum()))
+                spans.append([{"start": a, "end": z} for a, z in ranges])
+            cols = [*b.columns[:width], pa.array(counts, pa.int32()), pa.array(removed_, pa.int32()), pa.array(spans, spans_type)]
             cols[at_text] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return both.mapInArrow(cut, schema)
+    return both.mapInArrow(apply, schema)
+
+
+def brute_force(texts: list[tuple[int, str]], kind: str = "sentence", least_words: int = 8) -> dict[int, str]:
+    """What line_dedup() must keep, for distinct ids."""
+    seen: dict[bytes, tuple[int, int]] = {}
+    out = {}
+    for ident, text in sorted(texts):
+        own = units(text, kind)
+        bad = np.zeros(len(own), bool)
+        for i, j, words in windows(text, kind, least_words):
+            if words in seen:
+                first, last = seen[words]
+                bad[max(i, last + 1) if first == ident else i : j + 1] = True
+            else:
+                seen[words] = (ident, j)
+        out[ident] = cut(text, own, bad)[0]
+    return out

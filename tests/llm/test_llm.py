@@ -171,17 +171,53 @@ def test_suffix_dedup_odd(odd, none):
     assert suffix_dedup.dedup(none).count() == 0
 
 
-def test_line_dedup(spark, odd, none):
-    a, b = "one two three four five six seven eight", "it is short"
-    rows = [(1, f"{a}\n{b}\nlast line of the first document is here now", "s"), (2, f"{b}\n  ONE two three  four five six seven eight \nnew", "s"), (3, f"{a}\n{a}", "s"), (4, a, "s"), (5, None, "s")]
-    got = {r["doc_id"]: r for r in line_dedup.line_dedup(docs(spark, rows)).collect()}
-    assert got[1]["n_removed"] == 0 and got[2]["text"] == f"{b}\nnew" and got[3]["text"] == "" and got[4]["text"] == "" and got[5]["text"] is None
-    raw = rows[1][1].encode()
-    assert [raw[s["start"] : s["end"]].decode() for s in got[2]["removed"]] == ["  ONE two three  four five six seven eight "]
-    p = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs(spark, [(1, "a b\nc d\n\ne", "s"), (2, "x\n\nA  b\nc d", "s")]), least_words=1, paragraphs=True).collect()}
-    assert p == {1: "a b\nc d\n\ne", 2: "x"}
+def test_units():
+    text = "Some words here. More of it\nnext line And Capital? yes\n\nEnd"
+    assert [text[a:z] for a, z in line_dedup.units(text)] == ["Some words here.", "More of it", "next line", "And", "Capital?", "yes", "End"]
+    assert [text[a:z] for a, z in line_dedup.units(text, "line")] == ["Some words here. More of it", "next line And Capital? yes", "End"]
+    assert [text[a:z] for a, z in line_dedup.units(text, "paragraph")] == ["Some words here. More of it\nnext line And Capital? yes", "End"]
+    got = [(i, j) for i, j, _ in line_dedup.windows(text, least_words=5)]
+    assert got == [(0, 1), (1, 2), (2, 5), (1, 3), (1, 4), (2, 6)] and not list(line_dedup.windows("too few words"))
+
+
+@pytest.mark.parametrize("kind", ["sentence", "line", "paragraph"])
+def test_line_dedup_against_brute_force(spark, kind):
+    rng = np.random.default_rng(11)
+    words = [w for i in range(40) for w in (f"w{i}", f"W{i}", f"w{i}.")]
+    passages = [" ".join(words[k] for k in rng.integers(0, 120, 30)) for _ in range(6)]
+    rows = []
+    for i in range(150):
+        parts = []
+        for _ in range(rng.integers(1, 6)):
+            parts.append(" ".join(words[k] for k in rng.integers(0, 120, rng.integers(0, 25))))
+            if rng.random() < 0.4:
+                parts.append(passages[rng.integers(0, 6)])
+            parts.append(["\n", " ", "\n\n"][rng.integers(0, 3)])
+        rows.append((i, "".join(p + " " if p.strip() else p for p in parts)))
+    rows += [(900, "ther " * 300), (901, "Ther " * 300), (902, ""), (903, rows[3][1]), (904, rows[3][1].upper())]
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(docs(spark, [(i, t, "s") for i, t in rows]), kind=kind).collect()}
+    want = line_dedup.brute_force(rows, kind)
+    assert {i: r["text"] for i, r in got.items()} == want
+    for i, t in rows:
+        kept, at = [], 0
+        for s in got[i]["removed"]:
+            kept.append(t[at : s["start"]])
+            at = s["end"]
+        assert "".join([*kept, t[at:]]) == want[i]
+    assert got[903]["n_removed"] > 0
+
+
+def test_line_dedup_cuts_passages_inside_lines(spark):
+    passage = "Here stands a passage of words. It goes on for a while and then some more. It ends."
+    rows = [(1, f"start of one {passage} rest of one", "s"), (2, f"another beginning {passage} another end\nlast", "s"), (3, f"first\n{passage}\nlast", "s")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "another beginning another end\nlast", 3: "first\nlast"}
+
+
+def test_line_dedup_odd(odd, none):
     out = line_dedup.line_dedup(odd).collect()
-    assert len(out) == odd.count() and {r["text"] for r in out if r["doc_id"] is None} == {""} and line_dedup.line_dedup(none).count() == 0
+    by = {r["doc_id"]: r for r in out}
+    assert len(out) == odd.count() and by[1]["n_removed"] == 0 and by[None]["text"] == "" and by[2]["text"] is None and by[5]["text"].endswith("tail") and line_dedup.line_dedup(none).count() == 0
 
 
 # --- 4 ------------------------------------------------------------------------------------------------------------
