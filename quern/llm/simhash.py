@@ -42,29 +42,52 @@ def _ones(hashes: np.ndarray) -> np.ndarray:
     return total
 
 
-def fingerprint(raw: bytes, words: int = 4, seed: int = 42) -> int:
-    """Bit i is 1 if it is set in over half the shingle hashes; no words: 0."""
-    total, n = np.zeros(BITS, np.int64), 0
-    for part in shingle_hashes(raw, words, seed):
-        total += _ones(part)
-        n += len(part)
-    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
-
-
-def fingerprints(docs: DataFrame, text: str = "text", words: int = 4, seed: int = 42, name: str = "fp") -> DataFrame:
-    """docs without `text`, with the 64-bit fingerprint as a signed long. Null text counts as empty: fingerprint 0."""
+#: A family of fingerprints: words per shingle and a salt; without one the bits are those of XXH64 itself.
+Family = tuple[int, int | None]
+#: The fingerprint of the contract alone.
+PLAIN: tuple[Family, ...] = ((4, None),)
+#: With more fingerprints of other random bits. Documents whose five-word shingles agree to 0.8 differ in about 8 of 64
+#: bits at four words but in about 5 at two, where unrelated ones still differ in 13 or more; each further fingerprint
+#: is another draw, and a pair that any of them brings within the radius is linked.
+WIDE: tuple[Family, ...] = ((4, None), *((2, salt) for salt in range(1, 6)))
+
+
+def _salted(hashes: np.ndarray, salt: int | None) -> np.ndarray:
+    if salt is None:
+        return hashes
+    x = hashes * np.uint64((2 * salt + 1) * 0x9E3779B97F4A7C15 % 2**64 | 1)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def fingerprint(raw: bytes, families: tuple[Family, ...] = PLAIN, seed: int = 42) -> list[int]:
+    """Per family: bit i is 1 if it is set in over half the shingle hashes; no words: 0."""
+    total, n = np.zeros((len(families), BITS), np.int64), dict.fromkeys((w for w, _ in families), 0)
+    for words in n:
+        for part in shingle_hashes(raw, words, seed):
+            n[words] += len(part)
+            for k, (w, salt) in enumerate(families):
+                if w == words:
+                    total[k] += _ones(_salted(part, salt))
+    return [int.from_bytes(np.packbits(2 * t > n[w]).tobytes(), "big") for t, (w, _) in zip(total, families)]
+
+
+def fingerprints(docs: DataFrame, text: str = "text", families: tuple[Family, ...] = PLAIN, seed: int = 42, names: list[str] | None = None) -> DataFrame:
+    """docs without `text`, with a 64-bit fingerprint per family as signed longs. Null text counts as empty: all 0."""
     rest = [c for c in docs.columns if c != text]
+    names = names or [f"fp{k}" for k in range(len(families))]
     (raw,) = fresh(docs, "raw")
     slim = docs.select(*rest, binary_text(text).alias(raw))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b, raw):
-                fps = [fingerprint(v.as_py(), words, seed) for v in part.column(len(rest))]
-                fps = np.array(fps, np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], pa.array(fps)], [*rest, name])
+                fps = np.array([fingerprint(v.as_py(), families, seed) for v in part.column(len(rest))], np.uint64).view(np.int64)
+                cols = [pa.array(np.ascontiguousarray(fps[:, k])) for k in range(len(families))] if len(fps) else [pa.array([], pa.int64())] * len(families)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], *cols], [*rest, *names])
 
-    return slim.mapInArrow(add, slim.drop(raw).withColumn(name, F.lit(0).cast("long")).schema)
+    return slim.mapInArrow(add, slim.drop(raw).select("*", *[F.lit(0).cast("long").alias(n) for n in names]).schema)
 
 
 def covering_masks(radius: int, bits: int = BITS, seed: int = 11) -> list[int]:
@@ -101,42 +124,42 @@ def spanning(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndar
                 front, pool = np.concatenate([front, got]), pool[~near]
 
 
-def links(distinct: DataFrame, radius: int = 4, fp: str = "fp", dense: int = 20_000) -> DataFrame:
-    """(u, v): links that connect the distinct fingerprints exactly as all pairs within `radius` bits would.
+def links(distinct: DataFrame, radius: int = 4, dense: int = 20_000) -> DataFrame:
+    """(family, u, v): links that connect the distinct (family, fp) of each family exactly as all pairs within
+    `radius` bits would.
 
     Every fingerprint goes to one bucket per covering mask. A bucket of over `dense` fingerprints is split again by
     a second family of covering masks over its free bits, which keeps the guarantee; a bucket still that large lies
     in a small ball, where breadth-first linking takes about one pass.
     """
     masks, second = covering_masks(radius), covering_masks(radius, seed=12)
-    col = F.col(fp)
-    keyed = distinct.select(
-        col,
-        F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.xxhash64(F.lit(t), col.bitwiseAND(F.lit(_signed(m)))).alias("k")) for t, m in enumerate(masks)])).alias("b"),
-    ).select(col.alias("fp"), "b.t", "b.k")
+    each = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("m")) for t, m in enumerate(masks)])
+    keyed = distinct.select("family", "fp", F.explode(each).alias("b")).select(F.xxhash64("family", "b.t", "b.m").alias("k"), "fp", (F.col("family") * len(masks) + F.col("b.t")).cast("int").alias("t"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in streamed_groups(batches, ["k"]):
             f, s = g["fp"].view(np.uint64), g["starts"]
             ends = np.append(s[1:], len(f))
             many = np.flatnonzero(ends - s > 1)
-            us, vs = [], []
+            fs, us, vs = [], [], []
             for a, z in zip(s[many], ends[many]):
-                own = f[a:z]
+                own, (family, t) = f[a:z], divmod(int(g["t"][a]), len(masks))
                 if z - a == 2:
                     if int(own[0] ^ own[1]).bit_count() <= radius:
+                        fs.append(np.full(1, family))
                         us.append(own[:1])
                         vs.append(own[1:])
                     continue
-                for part in _parts(own, int(g["t"][a]), masks, second, dense):
+                for part in _parts(own, t, masks, second, dense):
                     for u, v in spanning(part, radius):
+                        fs.append(np.full(len(u), family))
                         us.append(u)
                         vs.append(v)
             if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (us, vs)], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(fs).astype(np.int32)), *[pa.array(np.concatenate(x).view(np.int64)) for x in (us, vs)]], ["family", "u", "v"])
 
     bucketed = keyed.repartition("k").sortWithinPartitions("k", "fp")
-    return bucketed.mapInArrow(split, "u long, v long").distinct()
+    return bucketed.mapInArrow(split, "family int, u long, v long").distinct()
 
 
 def _parts(own: np.ndarray, t: int, masks: list[int], second: list[int], dense: int) -> Iterator[np.ndarray]:
@@ -154,35 +177,47 @@ def _parts(own: np.ndarray, t: int, masks: list[int], second: list[int], dense:
                 yield part
 
 
-def classes(fps: DataFrame, ident: str = "doc_id", fp: str = "fp", radius: int = 4) -> DataFrame:
-    """(fp, component_id): for each distinct fingerprint the smallest non-null `ident` of its component."""
-    distinct = written(fps.groupBy(fp).agg(F.min(ident).alias("least")), "fps")
-    comp = components(links(distinct.select(fp), radius, fp)).withColumnRenamed("node", fp)
-    known = distinct.join(comp, fp, "left").select(fp, "least", F.coalesce("component", F.col(fp)).alias("component"))
-    known = written(known, "classes")
+def classes(fps: DataFrame, ident: str, names: list[str], radius: int = 4) -> DataFrame:
+    """(names, component_id): for each distinct row of fingerprints the smallest non-null `ident` of its component.
+
+    Rows are linked if they share a fingerprint of any family or have two within the radius. In the graph a row is a
+    node, and so is a fingerprint that several rows share or that a link names; others lead nowhere and stay out.
+    """
+    rows = written(fps.groupBy(*names).agg(F.min(ident).alias("least")).withColumn("node", F.xxhash64(F.lit(-1), *names)), "rows")
+    long = rows.select("node", F.explode(F.array(*[F.struct(F.lit(k).alias("family"), F.col(n).alias("fp")) for k, n in enumerate(names)])).alias("e")).select("node", "e.family", "e.fp")
+    distinct = long.groupBy("family", "fp").agg(F.count("*").alias("n"))
+    found = written(links(distinct.select("family", "fp"), radius), "links")
+    hub = lambda c: F.xxhash64(F.col("family"), F.col(c))
+    between = found.select(hub("u").alias("u"), hub("v").alias("v"))
+    hubs = between.select(F.col("u").alias("h")).union(between.select("v")).union(distinct.where("n > 1").select(hub("fp"))).distinct()
+    spokes = long.select("node", hub("fp").alias("h")).join(hubs, "h").select(F.col("node").alias("u"), F.col("h").alias("v"))
+    comp = components(between.union(spokes))
+    known = written(rows.join(comp, "node", "left").select(*names, "least", F.coalesce("component", "node").alias("component")), "classes")
     least = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    return known.join(least, "component").select(fp, "component_id")
+    return known.join(least, "component").select(*names, "component_id")
 
 
-def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
-    """(ident, fingerprint, component_id), one row per document.
+def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text", families: tuple[Family, ...] = PLAIN, radius: int = 4) -> DataFrame:
+    """(ident, fingerprint, component_id), one row per document; fingerprint is the first family's.
 
-    Exact copies share a fingerprint and meet as one row before any bucket is formed; fingerprints within `radius`
-    differing bits link. Null and blank texts have fingerprint 0 and link like any other. A null `ident` never names a
-    component unless all of the component is null. Repeated rows stay repeated. An empty table gives no rows.
+    Exact copies share all fingerprints and meet as one row before any bucket is formed; documents link if a family's
+    fingerprints differ in at most `radius` bits. Null and blank texts have fingerprint 0 and link like any other. A
+    null `ident` never names a component unless all of the component is null. Repeated rows stay repeated. An empty
+    table gives no rows.
     """
-    fps = written(fingerprints(docs.select(F.col(ident).alias("ident"), F.col(text).alias("text")), words=words), "fingerprints")
-    out = fps.join(classes(fps, "ident", radius=radius), "fp")
-    return out.select(F.col("ident").alias(ident), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    names = [f"fp{k}" for k in range(len(families))]
+    fps = written(fingerprints(docs.select(F.col(ident).alias("ident"), F.col(text).alias("text")), families=families, names=names), "fingerprints")
+    out = fps.join(classes(fps, "ident", names, radius), names)
+    return out.select(F.col("ident").alias(ident), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, ident: str = "doc_id", text: str = "text", **how) -> DataFrame:
+def keep_one(docs: DataFrame, ident: str = "doc_id", text: str = "text", families: tuple[Family, ...] = WIDE, **how) -> DataFrame:
     """docs with one document of each near-duplicate class: the one with the smallest `ident`.
 
     Copies that repeat that `ident` itself stay only once; documents without an `ident` are kept as they are.
     """
     (keep,) = fresh(docs, "keep")
-    kept = near_duplicates(docs.where(F.col(ident).isNotNull()), ident, text, **how)
+    kept = near_duplicates(docs.where(F.col(ident).isNotNull()), ident, text, families, **how)
     kept = kept.where(F.col(ident) == F.col("component_id")).select(F.col(ident).alias(keep)).distinct()
     first = docs.where(F.col(ident).isNotNull()).join(kept, F.col(ident) == F.col(keep), "left_semi")
     return first.dropDuplicates([ident]).unionByName(docs.where(F.col(ident).isNull()))

@@ -195,7 +195,7 @@ def test_line_dedup_against_brute_force(spark, kind):
             parts.append(["\n", " ", "\n\n"][rng.integers(0, 3)])
         rows.append((i, "".join(p + " " if p.strip() else p for p in parts)))
     rows += [(900, "ther " * 300), (901, "Ther " * 300), (902, ""), (903, rows[3][1]), (904, rows[3][1].upper())]
-    got = {r["doc_id"]: r for r in line_dedup.line_dedup(docs(spark, [(i, t, "s") for i, t in rows]), kind=kind).collect()}
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(docs(spark, [(i, t, "s") for i, t in rows]), kind=kind, least_words=8).collect()}
     want = line_dedup.brute_force(rows, kind)
     assert {i: r["text"] for i, r in got.items()} == want
     for i, t in rows:
@@ -210,12 +210,12 @@ def test_line_dedup_against_brute_force(spark, kind):
 def test_line_dedup_cuts_passages_inside_lines(spark):
     passage = "Here stands a passage of words. It goes on for a while and then some more. It ends."
     rows = [(1, f"start of one {passage} rest of one", "s"), (2, f"another beginning {passage} another end\nlast", "s"), (3, f"first\n{passage}\nlast", "s")]
-    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs(spark, rows)).collect()}
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs(spark, rows), least_words=8).collect()}
     assert got == {1: rows[0][1], 2: "another beginning another end\nlast", 3: "first\nlast"}
 
 
 def test_line_dedup_odd(odd, none):
-    out = line_dedup.line_dedup(odd).collect()
+    out = line_dedup.line_dedup(odd, least_words=8).collect()
     by = {r["doc_id"]: r for r in out}
     assert len(out) == odd.count() and by[1]["n_removed"] == 0 and by[None]["text"] == "" and by[2]["text"] is None and by[5]["text"].endswith("tail") and line_dedup.line_dedup(none).count() == 0
 
@@ -230,6 +230,25 @@ def slow_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def slow_family(text, words, salt):
+    w = (text or "").encode().lower().split()
+    h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), seed=42) for i in range(max(1, len(w) - words + 1))] if w else []
+    h = [int(simhash._salted(np.array([x], np.uint64), salt)[0]) for x in h]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_families():
+    for text in ("", "one", "a b c", "the quick brown Fox jumps over\tthe lazy dog " * 5):
+        assert simhash.fingerprint(text.encode(), simhash.WIDE) == [slow_family(text, *f) for f in simhash.WIDE]
+
+
+def test_linked_by_any_family(spark):
+    rows = [(1, 0, 0), (2, 0, 0xFFFF << 20), (3, 0xFFFF, (0xFFFF << 20) | 3), (4, 0xFFFF << 32, 0xFF << 40), (5, 0xFF << 8, 0xFF << 50)]
+    df = spark.createDataFrame(rows, "ident long, a long, b long")
+    got = {(r["a"], r["b"]): r["component_id"] for r in simhash.classes(df, "ident", ["a", "b"]).collect()}
+    assert [got[r[1:]] for r in rows] == [1, 1, 1, 4, 5]
+
+
 def union_find(n, links):
     up = list(range(n))
 
@@ -262,8 +281,8 @@ def test_links_join_what_pairs_would(spark, dense):
         for _ in range(20):
             fps.add(int(s) ^ sum(1 << int(i) for i in rng.choice(64, rng.integers(0, 5), replace=False)))
     fps = sorted(fps)
-    df = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
-    got = {r["node"]: r["component"] for r in components(simhash.links(df, 4, dense=dense)).collect()}
+    df = spark.createDataFrame([(0, simhash._signed(f)) for f in fps], "family int, fp long")
+    got = {r["node"]: r["component"] for r in components(simhash.links(df, 4, dense=dense).select("u", "v")).collect()}
     pairs = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
     roots = union_find(len(fps), pairs)
     ours = [got.get(simhash._signed(f), simhash._signed(f)) for f in fps]
@@ -292,8 +311,10 @@ def test_near_duplicates(spark, odd, none):
     assert [got[i][0] for i, _, _ in rows] == [f"{f:016x}" for f in fps]
     roots = union_find(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
     assert [got[r[0]][1] for r in rows] == roots
-    kept = simhash.keep_one(docs(spark, rows)).select("doc_id").collect()
+    kept = simhash.keep_one(docs(spark, rows), families=simhash.PLAIN).select("doc_id").collect()
     assert sorted(r[0] for r in kept) == sorted(set(roots))
+    wide = simhash.keep_one(docs(spark, rows)).select("doc_id").collect()
+    assert {r[0] for r in wide} <= set(roots) and len(wide) <= 62 and all(any(r[0] // 3 == k for r in wide) for k in range(60))
     out = simhash.near_duplicates(odd).collect()
     zero = {r["component_id"] for r in out if r["fingerprint"] == "0" * 16}
     assert len(out) == odd.count() and zero == {2} and {r["component_id"] for r in out if r["doc_id"] in (1, None)} == {1}
@@ -501,7 +522,7 @@ def test_pipeline(spark, tmp_path):
 
     rng = np.random.default_rng(12)
     words = [f"term{i}" for i in range(300)]
-    line = "this passage stands in many documents and should stay only once"
+    line = "this passage stands in many documents and should stay only once, " * 2 + "being long enough to count"
     rows, labels = [], []
     for i in range(120):
         text = "\n".join(" ".join(words[k] for k in rng.integers(0, 300, 30)) for _ in range(3))
