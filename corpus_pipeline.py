@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import line_dedup, mixing, packing, simhash, toxicity
-from quern.llm._common import table, written
+from quern.llm._common import WORD, fresh, table, written
 from quern.llm.queries import word_bpe
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the trained model scores under 0.5."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, name="toxic_score").where("toxic_score < 0.5").select(*docs.columns)
+    (score,) = fresh(docs, "score")
+    return toxicity.score(docs, model, name=score).where(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +27,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less the lines that an earlier one has; a document that loses every line goes."""
-    out = line_dedup.line_dedup(docs).where("n_removed = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
-    return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Documents less the passages that an earlier one has; a document that loses all of its text goes."""
+    _, gone, _ = fresh(docs, "n_units", "n_removed", "removed")
+    cut = F.coalesce(F.col(gone) > 0, F.lit(False))
+    out = line_dedup.line_dedup(docs).where(~cut | F.col("text").rlike(WORD))
+    return out.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,12 +25,15 @@ SCOPES = frozenset("ul ol dl table body html article main section".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 #: Words of class and id that name what is not the article.
 NOISE = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adbox adslot banner banners breadcrumb breadcrumbs comment comments commentlist "
-    "consent cookie cookies disclaimer disqus footer gdpr login masthead menu menus modal nav navbar navigation navi newsletter notice notices notification overlay "
-    "paywall popup promo promos promotion promoted recommended related replies respond search share sharing sidebar sidebars signup skyscraper social "
-    "sponsor sponsored sponsors subscribe subscription tags toolbar topbar widget widgets".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adbox adslot alert alerts announcement aside banner banners breadcrumb breadcrumbs "
+    "colophon comment comments commentlist consent cookie cookies copyright disclaimer disqus feedback footer footers gdpr leaderboard login masthead menu menus "
+    "modal nav navbar navigation navi newsletter notice notices notification notifications outbrain overlay pager pagination paywall popup promo promos "
+    "promotion promoted recommended related replies respond search share sharing sidebar sidebars signup sitemap skyscraper social sponsor sponsored sponsors "
+    "subnav subscribe subscription taboola tags toast toolbar topbar widget widgets".split()
 )
 MAIN = frozenset("article main".split())
+#: Skipped elements that an article inside shows to be unclosed, or to wrap the whole page.
+RESUME = frozenset("nav header footer form".split())
 #: Those that noise words never remove.
 WHOLE = frozenset("html body article main".split())
 SPLIT = re.compile(r"[^a-z0-9]+")
@@ -40,8 +43,9 @@ CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 class _Lines(HTMLParser):
     """Turns events into lines: the text of one block each, with its tags, link text and enclosing elements."""
 
-    def __init__(self) -> None:
+    def __init__(self, skip: frozenset[str] = SKIP) -> None:
         super().__init__(convert_charrefs=True)
+        self.skip = skip
         #: (tag, node, skipped, in the article)
         self.stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
         #: The parent of each element, and whether it is an article or main.
@@ -66,7 +70,7 @@ class _Lines(HTMLParser):
         return not NOISE.isdisjoint(known) or not article and "header" in known
 
     def removed(self, tag: str, attrs: list[tuple[str, str | None]], article: bool) -> bool:
-        if tag in SKIP or tag == "header" and not article:
+        if tag in self.skip or tag == "header" and not article:
             return True
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true":
@@ -121,6 +125,8 @@ class _Lines(HTMLParser):
         self.parents.append(node)
         self.mains.append(article and not self.stack[-1][3])
         self.links = 0 if tag not in INLINE else self.links
+        if above and tag in MAIN and next(x[0] for x in self.stack if x[2]) in RESUME:
+            above = False
         self.stack.append((tag, len(self.parents) - 1, above or skip, article))
 
     def handle_endtag(self, tag: str) -> None:
@@ -178,13 +184,18 @@ def blocks(html: str | None) -> list[str]:
     Every line (one block of text) gets the ratio of its unlinked characters to its tags; the smoothed ratios fall
     into two clusters. The region is the article or main element, or else the deepest element that holds most of the
     upper cluster's text; all lines of the region stay, short ones too, but for those in elements that are by name,
-    role or class no part of an article and, outside an article element, lines that are mostly links.
+    role or class no part of an article and, outside an article element, lines that are mostly links. A page that
+    is all form is read again without skipping forms.
     """
-    page = _Lines()
-    page.feed((html or "").replace("\0", ""))
-    page.done()
-    lines = page.lines
-    if not lines:
+    text = (html or "").replace("\0", "")
+    for skip in (SKIP, SKIP - {"form"}):
+        page = _Lines(skip)
+        page.feed(text)
+        page.done()
+        lines = page.lines
+        if lines:
+            break
+    else:
         return []
     size = np.array([len(x[0]) for x in lines], float)
     links = np.array([x[2] for x in lines], float)

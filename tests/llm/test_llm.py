@@ -406,6 +406,9 @@ PAGES = [
      '<aside>Side</aside><div class="comments"><p>Nice post, I like it very much indeed, thank you so much.</p></div><footer>foot</footer></body></html>', "Head\nFirst bold text & more on.\nEs.\nx\ny"),
     ('<body><div id="menu"><a>one</a> <a>two</a></div><div class="wrap"><div class="body"><h2>Title here</h2><p>' + "word " * 60 + "</p><p>" + "more " * 50 + '</p><p>short</p></div></div><div id="cookie-notice">We use cookies</div><div>(c) 2020 <a href=x>all rights reserved by us</a></div>',
      "Title here\n" + ("word " * 60).strip() + "\n" + ("more " * 50).strip() + "\nshort"),
+    ("<body><form id=all><p>Whole page inside a form</p></form></body>", "Whole page inside a form"),
+    ("<body><nav><ul><li>menu<article><p>After an unclosed menu</p></article>", "After an unclosed menu"),
+    ("<body><aside><article><p>teaser</p></article></aside><main><p>real text of it</p></main>", "real text of it"),
     ("", ""), (None, ""), ("<p></p><script>var x='<p>no</p>';</script>", ""), ("plain &lt;text&gt;", "plain <text>"),
     ('<main><p>' + "long text " * 20 + '</p><form><input><label>mail</label><button>Go</button></form><div class="ad">Buy</div><p>end</p></main>', ("long text " * 20).strip() + "\nend"),
 ]
@@ -556,6 +559,21 @@ def test_pipeline(spark, tmp_path):
     assert whole.count() == seen["packing"].count() and sorted(whole.groupBy("doc_id").agg(F.sum("length")).collect()) == sorted(seen["packing"].groupBy("doc_id").agg(F.sum("length")).collect()) and set(cols) <= set(whole.columns)
 
 
+@pytest.mark.parametrize("which", ["odd", "none"])
+def test_stages_on_odd_tables(spark, tmp_path, request, which):
+    import corpus_pipeline as C
+
+    df = request.getfixturevalue(which)
+    clash = {"score": "x", "n_removed": 1, "n_units": 2, "keep": 3, "one": 4, "ident": 5, "raw": 6, "y": 7}
+    df = df.select("*", *[F.lit(v).alias(k) for k, v in clash.items()])
+    spark.createDataFrame([(1, 0), (2, 0), (None, 1)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in C.STAGES:
+        out = stage(spark, df, str(tmp_path))
+        assert name == "packing" or out.columns == df.columns
+        rows = out.collect()
+        assert (len(rows) > 0) == (which == "odd"), name
+
+
 def test_entry_without_the_subpackage(tmp_path):
     import shutil
     import subprocess
