@@ -5,11 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Runs of anything but the six ASCII white-space characters; bytes.split() cuts at the same six.
@@ -58,10 +58,6 @@ def discard(df: DataFrame) -> None:
         drop_path(df.sparkSession, path)
 
 
-def partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Each name, with underscores added until no column of df has it (letter case ignored)."""
     taken = {c.lower() for c in df.columns}
@@ -115,7 +111,7 @@ def streamed_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Itera
         yield out(held)
 
 
-def binary_text(col: str = "text") -> F.Column:
+def binary_text(col: str = "text") -> Column:
     """A text column as UTF-8 bytes; null counts as empty."""
     return F.coalesce(F.col(col).cast("string").cast("binary"), F.lit(b"").cast("binary"))
 
@@ -130,6 +126,3 @@ def slices(b: pa.RecordBatch, name: str, most: int = 4 << 20) -> Iterator[pa.Rec
         to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
         yield b.slice(at, to - at)
         at = to
-
-
-Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]

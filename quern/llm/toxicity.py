@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import fresh
@@ -93,38 +94,35 @@ class Model:
         return out
 
 
-def _screened(bags: list[list[list[str]]], y: np.ndarray, least_docs: int, most: int) -> tuple[dict[str, int], dict[str, list[int]], list[str]]:
-    """Words, their features and the features kept: at least `least_docs` documents have them, and the share of
-    toxic documents among those exceeds the overall share by the most standard errors (over 2 at least)."""
-    words: dict[str, int] = {}
-    names: dict[str, int] = {}
-    of: list[list[int]] = []
-    n, pos = np.zeros(0), np.zeros(0)
-    for at in range(0, len(bags), 256):
-        pairs_d: list[int] = []
-        pairs_f: list[int] = []
-        for d in range(at, min(at + 256, len(bags))):
+#: Slots that features are counted in; a slot stands for all features of one hash.
+SLOTS = 1 << 21
+
+
+def _slots(word: str) -> list[int]:
+    return [crc32(f.encode()) % SLOTS for f in features(word)]
+
+
+def _screened(texts: list[str], y: np.ndarray, least_docs: int, most: int) -> dict[int, int]:
+    """Slots to indices of those that at least `least_docs` documents have and whose share of toxic documents differs
+    from the overall share by the most standard errors (over 2 at least). Texts go by in parts; only counts stay."""
+    n, pos = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+    for at in range(0, len(texts), 256):
+        known: dict[str, list[int]] = {}
+        for d in range(at, min(at + 256, len(texts))):
             own: set[int] = set()
-            for w in {w for s in bags[d] for w in s}:
-                if (i := words.get(w)) is None:
-                    i = words[w] = len(of)
-                    of.append([names.setdefault(f, len(names)) for f in features(w)])
-                own.update(of[i])
-            pairs_f += own
-            pairs_d += [d] * len(own)
-        f, d_ = np.array(pairs_f, np.int64), np.array(pairs_d, np.int64)
-        grown = len(names) - len(n)
-        n, pos = np.append(n, np.zeros(grown)), np.append(pos, np.zeros(grown))
-        n += np.bincount(f, minlength=len(names))
-        pos += np.bincount(f, y[d_], len(names))
+            for w in {w for s in sentences(texts[d]) for w in s}:
+                if (ids := known.get(w)) is None:
+                    ids = known[w] = _slots(w)
+                own.update(ids)
+            got = np.fromiter(own, np.int64, len(own))
+            n[got] += 1
+            if y[d] > 0:
+                pos[got] += 1
     share = y.mean()
-    gain = (pos - n * share) / np.sqrt(np.maximum(n, 1) * share * (1 - share))
-    order = np.lexsort((np.arange(len(n)), -np.abs(gain)))
-    order = [int(i) for i in order[: 4 * most] if n[i] >= least_docs and abs(gain[i]) > 2][:most]
-    text = list(names)
-    new = {i: k for k, i in enumerate(order)}
-    kept = {w: [new[f] for f in of[i] if f in new] for w, i in words.items()}
-    return words, kept, [text[i] for i in order]
+    enough = np.flatnonzero(n >= least_docs)
+    gain = (pos[enough] - n[enough] * share) / np.sqrt(n[enough] * share * (1 - share))
+    order = np.lexsort((enough, -np.abs(gain)))[:most]
+    return {int(enough[i]): k for k, i in enumerate(order[np.abs(gain[order]) > 2])}
 
 
 def fit(texts: list[str], labels: np.ndarray, least_docs: int = 4, most: int = 4000, epochs: int = 400, rate: float = 0.3, l1: float = 2e-5) -> Model:
@@ -137,18 +135,29 @@ def fit(texts: list[str], labels: np.ndarray, least_docs: int = 4, most: int = 4
     constant = Model({}, float(np.log(share / (1 - share))))
     if not len(y) or y.min() == y.max():
         return constant
-    bags = [list(sentences(t or "")) for t in texts]
-    _, kept, names = _screened(bags, y, least_docs, most)
-    if not names:
+    texts = [t or "" for t in texts]
+    kept = _screened(texts, y, least_docs, most)
+    if not kept:
         return constant
+    names: list[set[str]] = [set() for _ in kept]
+    known: dict[str, list[int]] = {}
     ids: list[int] = []
     sent: list[int] = []
     doc: list[int] = []
-    for d, bag in enumerate(bags):
-        for s in bag or [[]]:
-            own = [f for w in s for f in kept[w]]
-            ids += own
-            sent += [len(doc)] * len(own)
+    for d, text in enumerate(texts):
+        if len(known) > 100_000:
+            known.clear()
+        for s in [*sentences(text)] or [[]]:
+            for w in s:
+                if (own := known.get(w)) is None:
+                    own = []
+                    for f, slot in zip(features(w), _slots(w)):
+                        if (k := kept.get(slot)) is not None:
+                            own.append(k)
+                            names[k].add(f)
+                    known[w] = own
+                ids += own
+                sent += [len(doc)] * len(own)
             doc.append(d)
     ids_, sent_, doc_ = np.array(ids, np.int64), np.array(sent, np.int64), np.array(doc, np.int64)
     w, b = np.zeros(len(names)), -6.0
@@ -166,14 +175,14 @@ def fit(texts: list[str], labels: np.ndarray, least_docs: int = 4, most: int = 4
         w -= step * dw
         w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
         b = min(b - rate * db / np.sqrt(gb), -1.0)
-    return Model({t: float(x) for t, x in zip(names, w) if abs(x) > 1e-3}, float(b))
+    return Model({f: float(x) for fs, x in zip(names, w) for f in sorted(fs) if abs(x) > 1e-3}, float(b))
 
 
-def held_out(ident: str = "doc_id") -> F.Column:
+def held_out(ident: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(ident).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = 6000, most_bytes: int = 48 << 20, **how) -> Model:
+def train(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = 10_000, most_bytes: int = 40 << 20, **how) -> Model:
     """Fits on the labelled documents that are not held out, at most `most_rows` of them and `most_bytes` of text
     (the bounds of the sample; texts over 20,000 characters are not drawn), chosen by a hash of the id. Labels that contradict each other for one id are left out."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(ident).isNotNull() & ~held_out(ident)).groupBy(ident).agg(F.min(label).alias("y"), F.max(label).alias("y2")).where("y = y2").select(F.col(ident).alias("ident_"), "y")
