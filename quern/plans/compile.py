@@ -192,6 +192,8 @@ class Compiler:
 
     def __init__(self, catalog: Catalog):
         self.catalog, self.plan = catalog, Plan()
+        #: Joined rows that the conditions compiled last refer to.
+        self.touched: set[str] = set()
         self.names, self.fresh = catalog.named(), 0
         self.kinds = {f.name: f.dataType for f in catalog.main.schema.fields}
 
@@ -218,6 +220,7 @@ class Compiler:
 
     def related(self, alias: str, table: str, key: str, parent: str = "") -> dict[str, T.DataType]:
         self.plan.joins[alias] = (table, key, parent)
+        self.touched.add(alias)
         df = self.catalog.main if table == "" else self.catalog.related[table][0]
         return {f.name: f.dataType for f in df.schema.fields}
 
@@ -288,26 +291,67 @@ class Compiler:
         return ~out if cond.join is Join.NOT else out
 
 
+    def conjuncts(self, cond: Cond) -> list[tuple[Column, set[str]]]:
+        """The conditions that must all hold, each with the joined rows it refers to."""
+        if isinstance(cond, Tree) and cond.join is Join.AND:
+            return [x for c in cond.conds for x in self.conjuncts(c)]
+        leaves = self.expand(cond) if isinstance(cond, Leaf) and not cond.field.startswith("$") else [cond]
+        out = []
+        for c in leaves:
+            self.touched = set()
+            out.append((self.predicate(c), self.touched))
+        return out
+
+    def root(self, alias: str) -> str:
+        while parent := self.plan.joins[alias][2]:
+            alias = parent
+        return alias
+
+    def joined(self, df: DataFrame, alias: str) -> DataFrame:
+        table, key, parent = self.plan.joins[alias]
+        if table == "":
+            return df.join(self.catalog.main.alias(alias), F.col(f"{parent}.{key}") == F.col(f"{alias}.{self.catalog.key}"))
+        return df.join(self.catalog.related[table][0].alias(alias), F.col(f"{alias}.{key}") == F.col(f"main.{self.catalog.key}"))
+
     def run(self, cond: Cond, limit: int | None = None) -> DataFrame:
         """(id): distinct ids of main in the order asked for, else by id.
 
-        Related tables are joined inner, above the predicate, wherever in the tree they occur, so rows of main without
-        a related row never match. Order keys that are not the id are reduced per id first (least ascending, greatest
-        descending), which keeps DISTINCT and ORDER BY apart.
+        Related tables count as joined inner, above the predicate, wherever in the tree they occur, so rows of main
+        without a related row never match. Where every conjunct refers to one joined row at most and the order to
+        none, each joined row becomes a semi-join that holds all its conditions: no row of main is multiplied and
+        nothing needs to be made distinct. Otherwise tables are joined and ids grouped, and order keys are reduced per
+        id first (least ascending, greatest descending), which keeps DISTINCT and ORDER BY apart.
         """
         cat = self.catalog
-        pred = self.predicate(cond)
+        parts = self.conjuncts(cond)
+        self.touched = set()
         keys = [(*self.resolve(name), desc) for name, desc in self.plan.order]
+        roots = [{self.root(a) for a in aliases} for _, aliases in parts]
+        apart = not self.touched and all(len(r) <= 1 for r in roots)
         df = cat.main.alias("main")
-        for alias, (table, key, parent) in self.plan.joins.items():
-            if table == "":
-                df = df.join(cat.main.alias(alias), F.col(f"{parent}.{key}") == F.col(f"{alias}.{cat.key}"))
-            else:
-                df = df.join(cat.related[table][0].alias(alias), F.col(f"{alias}.{key}") == F.col(f"main.{cat.key}"))
-        df = df.where(pred)
+        if apart:
+            for (c, _), r in zip(parts, roots):
+                if not r:
+                    df = df.where(c)
+            for alias in dict.fromkeys(a for a in self.plan.joins if not self.plan.joins[a][2]):
+                table, key, _ = self.plan.joins[alias]
+                right = cat.related[table][0].alias(alias)
+                for a in self.plan.joins:
+                    if a != alias and self.root(a) == alias:
+                        right = self.joined(right, a)
+                on = F.col(f"{alias}.{key}") == F.col(f"main.{cat.key}")
+                for (c, _), r in zip(parts, roots):
+                    if alias in r:
+                        on = on & c
+                df = df.join(right, on, "left_semi")
+        else:
+            for alias in self.plan.joins:
+                df = self.joined(df, alias)
+            for c, _ in parts:
+                df = df.where(c)
         ident = F.col(f"main.{cat.key}").alias("id")
         sort = [F.col("id").asc()]
-        if not self.plan.joins:
+        if apart or not self.plan.joins:
             out = df.select(ident, *[(leading_number(c) if isinstance(k, T.StringType) and "." in n else c).alias(f"k{i}") for i, ((c, k, _), (n, _)) in enumerate(zip(keys, self.plan.order))])
         else:
             aggs = [(F.max(c) if desc else F.min(c)).alias(f"k{i}") for i, (c, _, desc) in enumerate(keys)]
