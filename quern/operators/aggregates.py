@@ -108,6 +108,34 @@ def error_rates(df: DataFrame, score: Column, label: Column, threshold: float) -
     )
 
 
+def ranges(df: DataFrame, col: str, parts: int = 64) -> Column:
+    """The number of the range that a numeric column's value lies in, between about equally many rows each.
+
+    The bounds are values held by the driver and not by a sampled shuffle, so every plan and every rerun that uses the
+    column cuts at the same places.
+    """
+    bounds = sorted(set(df.approxQuantile(col, [i / parts for i in range(1, parts)], 0.01)))
+    out = F.lit(0)
+    for b in bounds:
+        out = out + (F.col(col) > b).cast("int")
+    return out
+
+
+def running(df: DataFrame, col: str, sums: dict[str, str], tie: str | None = None) -> DataFrame:
+    """df with running sums (name -> expression) in falling order of a numeric column, ties by another.
+
+    Sums run inside ranges; the totals of the few ranges, added up, give each range its start. No task sees all rows.
+    """
+    cut = df.withColumn("range_", ranges(df, col))
+    order = [F.col(col).desc(), *([F.col(tie)] if tie else [])]
+    inside = W.partitionBy("range_").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    totals = cut.groupBy("range_").agg(*[F.sum(F.expr(e)).alias(f"t_{n}") for n, e in sums.items()])
+    before = W.orderBy(F.col("range_").desc()).rowsBetween(W.unboundedPreceding, -1)
+    starts = totals.select("range_", *[F.coalesce(F.sum(f"t_{n}").over(before), F.lit(0)).alias(f"s_{n}") for n in sums])
+    local = cut.select("*", *[F.sum(F.expr(e)).over(inside).alias(f"l_{n}") for n, e in sums.items()])
+    return local.join(F.broadcast(starts), "range_").select(*df.columns, *[(F.col(f"l_{n}") + F.col(f"s_{n}")).alias(n) for n in sums])
+
+
 def roc(df: DataFrame, score: str, label: str, step: float | None = None) -> DataFrame:
     """(threshold, tpr, fpr, precision): rates of score >= threshold at every distinct score, or every `step`.
 
@@ -115,16 +143,21 @@ def roc(df: DataFrame, score: str, label: str, step: float | None = None) -> Dat
     """
     s = F.floor(F.col(score) / step) * F.lit(step) if step else F.col(score)
     cells = df.groupBy(s.alias("threshold")).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) != 1).cast("long")).alias("q"))
-    down, every = W.orderBy(F.col("threshold").desc()).rowsBetween(W.unboundedPreceding, 0), W.partitionBy()
-    out = cells.select("threshold", F.sum("p").over(down).alias("tp"), F.sum("q").over(down).alias("fp"), F.sum("p").over(every).alias("np"), F.sum("q").over(every).alias("nq"))
+    whole = cells.agg(F.sum("p").alias("np"), F.sum("q").alias("nq"))
+    out = running(cells, "threshold", {"tp": "p", "fp": "q"}).join(F.broadcast(whole))
     return out.select("threshold", (F.col("tp") / F.nullif("np", F.lit(0))).alias("tpr"), (F.col("fp") / F.nullif("nq", F.lit(0))).alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
 
 
 def auc(curve: DataFrame) -> DataFrame:
     """One row: trapezoid area under (fpr, tpr), from the origin."""
-    w = W.orderBy("fpr", "tpr")
-    x0, y0 = F.coalesce(F.lag("fpr").over(w), F.lit(0.0)), F.coalesce(F.lag("tpr").over(w), F.lit(0.0))
-    return curve.select(((F.col("fpr") - x0) * (F.col("tpr") + y0) / 2).alias("a")).agg(F.sum("a").alias("auc"))
+    cut = curve.withColumn("range_", ranges(curve, "threshold"))
+    w = W.partitionBy("range_").orderBy(F.col("threshold").desc())
+    local = cut.select("range_", "fpr", "tpr", F.lag("fpr").over(w).alias("x"), F.lag("tpr").over(w).alias("y"))
+    ends = cut.groupBy("range_").agg(F.max(F.struct("fpr", "tpr")).alias("e"))
+    above = W.orderBy(F.col("range_").desc())
+    starts = ends.select("range_", F.coalesce(F.lag("e").over(above)["fpr"], F.lit(0.0)).alias("x0"), F.coalesce(F.lag("e").over(above)["tpr"], F.lit(0.0)).alias("y0"))
+    x, y = F.coalesce("x", "x0"), F.coalesce("y", "y0")
+    return local.join(F.broadcast(starts), "range_").select(((F.col("fpr") - x) * (F.col("tpr") + y) / 2).alias("a")).agg(F.sum("a").alias("auc"))
 
 
 def equal_error(curve: DataFrame) -> DataFrame:

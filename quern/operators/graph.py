@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .sampling import coin
+from .sampling import coin, numbered
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -137,9 +137,8 @@ def context_pairs(w: DataFrame, window: int) -> DataFrame:
 def negative_pairs(edges: DataFrame, per_node: int, seed: int = 0) -> DataFrame:
     """(anchor, other): nodes that no edge joins, drawn by the coin of node and try; misses are dropped."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    ranked = nodes.withColumn("place", F.row_number().over(W.orderBy("node")) - 1)
-    n = nodes.count()
-    tries = nodes.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(per_node - 1)))).select(F.col("node").alias("anchor"), F.floor(coin(F.concat_ws("#", "node", "k"), seed) * n).cast("int").alias("place"))
+    ranked, n = numbered(nodes, "node")
+    tries = nodes.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(per_node - 1)))).select(F.col("node").alias("anchor"), F.floor(coin(F.concat_ws("#", "node", "k"), seed) * n).cast("long").alias("place"))
     drawn = tries.join(ranked, "place").select("anchor", F.col("node").alias("other")).where("anchor <> other").distinct()
     return drawn.join(edges.select(F.col("src").alias("anchor"), F.col("dst").alias("other")), ["anchor", "other"], "left_anti")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.strings import specialize
+from .aggregates import running
 
 
 def typed_tags(tags: DataFrame) -> DataFrame:
@@ -54,10 +55,10 @@ def binned(labels: DataFrame, bins: int = 20) -> DataFrame:
 
 
 def signed_rows(labels: DataFrame) -> DataFrame:
-    """(value, id, y): per label value, 1 for ids that have it and -1 for the others."""
+    """(value, id, y): per label value, 1 for ids that have it and -1 for the others; for labels of few values."""
     values, ids = labels.select("value").distinct(), labels.select("id").distinct()
     have = labels.select("value", "id").distinct().withColumn("y", F.lit(1))
-    return values.crossJoin(F.broadcast(ids)).join(have, ["value", "id"], "left").select("value", "id", F.coalesce("y", F.lit(-1)).alias("y"))
+    return ids.crossJoin(F.broadcast(values)).join(have, ["value", "id"], "left").select("value", "id", F.coalesce("y", F.lit(-1)).alias("y"))
 
 
 def dimension_check(df: DataFrame, vector: str) -> DataFrame:
@@ -112,20 +113,10 @@ def rank_correlations(a: Column, b: Column) -> Column:
 
 
 def map_at(df: DataFrame, score: str, label: str, ident: str) -> DataFrame:
-    """One row: average precision of the ranking by score, ties by id, from counts of positives up to each rank.
-
-    Ranks come from sorted ranges: each partition of a global sort counts its rows and positives, the few partition
-    totals are added up, and ranks inside follow.
-    """
-    rows = df.select((-F.col(score)).alias("s"), F.col(ident).alias("i"), (F.col(label) == 1).cast("long").alias("y"))
-    dealt = rows.repartitionByRange("s", "i").sortWithinPartitions("s", "i").withColumn("part", F.spark_partition_id())
-    inside = W.partitionBy("part").orderBy("s", "i").rowsBetween(W.unboundedPreceding, 0)
-    local = dealt.withColumn("r", F.count("*").over(inside)).withColumn("h", F.sum("y").over(inside))
-    sums = local.groupBy("part").agg(F.max("r").alias("n"), F.max("h").alias("p"))
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    start = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("p").over(before), F.lit(0)).alias("p0"))
-    precision = (F.col("h") + F.col("p0")) / (F.col("r") + F.col("n0"))
-    return local.join(F.broadcast(start), "part").where("y = 1").agg(F.avg(precision).alias("map"))
+    """One row: average precision of the ranking by score, ties by id, from running counts of rows and positives."""
+    rows = df.select(F.col(score).cast("double").alias("s"), F.col(ident).alias("i"), (F.col(label) == 1).cast("long").alias("y"))
+    got = running(rows, "s", {"r": "1", "h": "y"}, "i")
+    return got.where("y = 1").agg(F.avg(F.col("h") / F.col("r")).alias("map"))
 
 
 #: Costs by input size, simplest first.

@@ -70,17 +70,22 @@ def weighted(df: DataFrame, weight: str, key: str, k: int, seed: int = 0) -> Dat
     return df.where(F.col(weight) > 0).orderBy(race, key).limit(k)
 
 
-def with_replacement(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
-    """(draw, key): k draws; rows are numbered in blocks, so no task ranks them all."""
-    n = df.count()
-    draws = df.sparkSession.range(k).select(F.col("id").alias("draw"), F.floor(coin(F.col("id"), seed) * n).cast("long").alias("place"))
-    placed = df.select(key).withColumn("b_", F.pmod(F.xxhash64(key), F.lit(64)))
+def numbered(df: DataFrame, key: str, parts: int = 64) -> tuple[DataFrame, int]:
+    """((key, place), n): rows numbered from 0 without gaps, in parts by a hash of the key, so no task ranks them all."""
+    placed = df.select(key).withColumn("b_", F.pmod(F.xxhash64(key), F.lit(parts)))
     size = {r[0]: r[1] for r in placed.groupBy("b_").count().collect()}
     start, at = {}, 0
-    for b in range(64):
+    for b in range(parts):
         start[b], at = at, at + size.get(b, 0)
     first = F.create_map(*[F.lit(x) for kv in start.items() for x in kv])
     ranked = placed.withColumn("place", F.row_number().over(W.partitionBy("b_").orderBy(key)) - 1 + first[F.col("b_").cast("int")])
+    return ranked.select(key, F.col("place").cast("long").alias("place")), at
+
+
+def with_replacement(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
+    """(draw, key): k draws."""
+    ranked, n = numbered(df, key)
+    draws = df.sparkSession.range(k).select(F.col("id").alias("draw"), F.floor(coin(F.col("id"), seed) * n).cast("long").alias("place"))
     return draws.join(ranked, "place").select("draw", key)
 
 

@@ -27,8 +27,8 @@ def near(df: DataFrame, ident: str, vector: str, query: list[float], k: int, met
     return out.orderBy("d", "id").limit(k)
 
 
-#: Queries held in memory at most, as a bound of what is sent to every task.
-MOST_QUERIES = 10_000
+#: Queries that go to every task at once.
+BLOCK = 10_000
 
 
 def _block(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -47,33 +47,43 @@ def _block(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def neighbours(df: DataFrame, queries: DataFrame, ident: str, vector: str, k: int, metric: str = "l2", own: bool = False) -> DataFrame:
     """(query, rank, id, d): the k nearest rows of each query, exactly; ties by id.
 
-    A bounded set of queries goes to every task, which keeps k rows a query from its own rows; beyond MOST_QUERIES the
-    queries go through in blocks.
+    Queries go through in blocks of a bounded size: a block goes to every task, which keeps k rows a query from its
+    own rows. Blocks are cut by seeking in the order of the ids, which must be unique.
     """
-    rows = queries.select(F.col(ident).alias("q"), F.col(vector).cast("array<double>").alias("v")).orderBy("q").limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValueError(f"at most {MOST_QUERIES} queries go through at once; split them into blocks")
-    ids, q = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
     slim = df.select(F.col(ident).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    kind = slim.schema["id"].dataType.simpleString()
+    todo = queries.select(F.col(ident).alias("q"), F.col(vector).cast("array<double>").alias("v"))
+    tops, last = df.sparkSession.createDataFrame([], f"query {kind}, id {kind}, d double"), None
+    while True:
+        rows = (todo if last is None else todo.where(F.col("q") > F.lit(last))).orderBy("q").limit(BLOCK).collect()
+        if rows:
+            tops = tops.union(slim.mapInPandas(_scan(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), k, metric, own), tops.schema))
+            last = rows[-1][0]
+        if len(rows) < BLOCK:
+            break
+    w = W.partitionBy("query").orderBy("d", "id")
+    return tops.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "id", "d")
+
 
+def _scan(ids: np.ndarray, q: np.ndarray, k: int, metric: str, own: bool):
     def scan(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: pd.DataFrame | None = None
         for pdf in it:
-            if not len(pdf) or not len(ids):
-                continue
-            d = _block(metric, q, np.stack(pdf["v"].to_numpy()))
-            got = pd.DataFrame({"query": np.repeat(ids, len(pdf)), "id": np.tile(pdf["id"].to_numpy(), len(ids)), "d": d.ravel()})
-            if not own:
-                got = got[got["query"] != got["id"]]
-            got = got if best is None else pd.concat([best, got])
-            best = got.sort_values(["query", "d", "id"]).groupby("query").head(k)
+            for at in range(0, len(pdf), 1024):
+                part = pdf.iloc[at : at + 1024]
+                d = _block(metric, q, np.stack(part["v"].to_numpy()))
+                keep = min(k + (not own), len(part))
+                cut = np.partition(d, keep - 1, axis=1)[:, keep - 1 : keep]
+                i, j = np.nonzero((d <= cut) | np.isnan(cut))
+                got = pd.DataFrame({"query": ids[i], "id": part["id"].to_numpy()[j], "d": d[i, j]})
+                if not own:
+                    got = got[got["query"] != got["id"]]
+                got = got if best is None else pd.concat([best, got])
+                best = got.sort_values(["query", "d", "id"]).groupby("query").head(k)
         if best is not None:
             yield best
 
-    kind = slim.schema["id"].dataType.simpleString()
-    tops = slim.mapInPandas(scan, f"query {kind}, id {kind}, d double")
-    w = W.partitionBy("query").orderBy("d", "id")
-    return tops.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "rank", "id", "d")
+    return scan
 
 
 def best_over_queries(nn: DataFrame) -> DataFrame:

@@ -170,3 +170,19 @@ def test_rates(spark):
     df = spark.createDataFrame([(0.1, 0), (0.4, 0), (0.35, 1), (0.8, 1)], "s double, y int")
     assert aggregates.auc(aggregates.roc(df, "s", "y")).first()[0] == pytest.approx(0.75)
     assert operator_of(">=3") == (">=", 3) and operator_of("<>") == ("<>", None)
+
+
+def test_neighbours_in_blocks(spark, monkeypatch):
+    from quern.operators import vectors
+
+    rng = np.random.default_rng(0)
+    x = rng.integers(-9, 9, (300, 6)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    got = {}
+    for r in vectors.neighbours(df, df.where("id < 20"), "id", "v", 4, "l1").collect():
+        got.setdefault(r["query"], []).append((r["rank"], r["id"]))
+    for q in range(20):
+        d = np.abs(x - x[q]).sum(1)
+        want = [i for i in np.lexsort((np.arange(300), d)) if i != q][:4]
+        assert [i for _, i in sorted(got[q])] == want
