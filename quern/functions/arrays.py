@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ZERO = 0.0
 
@@ -140,3 +141,19 @@ def columns_spec(a: Column, spec: str) -> Column:
         z = int(high) if high else int(low) + 1
         parts.append(F.slice(a, int(low) + 1, z - int(low)))
     return F.concat(*parts)
+
+
+def flat(c: Column, kind: T.DataType) -> Column:
+    """A nested array of any depth as one array; the depth comes from the type."""
+    while isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.ArrayType):
+        c, kind = F.flatten(c), kind.elementType
+    return c
+
+
+def shape(c: Column, kind: T.DataType) -> Column:
+    """The sizes of a nested array along its first items."""
+    out = []
+    while isinstance(kind, T.ArrayType):
+        out.append(F.size(c))
+        c, kind = F.get(c, F.lit(0)), kind.elementType
+    return F.array(*out)

@@ -122,3 +122,18 @@ def gps_box(lat: Column, lon: Column, metres: float) -> Column:
     dlat = math.degrees(metres / RADIUS)
     dlon = F.lit(dlat) / F.cos(F.radians(lat))
     return F.struct((lat - dlat).alias("lat0"), (lon - dlon).alias("lon0"), (lat + dlat).alias("lat1"), (lon + dlon).alias("lon1"))
+
+
+def projected(lat: Column, lon: Column, box: Column, width: int, height: int) -> Column:
+    """struct(x, y) of a place on an image of a box, north at the top."""
+    x = (lon - box["lon0"]) / (box["lon1"] - box["lon0"]) * width
+    y = (box["lat1"] - lat) / (box["lat1"] - box["lat0"]) * height
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def located(lat: Column, lon: Column, obj_lat: Column, obj_lon: Column, radius: Column, near: float) -> Column:
+    """struct(kind, score): 'in' with score 1 within an object's radius, 'near' with the squared share of the way left
+    to `near` metres beyond it, else null."""
+    beyond = haversine(lat, lon, obj_lat, obj_lon) - radius
+    share = 1 - beyond / near
+    return F.when(beyond <= 0, F.struct(F.lit("in").alias("kind"), F.lit(1.0).alias("score"))).when(beyond < near, F.struct(F.lit("near").alias("kind"), (share * share).alias("score")))

@@ -180,3 +180,23 @@ def similarity(a: str, b: str) -> float:
 def string_similarity(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in it:
         yield pd.Series([None if x is None or y is None else similarity(x, y) for x, y in zip(a, b)])
+
+
+def random_text(key: Column, length: int = 10, seed: int = 0) -> Column:
+    """Letters and digits that follow from key and seed."""
+    signs = F.lit("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    each = F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: F.substr(signs, (F.pmod(F.xxhash64(key, F.lit(seed), i), F.lit(62)) + 1).cast("int"), F.lit(1)))
+    return F.array_join(each, "")
+
+
+def cut_at(c: Column, cuts: list[tuple[str, int]]) -> Column:
+    """A map from label to the piece that starts at its offset and ends at the next."""
+    ends = [*[at for _, at in cuts[1:]], None]
+    pieces = [F.substr(c, F.lit(at + 1), F.lit(end - at)) if end is not None else F.substr(c, F.lit(at + 1)) for (_, at), end in zip(cuts, ends)]
+    return F.create_map(*[x for (label, _), p in zip(cuts, pieces) for x in (F.lit(label), p)])
+
+
+def arguments(c: Column) -> Column:
+    """['k=v', ...] as a map from name to value, each value read as bool, int, float or text; others are skipped."""
+    pairs = F.filter(c, lambda p: F.contains(p, F.lit("=")))
+    return F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)), specialize(F.substr(p, F.instr(p, "=") + 1)))))

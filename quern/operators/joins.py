@@ -87,3 +87,42 @@ def unmatched(side: DataFrame, key: str, matched: DataFrame, col: str) -> DataFr
 def propagated(scores: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, score): sums over incoming edges of the source's score times the edge's weight."""
     return scores.join(edges, scores["id"] == edges["src"]).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("w")).alias("score"))
+
+
+#: Places that go to every task at most.
+MOST_PLACES = 100_000
+
+
+def nearest_place(df: DataFrame, lat: str, lon: str, places: DataFrame, name: str) -> DataFrame:
+    """df with place and place_m: the nearest of a bounded table (lat, lon, name) by great circle, ties by name."""
+    import numpy as np
+
+    from ..functions.geo import RADIUS
+
+    rows = places.select("lat", "lon", F.col(name).cast("string")).orderBy(name).limit(MOST_PLACES + 1).collect()
+    if len(rows) > MOST_PLACES:
+        raise ValueError(f"at most {MOST_PLACES} places; cut the table into regions first")
+    p, names = np.radians(np.array([[r[0], r[1]] for r in rows], float).reshape(-1, 2)), [r[2] for r in rows]
+    schema = df.withColumn("place", F.lit(None).cast("string")).withColumn("place_m", F.lit(None).cast("double")).schema
+
+    def find(it):
+        for pdf in it:
+            q = np.radians(pdf[[lat, lon]].to_numpy(float))
+            place, metres = [None] * len(pdf), [None] * len(pdf)
+            for at in range(0, len(q), 256):
+                part = q[at : at + 256]
+                ok = np.flatnonzero(np.isfinite(part).all(1))
+                if len(ok) and len(p):
+                    a = np.sin((part[ok, None, 0] - p[:, 0]) / 2) ** 2 + np.cos(part[ok, None, 0]) * np.cos(p[:, 0]) * np.sin((part[ok, None, 1] - p[:, 1]) / 2) ** 2
+                    best = a.argmin(1)
+                    for i, b, x in zip(ok, best, a[np.arange(len(ok)), best]):
+                        place[at + i], metres[at + i] = names[b], float(2 * RADIUS * np.arcsin(min(1.0, x**0.5)))
+            yield pdf.assign(place=place, place_m=metres)
+
+    return df.mapInPandas(find, schema)
+
+
+def local_times(df: DataFrame, at: str, lat: str, lon: str, cities: DataFrame) -> DataFrame:
+    """df with local: epoch seconds `at` as the clock of the nearest city (lat, lon, zone) shows it."""
+    got = nearest_place(df, lat, lon, cities, "zone")
+    return got.withColumn("local", F.from_utc_timestamp(F.timestamp_seconds(at), F.col("place"))).drop("place_m")

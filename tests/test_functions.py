@@ -186,3 +186,20 @@ def test_neighbours_in_blocks(spark, monkeypatch):
         d = np.abs(x - x[q]).sum(1)
         want = [i for i in np.lexsort((np.arange(300), d)) if i != q][:4]
         assert [i for _, i in sorted(got[q])] == want
+
+
+def test_more_scalars(spark):
+    nested = F.array(F.array(F.array(F.lit(1), F.lit(2)), F.array(F.lit(3))))
+    kind = spark.range(1).select(nested.alias("n")).schema["n"].dataType
+    r = one(spark, arrays.flat(nested, kind), arrays.shape(nested, kind), strings.cut_at(F.lit("abcdef"), [("x", 0), ("y", 2), ("z", 5)]), strings.arguments(F.array(F.lit("a=1"), F.lit("b"), F.lit("c=x=y"))), strings.random_text(F.lit(5), 12), strings.random_text(F.lit(5), 12))
+    assert r[0] == [1, 2, 3] and r[1] == [1, 2, 2] and r[2] == {"x": "ab", "y": "cde", "z": "f"} and r[3]["a"]["i"] == 1 and r[3]["c"]["s"] == "x=y" and r[4] == r[5] and len(r[4]) == 12
+
+
+def test_places(spark):
+    f = lambda *x: [F.lit(float(v)) for v in x]
+    r = one(spark, geo.located(*f(0, 0, 0, 0.001, 200), 1000), geo.located(*f(0, 0, 0, 0.005, 56), 1000)["kind"], geo.located(*f(0, 0, 5, 5, 1), 1000), geo.projected(*f(0, 0), geo.gps_box(*f(0, 0), 1000.0), 100, 50))
+    assert tuple(r[0]) == ("in", 1.0) and r[1] == "near" and r[2] is None and r[3]["x"] == pytest.approx(50) and r[3]["y"] == pytest.approx(25)
+    cities = spark.createDataFrame([(52.5, 13.4, "Europe/Berlin"), (40.7, -74.0, "America/New_York")], "lat double, lon double, zone string")
+    df = spark.createDataFrame([(48.0, 11.0, 1577836800.0), (42.0, -71.0, 1577836800.0), (None, 1.0, 0.0)], "lat double, lon double, t double")
+    got = [(r["place"], str(r["local"])) for r in joins.local_times(df, "t", "lat", "lon", cities).collect()]
+    assert got == [("Europe/Berlin", "2020-01-01 01:00:00"), ("America/New_York", "2019-12-31 19:00:00"), (None, "None")]
