@@ -180,19 +180,25 @@ def _parts(own: np.ndarray, t: int, masks: list[int], second: list[int], dense:
 def classes(fps: DataFrame, ident: str, names: list[str], radius: int = 4) -> DataFrame:
     """(names, component_id): for each distinct row of fingerprints the smallest non-null `ident` of its component.
 
-    Rows are linked if they share a fingerprint of any family or have two within the radius. In the graph a row is a
-    node, and so is a fingerprint that several rows share or that a link names; others lead nowhere and stay out.
+    Rows are linked if they share a fingerprint of any family or have two within the radius. The graph has only
+    fingerprints as nodes: those of one row are tied to the smallest of them, and as rows that tie the same ones make
+    one edge, a fingerprint that a third of all rows share has few. Fingerprints that no other row shares and no link
+    names lead nowhere and stay out.
     """
     rows = written(fps.groupBy(*names).agg(F.min(ident).alias("least")).withColumn("node", F.xxhash64(F.lit(-1), *names)), "rows")
-    long = rows.select("node", F.explode(F.array(*[F.struct(F.lit(k).alias("family"), F.col(n).alias("fp")) for k, n in enumerate(names)])).alias("e")).select("node", "e.family", "e.fp")
+    each = F.array(*[F.struct(F.lit(k).alias("family"), F.col(n).alias("fp")) for k, n in enumerate(names)])
+    long = rows.select("node", F.explode(each).alias("e")).select("node", "e.family", "e.fp")
     distinct = long.groupBy("family", "fp").agg(F.count("*").alias("n"))
     found = written(links(distinct.select("family", "fp"), radius), "links")
     hub = lambda c: F.xxhash64(F.col("family"), F.col(c))
     between = found.select(hub("u").alias("u"), hub("v").alias("v"))
     hubs = between.select(F.col("u").alias("h")).union(between.select("v")).union(distinct.where("n > 1").select(hub("fp"))).distinct()
-    spokes = long.select("node", hub("fp").alias("h")).join(hubs, "h").select(F.col("node").alias("u"), F.col("h").alias("v"))
-    comp = components(between.union(spokes))
-    known = written(rows.join(comp, "node", "left").select(*names, "least", F.coalesce("component", "node").alias("component")), "classes")
+    spokes = long.select("node", hub("fp").alias("h")).join(hubs, "h")
+    tied = written(spokes.groupBy("node").agg(F.min("h").alias("first"), F.collect_set("h").alias("all")), "tied")
+    ties = tied.select(F.col("first").alias("u"), F.explode("all").alias("v")).where("u <> v").distinct()
+    comp = components(between.union(ties)).withColumnRenamed("node", "first")
+    label = tied.select("node", "first").join(comp, "first", "left").select("node", F.coalesce("component", "first").alias("component"))
+    known = written(rows.join(label, "node", "left").select(*names, "least", F.coalesce("component", "node").alias("component")), "classes")
     least = known.groupBy("component").agg(F.min("least").alias("component_id"))
     return known.join(least, "component").select(*names, "component_id")
 
