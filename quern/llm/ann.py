@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ._common import lean
 from .vectors import by_dimension, matrix, merged, valid
 
 
@@ -161,7 +162,7 @@ def calibrate(own: DataFrame, tree: Tree, probes: np.ndarray, probe_ids: np.ndar
             rows = [(i, *r) for i, (g, d, w) in best.items() for r in zip(g, d, w)]
             yield pa.RecordBatch.from_pydict({"probe": pa.array([r[0] for r in rows], pa.int32()), "id": pa.array([r[1] for r in rows], pa.int64()), "d": pa.array([r[2] for r in rows], pa.float64()), "leaf": pa.array([r[3] for r in rows], pa.int64())})
 
-    found = own.mapInArrow(brute, "probe int, id long, d double, leaf long")
+    found = own.mapInArrow(lean(brute), "probe int, id long, d double, leaf long")
     w = W.partitionBy("probe").orderBy("d", "id")
     lists = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("probe", "leaf").collect()
     need: dict[int, list[int]] = {}
@@ -209,7 +210,7 @@ def search(df: DataFrame, is_query, k: int = 10, ident: str = "vec_id", vector:
             leaf = tree.assign(matrix(b.column(1))) if b.num_rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(leaf), *b.columns], ["leaf", "id", "v"])
 
-    placed = own.mapInArrow(place, "leaf long, id long, v array<double>")
+    placed = own.mapInArrow(lean(place), "leaf long, id long, v array<double>")
     counts = np.zeros(tree.leaves, np.int64)
     for leaf, n in placed.groupBy("leaf").count().collect():
         counts[leaf] = n
@@ -250,8 +251,8 @@ def search(df: DataFrame, is_query, k: int = 10, ident: str = "vec_id", vector:
             rows = pa.array([o[2] for o in out], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[3] for o in out], pa.list_(pa.int64())), b.column(0).take(rows), b.column(1).take(rows)], ["block", "share", "leaves", "id", "v"])
 
-    left = own.mapInArrow(spread, "block long, share long, leaf long, id long, v array<double>")
-    right = queries.mapInArrow(route, "block long, share long, leaves array<long>, id long, v array<double>")
+    left = own.mapInArrow(lean(spread), "block long, share long, leaf long, id long, v array<double>")
+    right = queries.mapInArrow(lean(route), "block long, share long, leaves array<long>, id long, v array<double>")
 
     def pair(x: pa.Table, q: pa.Table) -> pa.Table:
         rows = []

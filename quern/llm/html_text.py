@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh
+from ._common import fresh, lean
 
 # HTML's elements by the part they play.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -249,4 +249,4 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
                 got = [main_text(v.as_py()) for v in part.column(len(rest))]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], pa.array(got, pa.string()), pa.array(map(len, got), pa.int64())], schema.names)
 
-    return slim.mapInArrow(parse, schema)
+    return slim.mapInArrow(lean(parse), schema)

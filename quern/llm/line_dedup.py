@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import binary_text, fresh, streamed_groups, written
+from ._common import binary_text, fresh, lean, streamed_groups, written
 
 _UPPER = "".join(re.escape(chr(c)) for c in range(min(sys.maxunicode, 0xFFFF)) if chr(c).isupper())
 #: What stands between units of each kind.
@@ -106,7 +106,7 @@ def _dealt(docs: DataFrame, kind: str, least_words: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.where(gone, alone.view(np.int64), h[:, 0]), h[:, 1].copy(), i, m, clipped(s, start), gone)], ["h1", "h2", "id", "mark", "loc", "gone"])
                     own, loc, made, size = [], [], [], 0
 
-    return docs.mapInArrow(spread, "h1 long, h2 long, id long, mark long, loc long, gone boolean")
+    return docs.mapInArrow(lean(spread), "h1 long, h2 long, id long, mark long, loc long, gone boolean")
 
 
 def after(loc: np.ndarray) -> np.ndarray:
@@ -139,7 +139,7 @@ def repeats(docs: DataFrame, kind: str, least_words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (i, m, loc)], ["id", "mark", "loc"])
 
     rows = _dealt(docs, kind, least_words)
-    return rows.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "id", "loc").mapInArrow(settle, "id long, mark long, loc long")
+    return rows.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "id", "loc").mapInArrow(lean(settle), "id long, mark long, loc long")
 
 
 def cut(text: str, own: list[tuple[int, int]], bad: np.ndarray) -> tuple[str, list[tuple[int, int]]]:
@@ -206,7 +206,7 @@ def line_dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text", kind:
             cols[at_text] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return both.mapInArrow(apply, schema)
+    return both.mapInArrow(lean(apply), schema)
 
 
 def brute_force(texts: list[tuple[int, str]], kind: str = "sentence", least_words: int = 8) -> dict[int, str]:

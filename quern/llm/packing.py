@@ -16,10 +16,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import binary_text, slices
+from ._common import binary_text, lean, release, slices
 
 #: Words and pieces whose ids a worker remembers at most, before it starts anew.
-MEMORY = 300_000
+MEMORY = 200_000
 #: Words that are cut into pieces here: visible ASCII and the Latin letters of two blocks, whose lower case is one
 #: letter of the same blocks and which composition leaves alone. All others go through the tokenizer as a whole.
 PLAIN = re.compile(r"[!-~\u00c0-\u012f\u0131-\u017e]*")
@@ -217,7 +217,7 @@ def tokens(docs: DataFrame, path: Callable[[], str], ident: str, text: str, end:
                 group = ((mixed >> np.uint64(33)) % np.uint64(groups)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(spot), s.column(0), pa.array([x.tobytes() for x in ids], pa.binary())], schema.names)
 
-    return slim.mapInArrow(encode, schema)
+    return slim.mapInArrow(lean(encode), schema)
 
 
 def pack(docs: DataFrame, path: Callable[[], str], ident: str = "doc_id", text: str = "text", capacity: int = 4096, end: int = 2, per_group: int = 2048) -> DataFrame:
@@ -237,6 +237,7 @@ def pack(docs: DataFrame, path: Callable[[], str], ident: str = "doc_id", text:
         lengths = [len(x) // 4 for x in raw]
         rows = layout(lengths, capacity)
         base = int(pdf["group"].iloc[0]) << 32
+        release()
         d = [r[0] for r in rows]
         return pd.DataFrame(
             {

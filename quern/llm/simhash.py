@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import binary_text, fresh, slices, streamed_groups, written
+from ._common import binary_text, fresh, lean, slices, streamed_groups, written
 from .components import components
 
 BITS = 64
@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, text: str = "text", families: tuple[Family, ..
                 cols = [pa.array(np.ascontiguousarray(fps[:, k])) for k in range(len(families))] if len(fps) else [pa.array([], pa.int64())] * len(families)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], *cols], [*rest, *names])
 
-    return slim.mapInArrow(add, slim.drop(raw).select("*", *[F.lit(0).cast("long").alias(n) for n in names]).schema)
+    return slim.mapInArrow(lean(add), slim.drop(raw).select("*", *[F.lit(0).cast("long").alias(n) for n in names]).schema)
 
 
 def covering_masks(radius: int, bits: int = BITS, seed: int = 11) -> list[int]:
@@ -159,7 +159,7 @@ def links(distinct: DataFrame, radius: int = 4, dense: int = 20_000) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(fs).astype(np.int32)), *[pa.array(np.concatenate(x).view(np.int64)) for x in (us, vs)]], ["family", "u", "v"])
 
     bucketed = keyed.repartition("k").sortWithinPartitions("k", "fp")
-    return bucketed.mapInArrow(split, "family int, u long, v long").distinct()
+    return bucketed.mapInArrow(lean(split), "family int, u long, v long").distinct()
 
 
 def _parts(own: np.ndarray, t: int, masks: list[int], second: list[int], dense: int) -> Iterator[np.ndarray]:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import binary_text, streamed_groups, written
+from ._common import binary_text, lean, streamed_groups, written
 
 #: Bytes that an anchor is chosen by; a string of `length` bytes has length - GRAM + 1 candidates.
 GRAM = 32
@@ -195,7 +195,7 @@ def hot_grams(docs: DataFrame, length: int, sample: int, most: int) -> np.ndarra
                         yield _batch("gram", np.unique(np.concatenate(found)).view(np.int64))
 
     drawn = docs.where(F.pmod(F.xxhash64("id", "mark", F.lit(9)), F.lit(n)) < sample)
-    grams = drawn.mapInArrow(count, "gram long").groupBy("gram").count().where(F.col("count") > max(2, sample * most // n))
+    grams = drawn.mapInArrow(lean(count), "gram long").groupBy("gram").count().where(F.col("count") > max(2, sample * most // n))
     return np.sort(np.array([r[0] for r in grams.collect()], np.int64).view(np.uint64))
 
 
@@ -222,7 +222,7 @@ def _dealt(docs: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
                 alone = (i.view(np.uint64) * np.uint64(BASE) + s.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
                 yield _batch("gram digest id mark loc gone", np.where(gone, alone, k).view(np.int64), d.view(np.int64), i, mark[c["doc"]][order], s, gone)
 
-    return docs.mapInArrow(spread, "gram long, digest long, id long, mark long, loc long, gone boolean")
+    return docs.mapInArrow(lean(spread), "gram long, digest long, id long, mark long, loc long, gone boolean")
 
 
 def _settled(rows: DataFrame) -> DataFrame:
@@ -245,7 +245,7 @@ def _settled(rows: DataFrame) -> DataFrame:
                 kind = np.where(gone, 0, np.where(odd, 2, 1)).astype(np.int32)
                 yield _batch("id mark loc kind", g["id"][keep], g["mark"][keep], g["loc"][keep], kind[keep])
 
-    return rows.repartition("gram").sortWithinPartitions("gram", "digest", "id", "loc").mapInArrow(settle, "id long, mark long, loc long, kind int")
+    return rows.repartition("gram").sortWithinPartitions("gram", "digest", "id", "loc").mapInArrow(lean(settle), "id long, mark long, loc long, kind int")
 
 
 def _blocks(docs: DataFrame, partial: DataFrame, length: int) -> DataFrame:
@@ -273,7 +273,7 @@ def _blocks(docs: DataFrame, partial: DataFrame, length: int) -> DataFrame:
                         k = len(x)
                         yield _batch("key bytes id mark loc kind", pa.array(keys, pa.binary()), pa.array(data, pa.binary()), np.full(k, ident), np.full(k, mark), packed(x, y, z), np.full(k, 2 if part is hot else 1, np.int32))
 
-    return docs.join(wanted, ["id", "mark"]).select("id", "mark", "raw", "runs").mapInArrow(fetch, "key binary, bytes binary, id long, mark long, loc long, kind int")
+    return docs.join(wanted, ["id", "mark"]).select("id", "mark", "raw", "runs").mapInArrow(lean(fetch), "key binary, bytes binary, id long, mark long, loc long, kind int")
 
 
 def _judge(t: pa.Table, length: int, offset: int | None = None) -> Iterator[pa.RecordBatch]:
@@ -334,7 +334,7 @@ def _sorted_buckets(blocks: DataFrame, length: int, most: int = 2048) -> DataFra
         if held:
             yield from flush(held)
 
-    return blocks.repartitionByRange("key").sortWithinPartitions("key").drop("kind").mapInArrow(bucket, "id long, mark long, lo long, hi long")
+    return blocks.repartitionByRange("key").sortWithinPartitions("key").drop("kind").mapInArrow(lean(bucket), "id long, mark long, lo long, hi long")
 
 
 def _across_boundaries(blocks: DataFrame, length: int) -> DataFrame:
@@ -417,7 +417,7 @@ def dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text", length: in
                 cols = [b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([len(x) for x in spans], pa.int64()), pa.array(spans, spans_type), pa.array(kept, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    return both.mapInArrow(cut, schema).withColumnRenamed("doc", ident)
+    return both.mapInArrow(lean(cut), schema).withColumnRenamed("doc", ident)
 
 
 def brute_force(texts: list[tuple[int, bytes]], length: int) -> dict[int, tuple[int, int, int, str]]:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh
+from ._common import fresh, lean
 
 #: A word, or the end of a sentence.
 TOKEN = re.compile(r"\w+|[.!?\n]")
@@ -49,7 +49,7 @@ class Model:
     weights: dict[str, float]
     bias: float
     #: Words whose weight is remembered at most, before memory starts anew.
-    memory: int = 300_000
+    memory: int = 200_000
 
     def __post_init__(self) -> None:
         self.known: dict[str, float] = {}
@@ -208,7 +208,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
             got = [model.score(v.as_py()) for v in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], names)
 
-    return docs.mapInArrow(add, docs.withColumn(names[-1], F.lit(0.0)).schema)
+    return docs.mapInArrow(lean(add), docs.withColumn(names[-1], F.lit(0.0)).schema)
 
 
 def offending(docs: DataFrame, model: Model, text: str = "text", ident: str = "doc_id", least: float = 0.5) -> DataFrame:
@@ -223,4 +223,4 @@ def offending(docs: DataFrame, model: Model, text: str = "text", ident: str = "d
             rest = [pa.array([h[k] for h in hits], t) for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.float64()))]
             yield pa.RecordBatch.from_arrays([own, *rest], schema.names)
 
-    return slim.mapInArrow(find, schema).withColumnRenamed("ident", ident)
+    return slim.mapInArrow(lean(find), schema).withColumnRenamed("ident", ident)
