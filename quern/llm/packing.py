@@ -18,14 +18,16 @@ from pyspark.sql import functions as F
 
 from ._common import binary_text, lean, release, slices
 
-#: Words and pieces whose ids a worker remembers at most, before it starts anew.
-MEMORY = 200_000
+#: Pieces whose ids a worker remembers at most, before it starts anew.
+MEMORY = 400_000
 #: Words that are cut into pieces here: visible ASCII and the Latin letters of two blocks, whose lower case is one
 #: letter of the same blocks and which composition leaves alone. All others go through the tokenizer as a whole.
 PLAIN = re.compile(r"[!-~\u00c0-\u012f\u0131-\u017e]*")
 #: The tokenizer's own pattern on those characters in lower case.
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017e]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017e]+")
 
+MARKS = frozenset(".,;:!?")
+
 
 def byte_letters() -> dict[int, str]:
     """A visible character for each byte, as byte-level tokenizers have it: itself if visible, else the next from 256."""
@@ -35,9 +37,9 @@ def byte_letters() -> dict[int, str]:
 
 
 class Words:
-    """Token ids of whole texts. Words between ASCII white space are encoded once and remembered, which is exact for
-    a tokenizer that drops white space and never joins across it; plain words are cut into the tokenizer's pieces
-    here, as far more words than pieces are new."""
+    """Token ids of whole texts. A batch's distinct words between ASCII white space are encoded once, which is exact
+    for a tokenizer that drops white space and never joins across it; plain words are cut into the tokenizer's pieces
+    here, whose ids are remembered."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -47,38 +49,52 @@ class Words:
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.binary = [int(i).to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        #: A probe: where pieces don't give the tokenizer's ids, nothing is cut here.
-        self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        #: Where pieces don't give the tokenizer's ids, nothing is cut here.
         probe = ["It's", "WE'LL", "naïve", "a1b22-c***", "Éçê.", "x'd", "don't!'s"]
         self.cuts = all(self.cut(w) == self.whole([w])[0] for w in probe)
 
     def whole(self, words: list[str]) -> list[bytes]:
         return [b"".join(map(self.binary.__getitem__, e.ids)) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
+    def piece(self, p: str) -> bytes:
+        """The ids of one piece in lower case."""
+        text = p if p.isascii() else "".join(map(self.letters.__getitem__, p.encode()))
+        self.pieces[p] = ids = b"".join([self.binary[t.id] for t in self.model.tokenize(text)])
+        return ids
+
     def cut(self, word: str) -> bytes:
-        out = []
-        for p in PIECE.findall(word.lower()):
-            if (ids := self.pieces.get(p)) is None:
-                text = p if p.isascii() else "".join(map(self.letters.__getitem__, p.encode()))
-                ids = self.pieces[p] = b"".join([self.binary[t.id] for t in self.model.tokenize(text)])
-            out.append(ids)
-        return out[0] if len(out) == 1 else b"".join(out)
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) > MEMORY:
-            self.known.clear()
+        known, piece = self.pieces.get, self.piece
+        return b"".join([known(p) or piece(p) for p in PIECE.findall(word.lower())])
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each word. Most are letters alone, or with one mark behind, and need no pattern."""
         if len(self.pieces) > MEMORY:
             self.pieces.clear()
-        known, rest, plain, cut = self.known, [], PLAIN.fullmatch, self.cut
-        for w in words:
-            if w not in known:
-                if self.cuts and plain(w) and "<|" not in w:
-                    known[w] = cut(w)
-                else:
-                    rest.append(w)
-        if rest:
-            known.update(zip(rest, self.whole(rest)))
+        out: list[bytes] = []
+        put, plain, cut, piece, known = out.append, PLAIN.fullmatch, self.cut, self.piece, self.pieces.get
+        rest: list[int] = []
+        for i, w in enumerate(words if self.cuts else ()):
+            if w.isalpha():
+                if w.isascii() or plain(w):
+                    p = w.lower()
+                    put(known(p) or piece(p))
+                    continue
+            elif w and w[-1] in MARKS and (h := w[:-1]).isalpha():
+                if h.isascii() or plain(h):
+                    p = h.lower()
+                    put((known(p) or piece(p)) + (known(w[-1]) or piece(w[-1])))
+                    continue
+            elif plain(w) and "<|" not in w:
+                put(cut(w))
+                continue
+            put(b"")
+            rest.append(i)
+        if not self.cuts:
+            return self.whole(words)
+        for i, b in zip(rest, self.whole([words[i] for i in rest]) if rest else ()):
+            out[i] = b
+        return out
 
     def encode(self, texts: pa.Array, end: int) -> list[np.ndarray]:
         """For each text (a string array without nulls) its ids and `end`, as uint32."""
@@ -89,8 +105,7 @@ class Words:
             return [np.array([end], np.uint32) for _ in range(len(texts))]
         coded = flat.dictionary_encode()
         words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        self.learn(words)
-        got = list(map(self.known.__getitem__, words))
+        got = self.ids(words)
         ids = np.frombuffer(b"".join(got), np.uint32)
         sizes = np.fromiter(map(len, got), np.int64, len(got)) // 4
         starts = np.cumsum(sizes) - sizes
