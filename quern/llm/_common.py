@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -53,6 +55,15 @@ def written(df: DataFrame, name: str = "stage") -> DataFrame:
     return back
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps whose result has been written: it does so for plans that the driver's
+    garbage collectors have found dead, and a quiet driver may not run them for hours."""
+    for _ in range(2):  # the first round tells the JVM which of its objects Python has dropped
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes what written() made; nothing may read it any more."""
     if path := getattr(df, "_quern_path", None):

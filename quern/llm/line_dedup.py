@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import binary_text, fresh, lean, streamed_groups, written
+from ._common import binary_text, fresh, lean, streamed_groups, tidy, written
 
 _UPPER = "".join(re.escape(chr(c)) for c in range(min(sys.maxunicode, 0xFFFF)) if chr(c).isupper())
 #: What stands between units of each kind.
@@ -177,6 +177,7 @@ def line_dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text", kind:
     rank = F.coalesce(F.col(ident).cast("long"), F.lit(2**63 - 1))
     slim = docs.select(rank.alias("id"), F.xxhash64(text).alias("mark"), binary_text(text).alias("raw"))
     found = written(repeats(slim, kind, least_words).groupBy("id", "mark").agg(F.collect_list("loc").alias("gone")), "windows")
+    tidy(docs.sparkSession)
     found = found.select(F.col("id").alias(key), F.col("mark").alias(mark), F.col("gone").alias(gone))
     both = docs.withColumn(key, rank).withColumn(mark, F.xxhash64(text)).join(found, [key, mark], "left").select(*docs.columns, gone)
     schema = docs.withColumn(n_units, F.lit(0)).withColumn(n_removed, F.lit(0)).withColumn(removed, F.expr("array(named_struct('start', 0L, 'end', 0L))")).schema

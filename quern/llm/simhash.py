@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import binary_text, fresh, lean, slices, streamed_groups, written
+from ._common import binary_text, fresh, lean, slices, streamed_groups, tidy, written
 from .components import components
 
 BITS = 64
@@ -190,6 +190,7 @@ def classes(fps: DataFrame, ident: str, names: list[str], radius: int = 4) -> Da
     long = rows.select("node", F.explode(each).alias("e")).select("node", "e.family", "e.fp")
     distinct = long.groupBy("family", "fp").agg(F.count("*").alias("n"))
     found = written(links(distinct.select("family", "fp"), radius), "links")
+    tidy(fps.sparkSession)
     hub = lambda c: F.xxhash64(F.col("family"), F.col(c))
     between = found.select(hub("u").alias("u"), hub("v").alias("v"))
     hubs = between.select(F.col("u").alias("h")).union(between.select("v")).union(distinct.where("n > 1").select(hub("fp"))).distinct()

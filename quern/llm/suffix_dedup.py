@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import binary_text, lean, streamed_groups, written
+from ._common import binary_text, lean, streamed_groups, tidy, written
 
 #: Bytes that an anchor is chosen by; a string of `length` bytes has length - GRAM + 1 candidates.
 GRAM = 32
@@ -372,9 +372,11 @@ def repeats(docs: DataFrame, length: int = 100, sample: int = 2000, hot_docs: in
     """
     hot = hot_grams(docs, length, sample, hot_docs)
     found = written(_settled(_dealt(docs, length, hot)), "runs")
+    tidy(docs.sparkSession)
     lo, span = F.shiftright("loc", 18), F.shiftright("loc", 9).bitwiseAND(511)
     out = found.where("kind = 0").select("id", "mark", lo.alias("lo"), (lo + span).alias("hi"))
     blocks = written(_blocks(docs, found.where("kind > 0"), length), "blocks")
+    tidy(docs.sparkSession)
     out = out.union(_sorted_buckets(blocks.where("kind = 1"), length))
     return out.union(_across_boundaries(blocks.where("kind = 2"), length)) if len(hot) else out
 
