@@ -341,7 +341,7 @@ def covariance_scan(spark, d):
     return spark.createDataFrame([(i, float(c[i, 0])) for i in range(64)], "dim int, cov double").select("dim", r6("cov").alias("cov"))
 
 
-@query("SELECT CASE WHEN toxic = 1 THEN 1 ELSE -1 END AS label, CASE WHEN toxic = 1 THEN least(count(*), 20) ELSE least(count(*), 40) END AS n FROM labels GROUP BY toxic")
+@query("SELECT CASE WHEN toxic = 1 THEN 1 ELSE -1 END AS label, CASE WHEN toxic = 1 THEN least(count(*), 20) ELSE least(count(*), 2 * least((SELECT count(*) FROM labels WHERE toxic = 1), 20)) END AS n FROM labels GROUP BY toxic")
 def training_set(spark, d):
     t = table(spark, d, "labels").select("doc_id", "toxic")
     return sampling.training_set(t.where("toxic = 1"), t.where("toxic = 0"), "doc_id", 20, 2).groupBy("label").agg(F.count("*").alias("n"))

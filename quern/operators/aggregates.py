@@ -108,7 +108,7 @@ def error_rates(df: DataFrame, score: Column, label: Column, threshold: float) -
     )
 
 
-def ranges(df: DataFrame, col: str, parts: int = 64) -> Column:
+def ranges(df: DataFrame, col: str, parts: int = 16) -> Column:
     """The number of the range that a numeric column's value lies in, between about equally many rows each.
 
     The bounds are values held by the driver and not by a sampled shuffle, so every plan and every rerun that uses the

@@ -180,8 +180,9 @@ def listed_fields(m: Column) -> Column:
 
 
 def foreign_ids(df: DataFrame, column: str, target: DataFrame, name: str, ident: str) -> DataFrame:
-    """df with an array column of names replaced by the ids of the rows they name, in order; unknown names go."""
-    key = df.withColumn("row_", F.monotonically_increasing_id())
-    each = key.select("row_", F.posexplode(column).alias("pos_", "name_")).join(target.select(F.col(name).alias("name_"), F.col(ident).alias("id_")), "name_")
-    ids = each.groupBy("row_").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos_", "id_"))), lambda x: x["id_"]).alias("ids_"))
-    return key.join(ids, "row_", "left").withColumn(column, F.col("ids_")).drop("row_", "ids_")
+    """df with an array column of names replaced by the ids of the rows they name, in order; unknown names go.
+    Every distinct list is looked up once, so nothing depends on the order of rows."""
+    lists = df.select(F.col(column).alias("list_")).where("list_ IS NOT NULL").distinct()
+    each = lists.select("list_", F.posexplode("list_").alias("pos_", "name_")).join(target.select(F.col(name).alias("name_"), F.col(ident).alias("id_")), "name_")
+    ids = each.groupBy("list_").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos_", "id_"))), lambda x: x["id_"]).alias("ids_"))
+    return df.join(ids, F.col(column) == F.col("list_"), "left").withColumn(column, F.col("ids_")).drop("list_", "ids_")
