@@ -44,10 +44,16 @@ def features(word: str) -> list[str]:
 @dataclass
 class Model:
     """A sentence is offensive with probability sigmoid(bias + the weights of its words' features); a document, by
-    noisy-or, unless every sentence is harmless. Features without a weight count nothing."""
+    noisy-or, unless every sentence is harmless. Features without a weight count nothing.
+
+    Each sentence over `usual` takes back what a harmless one adds to -log(1 - p) on average, and two standard errors, so that long documents
+    are not offensive by their length; a document is never less offensive than its worst sentence."""
 
     weights: dict[str, float]
     bias: float
+    harmless: float = 0.0
+    spread: float = 0.0
+    usual: int = 0
     #: Words whose weight is remembered at most, before memory starts anew.
     memory: int = 200_000
 
@@ -69,7 +75,7 @@ class Model:
         return self.bias + sum(x if (x := get(w)) is not None else self.word(w) for w in words)
 
     def score(self, text: str | None) -> float:
-        """1 - product of (1 - p) over the sentences; 0 sentences: the bias alone."""
+        """1 - product of (1 - p) over the sentences, less the allowance for length; 0 sentences: the bias alone."""
         get, word, n, z, zs = self.known.get, self.word, 0, self.bias, []
         for t in TOKEN.findall((text or "").lower()):
             if t in ENDS:
@@ -82,7 +88,9 @@ class Model:
                 z += word(t) if x is None else x
         if n or not zs:
             zs.append(z)
-        return float(-np.expm1(-np.logaddexp(0, np.array(zs)).sum()))
+        each = np.logaddexp(0, np.array(zs))
+        over = max(len(zs) - self.usual, 0)
+        return float(-np.expm1(-max(each.sum() - self.harmless * over - 2 * self.spread * over**0.5, each.max())))
 
     def locate(self, text: str | None, least: float = 0.5) -> list[tuple[int, int, float]]:
         """(start, end, probability) in characters of each sentence of at least that probability."""
@@ -175,7 +183,8 @@ def fit(texts: list[str], labels: np.ndarray, least_docs: int = 4, most: int = 4
         w -= step * dw
         w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
         b = min(b - rate * db / np.sqrt(gb), -1.0)
-    return Model({f: float(x) for fs, x in zip(names, w) for f in sorted(fs) if abs(x) > 1e-3}, float(b))
+    each, clean = np.logaddexp(0, b + np.bincount(sent_, w[ids_], len(doc_))), y[doc_] == 0
+    return Model({f: float(x) for fs, x in zip(names, w) for f in sorted(fs) if abs(x) > 1e-3}, float(b), float(each[clean].mean()), float(each[clean].std()), int(np.ceil(len(doc_) / len(y))))
 
 
 def held_out(ident: str = "doc_id") -> Column:
@@ -183,18 +192,20 @@ def held_out(ident: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = 10_000, most_bytes: int = 40 << 20, **how) -> Model:
-    """Fits on the labelled documents that are not held out, at most `most_rows` of them and `most_bytes` of text
-    (the bounds of the sample; texts over 20,000 characters are not drawn), chosen by a hash of the id. Labels that contradict each other for one id are left out."""
+    """Fits on the labelled documents that are not held out, at most `most_rows` of them and `most_bytes` of text (the
+    bounds of the sample), of any length, in the order of a hash of the id. Labels that contradict each other for one
+    id are left out; of rows that repeat an id the smallest text counts."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(ident).isNotNull() & ~held_out(ident)).groupBy(ident).agg(F.min(label).alias("y"), F.max(label).alias("y2")).where("y = y2").select(F.col(ident).alias("ident_"), "y")
-    chosen = known.orderBy(F.xxhash64(F.col("ident_"), F.lit(17)), "ident_").limit(most_rows)
-    own = docs.select(F.col(ident).alias("ident_"), F.coalesce(F.col(text), F.lit("")).alias("t")).where("length(t) <= 20000")
-    rows = own.join(F.broadcast(chosen), "ident_").select("ident_", "t", "y").collect()
-    got: dict[int, tuple[str, int]] = {}
-    left = most_bytes
-    for r in sorted(rows):
-        if r[0] not in got and (left := left - len(r[1])) > 0:
-            got[r[0]] = (r[1], r[2])
-    kept = [got[k] for k in sorted(got)]
+    order = F.xxhash64(F.col("ident_"), F.lit(17)).alias("order_")
+    chosen = known.orderBy(order, "ident_").limit(most_rows)
+    own = docs.select(F.col(ident).alias("ident_"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = own.join(F.broadcast(chosen), "ident_").groupBy("ident_", "y").agg(F.min("t").alias("t"))
+    left, last = most_bytes, None
+    for at, size in sorted(rows.select(order, F.octet_length("t").alias("size_")).where(F.col("size_") <= most_bytes).collect()):
+        if (left := left - size) < 0:
+            break
+        last = at
+    kept = [(r["t"], r["y"]) for r in sorted(rows.where((order <= F.lit(last)) & (F.octet_length("t") <= most_bytes)).collect())] if last is not None else []
     return fit([t for t, _ in kept], np.array([y for _, y in kept]), **how)
 
 

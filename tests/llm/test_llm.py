@@ -517,6 +517,23 @@ def test_noisy_or():
     assert m.score("bad. ok. bad ok") == pytest.approx(1 - (1 - p(1)) ** 2 * (1 - p(-4))) and m.score(None) == m.score("") == pytest.approx(p(-4))
 
 
+def test_long_texts_are_drawn_and_not_toxic_by_length(spark):
+    rng = np.random.default_rng(11)
+    plain = [f"word{i}" for i in range(60)]
+    line = lambda: " ".join(plain[k] for k in rng.integers(0, 60, 8)) + ". "
+    rows, labels = [], []
+    for i in range(400):
+        rows.append((i, "".join(line() for _ in range(5)) + ("vilest. " if i % 5 == 1 else ""), "s"))
+        labels.append((i, int(i % 5 == 1)))
+    model = toxicity.train(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    clean = "".join(line() for _ in range(100_000))
+    assert model.score(clean) < 0.5 <= model.score(clean + "vilest.") and model.score("vilest.") >= 0.5
+    long = [(i, t + line() * 500, s) for i, t, s in rows]
+    assert min(len(t) for _, t, _ in long) > 20_000
+    model = toxicity.train(docs(spark, long), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.score("vilest.") >= 0.5 > model.score("word1.")
+
+
 # --- pipeline -----------------------------------------------------------------------------------------------------
 
 
