@@ -30,7 +30,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Documents less the passages that an earlier one has; a document that loses all of its text goes."""
     _, gone, _ = fresh(docs, "n_units", "n_removed", "removed")
     cut = F.coalesce(F.col(gone) > 0, F.lit(False))
-    out = line_dedup.line_dedup(docs).where(~cut | F.col("text").rlike(WORD))
+    out = line_dedup.line_dedup(docs, kind="passage").where(~cut | F.col("text").rlike(WORD))
     return out.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -35,7 +35,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), kind="passage")
     return out.select("doc_id", "n_units", "n_removed", "removed", F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -214,6 +214,21 @@ def test_line_dedup_cuts_passages_inside_lines(spark):
     assert got == {1: rows[0][1], 2: "another beginning another end\nlast", 3: "first\nlast"}
 
 
+@pytest.mark.parametrize("script", ["lower", "han"])
+def test_line_dedup_cuts_passages_inside_sentences(spark, script):
+    rng = np.random.default_rng(12)
+    word = (lambda: chr(0x4E00 + int(rng.integers(0, 5000)))) if script == "han" else (lambda: f"w{rng.integers(0, 5000)}")
+    some, join = lambda n: [word() for _ in range(n)], ("" if script == "han" else " ").join
+    passage = some(200)
+    rows = [(i, join([*some(30), *passage, *some(30)]), "s") for i in range(8)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs(spark, rows), kind="passage").collect()}
+    assert got == line_dedup.brute_force([r[:2] for r in rows], "passage", 20) and got[0] == rows[0][1]
+    middle = join(passage[60:140])
+    for i in range(1, 8):
+        whole = rows[i][1].strip()
+        assert middle not in got[i] and len(got[i]) < 0.6 * len(whole) and got[i][:20] == whole[:20] and got[i][-20:] == whole[-20:]
+
+
 def test_line_dedup_odd(odd, none):
     out = line_dedup.line_dedup(odd, least_words=8).collect()
     by = {r["doc_id"]: r for r in out}
