@@ -182,9 +182,10 @@ def blocks(html: str | None) -> list[str]:
     """The text blocks of the page's main content, in page order.
 
     Every line (one block of text) gets the ratio of its unlinked characters to its tags; the smoothed ratios fall
-    into two clusters. The region is the article or main element, or else the deepest element that holds most of the
-    upper cluster's text; all lines of the region stay, short ones too, but for those in elements that are by name,
-    role or class no part of an article and, outside an article element, lines that are mostly links. A page that
+    into two clusters. The region is the article or main element, or else the deepest element that holds all of the
+    upper cluster's text and, if that is one line, the block around it; all lines of the region stay, short ones too,
+    but for those in elements that are by name, role or class no part of an article and, outside an article element,
+    menus: three or more lines in a row that are mostly links, before or behind all of the upper cluster. A page that
     is all form is read again without skipping forms.
     """
     text = (html or "").replace("\0", "")
@@ -223,9 +224,24 @@ def blocks(html: str | None) -> list[str]:
         return [x[0] for x, path in zip(lines, paths) if not inside.isdisjoint(path)]
     root = 0
     if total:
-        deep = {n: len(up(n)) for n, w in held.items() if w >= 0.6 * total}
+        deep = {n: len(up(n)) for n, w in held.items() if w >= total * (1 - 1e-9)}
         root = max(deep, key=lambda n: (deep[n], -n))
-    return [x[0] for x, path in zip(lines, paths) if root in path and x[2] <= 0.5 * len(x[0])]
+        own = {x[3] for x in lines}
+        if np.count_nonzero(weight) == 1:
+            while root in own and parents[root]:
+                root = parents[root]
+    chosen = [k for k, path in enumerate(paths) if root in path]
+    upper = np.flatnonzero(weight)
+    menu: set[int] = set()
+    run: list[int] = []
+    for k in [*chosen, -1]:
+        if k >= 0 and 2 * links[k] > size[k] and len(upper) and not upper[0] < k < upper[-1]:
+            run.append(k)
+            continue
+        if len(run) > 2:
+            menu.update(run)
+        run = []
+    return [lines[k][0] for k in chosen if k not in menu]
 
 
 def main_text(html: str | None) -> str:

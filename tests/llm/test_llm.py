@@ -434,6 +434,18 @@ def test_html(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        (f"<nav><a href=/>Home</a></nav><div class=post><h2>Head</h2><p>{'long words ' * 60}</p><p>{'short tail ' * 25}</p></div><footer>foot</footer>", ["Head", "long words " * 60, "short tail " * 25]),
+        (f"<body><div class=post><h1>Head</h1><section><h2>One</h2><p>{'long words ' * 60}</p></section><section><h2>Two</h2><p>{'more words ' * 20}</p></section></div></body>", ["Head", "One", "long words " * 60, "Two", "more words " * 20]),
+        (f"<div id=page><div class=post><h2>Head</h2><p>{'long words ' * 60}</p><p><a href=/x>a line of the article that is mostly a link</a> tail</p></div></div>", ["Head", "long words " * 60, "a line of the article that is mostly a link tail"]),
+    ],
+)
+def test_html_without_article_elements(html, text):
+    assert html_text.blocks(html) == [t.strip() for t in text]
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(i, None if i == 2 else "u", h, "mine") for i, (h, _) in enumerate(PAGES)] + [(None, None, "<p>" + "x" * 2_000_000, "z")], "page_id long, url string, html string, text string")
     got = html_text.extract(df).collect()
