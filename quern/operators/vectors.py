@@ -168,9 +168,11 @@ def ppmi(pairs: DataFrame, shift: float = 0.0) -> DataFrame:
 def ppmi_embeddings(matrix: DataFrame, share: float = 0.9, most_items: int = 4000) -> DataFrame:
     """(item, v): unit rows of a singular value decomposition that keeps `share` of the variance.
 
-    The vocabulary is bounded by `most_items`, so its dense matrix fits the driver.
+    The dense matrix must fit the driver, so a vocabulary of over `most_items` raises an error; none is dropped.
     """
-    items = [r[0] for r in matrix.groupBy("a").agg(F.sum("ppmi").alias("s")).orderBy(F.col("s").desc(), "a").limit(most_items).collect()]
+    items = [r[0] for r in matrix.groupBy("a").agg(F.sum("ppmi").alias("s")).limit(most_items + 1).collect()]
+    if len(items) > most_items:
+        raise ValueError(f"ppmi_embeddings takes at most {most_items} items")
     at = {x: i for i, x in enumerate(sorted(items))}
     m = np.zeros((len(at), len(at)))
     for r in matrix.where(F.col("a").isin(items) & F.col("b").isin(items)).collect():

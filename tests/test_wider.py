@@ -187,3 +187,12 @@ def test_prompts(spark):
     j = prompts.fuzzy_join(df.where("t = 'a'"), [{"id": k} for k in "pqrs"], "i", "t", lambda p: json.dumps([{"id": x["id"], "confidence": 0.5 if x["id"] == "p" else 0.9} for x in json.loads(p.split("Among: ")[1])]), chunk=2).collect()
     assert [r["match"] for r in j] == ["q", "r", "s"]
     assert prompts.tag_groups('[["A", "zz"], ["b"]]', {"a", "b"}) == [["a"], ["b"]] and prompts.tag_groups("a, b\nq", {"a", "b"}) == [["a", "b"]]
+
+
+def test_ppmi_embeddings_drop_no_item(spark):
+    from quern.operators import vectors
+
+    m = spark.createDataFrame([(x, y, 1.0) for x in "abc" for y in "abc" if x != y], "a string, b string, ppmi double")
+    assert {r["item"] for r in vectors.ppmi_embeddings(m, most_items=3).collect()} == set("abc")
+    with pytest.raises(ValueError):
+        vectors.ppmi_embeddings(m, most_items=2)
