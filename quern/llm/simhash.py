@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import binary_text, fresh, lean, slices, streamed_groups, tidy, written
+from ._common import binary_text, discard, fresh, lean, slices, streamed_groups, tidy, written
 from .components import components
 
 BITS = 64
@@ -108,100 +108,100 @@ def _signed(x: int) -> int:
 
 
 def spanning(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links that join exactly the values of `fps` (distinct) connected within `radius`: at most len(fps)-1 of them.
+    """Links, as places, that join exactly the values of `fps` (distinct) connected within `radius`: at most len(fps)-1.
 
     Breadth first: what one value reaches leaves the pool, so a dense bucket costs about one pass and never all pairs.
     """
-    pool = fps
+    pool = np.arange(len(fps))
     while len(pool):
         front, pool = pool[:1], pool[1:]
         while len(front) and len(pool):
             at, front = front[0], front[1:]
-            near = np.bitwise_count(np.bitwise_xor(pool, at)) <= radius
+            near = np.bitwise_count(np.bitwise_xor(fps[pool], fps[at])) <= radius
             if near.any():
                 got = pool[near]
                 yield np.full(len(got), at), got
                 front, pool = np.concatenate([front, got]), pool[~near]
 
 
-def links(distinct: DataFrame, radius: int = 4, dense: int = 20_000) -> DataFrame:
-    """(family, u, v): links that connect the distinct (family, fp) of each family exactly as all pairs within
-    `radius` bits would.
+def links(entries: DataFrame, masks: list[int], radius: int = 4, dense: int = 20_000) -> DataFrame:
+    """(u, v): pairs of different roots that connect the roots exactly as all pairs of fingerprints of one family within
+    `radius` bits that agree under one of the masks would; entries: (family, fp, root), a row per (family, fp).
 
-    Every fingerprint goes to one bucket per covering mask. A bucket of over `dense` fingerprints is split again by
-    a second family of covering masks over its free bits, which keeps the guarantee; a bucket still that large lies
-    in a small ball, where breadth-first linking takes about one pass.
+    Every fingerprint goes to one bucket per mask. A bucket whose fingerprints have one root has nothing to tell. One
+    of over `dense` fingerprints is split again by a second family of covering masks over its free bits, which keeps
+    the guarantee; a bucket still that large lies in a small ball, where breadth-first linking takes about one pass.
     """
-    masks, second = covering_masks(radius), covering_masks(radius, seed=12)
+    second = covering_masks(radius, seed=12)
     each = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("m")) for t, m in enumerate(masks)])
-    keyed = distinct.select("family", "fp", F.explode(each).alias("b")).select(F.xxhash64("family", "b.t", "b.m").alias("k"), "fp", (F.col("family") * len(masks) + F.col("b.t")).cast("int").alias("t"))
+    keyed = entries.select("family", "fp", "root", F.explode(each).alias("b")).select(F.xxhash64("family", "b.t", "b.m").alias("k"), "fp", "root")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in streamed_groups(batches, ["k"]):
-            f, s = g["fp"].view(np.uint64), g["starts"]
+            f, root, s = g["fp"].view(np.uint64), g["root"], g["starts"]
             ends = np.append(s[1:], len(f))
-            many = np.flatnonzero(ends - s > 1)
-            fs, us, vs = [], [], []
-            for a, z in zip(s[many], ends[many]):
-                own, (family, t) = f[a:z], divmod(int(g["t"][a]), len(masks))
+            several = np.flatnonzero(np.minimum.reduceat(root, s) != np.maximum.reduceat(root, s))
+            us, vs = [], []
+            for a, z in zip(s[several], ends[several]):
+                own, of = f[a:z], root[a:z]
                 if z - a == 2:
                     if int(own[0] ^ own[1]).bit_count() <= radius:
-                        fs.append(np.full(1, family))
-                        us.append(own[:1])
-                        vs.append(own[1:])
+                        us.append(of[:1])
+                        vs.append(of[1:])
                     continue
-                for part in _parts(own, t, masks, second, dense):
-                    for u, v in spanning(part, radius):
-                        fs.append(np.full(len(u), family))
-                        us.append(u)
-                        vs.append(v)
+                for part in _parts(own, second, dense):
+                    for u, v in spanning(own[part], radius):
+                        us.append(of[part[u]])
+                        vs.append(of[part[v]])
             if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(fs).astype(np.int32)), *[pa.array(np.concatenate(x).view(np.int64)) for x in (us, vs)]], ["family", "u", "v"])
+                u, v = np.concatenate(us), np.concatenate(vs)
+                pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1)[u != v], axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], ["u", "v"])
 
-    bucketed = keyed.repartition("k").sortWithinPartitions("k", "fp")
-    return bucketed.mapInArrow(lean(split), "family int, u long, v long").distinct()
+    bucketed = keyed.repartition("k").sortWithinPartitions("k")
+    return bucketed.mapInArrow(lean(split), "u long, v long").distinct()
 
 
-def _parts(own: np.ndarray, t: int, masks: list[int], second: list[int], dense: int) -> Iterator[np.ndarray]:
-    own = np.unique(own)
+def _parts(own: np.ndarray, second: list[int], dense: int) -> Iterator[np.ndarray]:
+    """Places in `own`, in parts that hold every pair of it that agrees under one of the second masks."""
     if len(own) <= dense:
-        yield own
+        yield np.arange(len(own))
         return
-    free = ~masks[t] & (2**64 - 1)
+    free = np.bitwise_or.reduce(own ^ own[0])
     for m in second:
-        key = own & np.uint64(m & free)
+        key = own & (np.uint64(m) & free)
         order = np.argsort(key, kind="stable")
         cuts = np.flatnonzero(np.diff(key[order])) + 1
-        for part in np.split(own[order], cuts):
+        for part in np.split(order, cuts):
             if len(part) > 1:
                 yield part
 
 
-def classes(fps: DataFrame, ident: str, names: list[str], radius: int = 4) -> DataFrame:
-    """(names, component_id): for each distinct row of fingerprints the smallest non-null `ident` of its component.
+def classes(fps: DataFrame, rank: Column | str, names: list[str], radius: int = 4, first: int = 8, dense: int = 20_000) -> DataFrame:
+    """(names, least): for each distinct row of fingerprints the smallest non-null `rank` of its component.
 
-    Rows are linked if they share a fingerprint of any family or have two within the radius. The graph has only
-    fingerprints as nodes: those of one row are tied to the smallest of them, and as rows that tie the same ones make
-    one edge, a fingerprint that a third of all rows share has few. Fingerprints that no other row shares and no link
-    names lead nowhere and stay out.
+    Rows are linked if they share a fingerprint of any family or have two within the radius. They are the nodes of the
+    graph. The first few masks, and the fingerprints that rows share, join nearly all that belongs together; the other
+    masks then link only what these left apart, so links stay few however many fingerprints lie close together.
     """
-    rows = written(fps.groupBy(*names).agg(F.min(ident).alias("least")).withColumn("node", F.xxhash64(F.lit(-1), *names)), "rows")
+    node = F.col(names[0]) if len(names) == 1 else F.xxhash64(*names)
+    rows = written(fps.groupBy(*names).agg(F.min(rank).alias("least")).withColumn("node", node), "rows")
     each = F.array(*[F.struct(F.lit(k).alias("family"), F.col(n).alias("fp")) for k, n in enumerate(names)])
     long = rows.select("node", F.explode(each).alias("e")).select("node", "e.family", "e.fp")
-    distinct = long.groupBy("family", "fp").agg(F.count("*").alias("n"))
-    found = written(links(distinct.select("family", "fp"), radius), "links")
+    entries = written(long.groupBy("family", "fp").agg(F.min("node").alias("root"), F.max("node").alias("last")), "entries")
+    shared = entries.where("root <> last").select("family", "fp", "root")
+    ties = long.join(shared, ["family", "fp"]).where("node <> root").select("node", "root")
+    masks = covering_masks(radius)
+    near = components(links(entries, masks[:first], radius, dense).union(ties))
     tidy(fps.sparkSession)
-    hub = lambda c: F.xxhash64(F.col("family"), F.col(c))
-    between = found.select(hub("u").alias("u"), hub("v").alias("v"))
-    hubs = between.select(F.col("u").alias("h")).union(between.select("v")).union(distinct.where("n > 1").select(hub("fp"))).distinct()
-    spokes = long.select("node", hub("fp").alias("h")).join(hubs, "h")
-    tied = written(spokes.groupBy("node").agg(F.min("h").alias("first"), F.collect_set("h").alias("all")), "tied")
-    ties = tied.select(F.col("first").alias("u"), F.explode("all").alias("v")).where("u <> v").distinct()
-    comp = components(between.union(ties)).withColumnRenamed("node", "first")
-    label = tied.select("node", "first").join(comp, "first", "left").select("node", F.coalesce("component", "first").alias("component"))
-    known = written(rows.join(label, "node", "left").select(*names, "least", F.coalesce("component", "node").alias("component")), "classes")
-    least = known.groupBy("component").agg(F.min("least").alias("component_id"))
-    return known.join(least, "component").select(*names, "component_id")
+    to = lambda df, name, comp: df.join(comp.withColumnRenamed("node", name), name, "left").withColumn(name, F.coalesce("component", name)).drop("component")
+    far = components(links(to(entries.select("family", "fp", "root"), "root", near), masks[first:], radius, dense))
+    known = written(to(to(rows, "node", near), "node", far), "classes")
+    least = written(known.groupBy("node").agg(F.min("least").alias("least")), "least")
+    for done in (rows, entries, near, far):
+        discard(done)
+    tidy(fps.sparkSession)
+    return known.drop("least").join(least, "node").select(*names, "least")
 
 
 def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text", families: tuple[Family, ...] = PLAIN, radius: int = 4) -> DataFrame:
@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     names = [f"fp{k}" for k in range(len(families))]
     fps = written(fingerprints(docs.select(F.col(ident).alias("ident"), F.col(text).alias("text")), families=families, names=names), "fingerprints")
     out = fps.join(classes(fps, "ident", names, radius), names)
-    return out.select(F.col("ident").alias(ident), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select(F.col("ident").alias(ident), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, ident: str = "doc_id", text: str = "text", families: tuple[Family, ...] = WIDE, **how) -> DataFrame:

@@ -260,7 +260,7 @@ def test_families():
 def test_linked_by_any_family(spark):
     rows = [(1, 0, 0), (2, 0, 0xFFFF << 20), (3, 0xFFFF, (0xFFFF << 20) | 3), (4, 0xFFFF << 32, 0xFF << 40), (5, 0xFF << 8, 0xFF << 50)]
     df = spark.createDataFrame(rows, "ident long, a long, b long")
-    got = {(r["a"], r["b"]): r["component_id"] for r in simhash.classes(df, "ident", ["a", "b"]).collect()}
+    got = {(r["a"], r["b"]): r["least"] for r in simhash.classes(df, "ident", ["a", "b"]).collect()}
     assert [got[r[1:]] for r in rows] == [1, 1, 1, 4, 5]
 
 
@@ -287,8 +287,8 @@ def test_covering_masks():
         assert any(d & m == 0 for m in masks)
 
 
-@pytest.mark.parametrize("dense", [20_000, 30])
-def test_links_join_what_pairs_would(spark, dense):
+@pytest.mark.parametrize("dense,first", [(20_000, 8), (30, 8), (20_000, 1)])
+def test_links_join_what_pairs_would(spark, dense, first):
     rng = np.random.default_rng(4)
     seeds = rng.integers(0, 2**63, 40, dtype=np.uint64)
     fps = set()
@@ -296,18 +296,27 @@ def test_links_join_what_pairs_would(spark, dense):
         for _ in range(20):
             fps.add(int(s) ^ sum(1 << int(i) for i in rng.choice(64, rng.integers(0, 5), replace=False)))
     fps = sorted(fps)
-    df = spark.createDataFrame([(0, simhash._signed(f)) for f in fps], "family int, fp long")
-    got = {r["node"]: r["component"] for r in components(simhash.links(df, 4, dense=dense).select("u", "v")).collect()}
+    df = spark.createDataFrame([(i, simhash._signed(f)) for i, f in enumerate(fps)], "ident long, fp long")
     pairs = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]
     roots = union_find(len(fps), pairs)
-    ours = [got.get(simhash._signed(f), simhash._signed(f)) for f in fps]
-    assert len(set(zip(ours, roots))) == len(set(ours)) == len(set(roots))
+    got = {r["fp"]: r["least"] for r in simhash.classes(df, "ident", ["fp"], dense=dense, first=first).collect()}
+    assert [got[simhash._signed(f)] for f in fps] == roots
 
 
-def test_components_of_chains(spark):
-    n = 300
+def test_links_stay_few(spark):
+    """What the first masks joined gives no more links, however dense it is."""
+    rng = np.random.default_rng(14)
+    fps = sorted({sum(1 << int(i) for i in rng.choice(64, rng.integers(0, 4), replace=False)) for _ in range(3000)})
+    df = spark.createDataFrame([(0, simhash._signed(f), 0) for f in fps], "family int, fp long, root long")
+    assert simhash.links(df, simhash.covering_masks(4)).count() == 0
+    two = df.withColumn("root", F.col("fp").bitwiseAND(1))
+    assert [tuple(r) for r in simhash.links(two, simhash.covering_masks(4)).collect()] == [(1, 0)]
+
+
+@pytest.mark.parametrize("n,few", [(300, 5_000_000), (60, 1)])
+def test_components_of_chains(spark, n, few):
     e = spark.createDataFrame([((i * 7) % n, (i * 7 + 7) % n) for i in range(n - 1)] + [(1000, 1001), (5, 5)], "u long, v long")
-    got = {r["node"]: r["component"] for r in components(e).collect()}
+    got = {r["node"]: r["component"] for r in components(e, few=few).collect()}
     assert {got[i] for i in range(n)} == {0} and got[1001] == got[1000] == 1000 and len(got) == n + 2
 
 
