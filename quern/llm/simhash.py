@@ -218,13 +218,17 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     return out.select(F.col("ident").alias(ident), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, ident: str = "doc_id", text: str = "text", families: tuple[Family, ...] = WIDE, **how) -> DataFrame:
-    """docs with one document of each near-duplicate class: the one with the smallest `ident`.
+def keep_one(docs: DataFrame, ident: str = "doc_id", text: str = "text", families: tuple[Family, ...] = WIDE, radius: int = 4) -> DataFrame:
+    """docs with one row of each near-duplicate class: the one with the smallest (ident, text hash, row hash).
 
-    Copies that repeat that `ident` itself stay only once; documents without an `ident` are kept as they are.
+    Rows are told apart by these three and not by the `ident` alone, so other texts under a repeated `ident` are judged
+    by what they say; of rows that are equal throughout one stays. Null ids rank last. Reruns keep the same rows.
     """
-    (keep,) = fresh(docs, "keep")
-    kept = near_duplicates(docs.where(F.col(ident).isNotNull()), ident, text, families, **how)
-    kept = kept.where(F.col(ident) == F.col("component_id")).select(F.col(ident).alias(keep)).distinct()
-    first = docs.where(F.col(ident).isNotNull()).join(kept, F.col(ident) == F.col(keep), "left_semi")
-    return first.dropDuplicates([ident]).unionByName(docs.where(F.col(ident).isNull()))
+    absent, own, mark, row = fresh(docs, "absent_", "own_", "mark_", "row_")
+    plain = [f.name for f in docs.schema if not f.dataType.simpleString().startswith(("map", "variant"))]
+    keys = {absent: F.col(ident).isNull(), own: F.coalesce(F.col(ident).cast("long"), F.lit(0)), mark: F.xxhash64(text), row: F.xxhash64(*plain)}
+    names = [f"fp{k}" for k in range(len(families))]
+    slim = docs.select(F.struct(*[c.alias(n) for n, c in keys.items()]).alias("key"), F.col(text).alias("text"))
+    fps = written(fingerprints(slim, families=families, names=names), "fingerprints")
+    kept = classes(fps, "key", names, radius).select("least.*").distinct()
+    return docs.withColumns(keys).join(kept, list(keys), "left_semi").dropDuplicates(list(keys)).select(*docs.columns)

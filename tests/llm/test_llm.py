@@ -313,6 +313,16 @@ def test_links_stay_few(spark):
     assert [tuple(r) for r in simhash.links(two, simhash.covering_masks(4)).collect()] == [(1, 0)]
 
 
+def test_keep_one_tells_rows_apart(spark):
+    rng = np.random.default_rng(15)
+    text = lambda: " ".join(f"w{k}" for k in rng.integers(0, 900, 150))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(1, a, "s"), (1, b, "s"), (2, a + " tail", "s"), (2, c, "s"), (3, d, "s"), (3, d, "s"), (None, d, "s"), (None, b.upper(), "x"), (None, "only here and nowhere else", "x"), (4, d, "t")]
+    want = sorted([(1, a), (1, b), (2, c), (3, d), (-1, "only here and nowhere else")])
+    for df in (docs(spark, rows), docs(spark, rows[::-1]).repartition(5)):
+        assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in simhash.keep_one(df).collect()) == want
+
+
 @pytest.mark.parametrize("n,few", [(300, 5_000_000), (60, 1)])
 def test_components_of_chains(spark, n, few):
     e = spark.createDataFrame([((i * 7) % n, (i * 7 + 7) % n) for i in range(n - 1)] + [(1000, 1001), (5, 5)], "u long, v long")
