@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import line_dedup, mixing, packing, simhash, toxicity
-from quern.llm._common import WORD, fresh, table, written
+from quern.llm._common import WORD, discard, fresh, table, written
 from quern.llm.queries import word_bpe
 
 
@@ -56,7 +56,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn; what a stage has read goes as soon as its own result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        discard(before)
     return docs
