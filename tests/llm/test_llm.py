@@ -1,6 +1,7 @@
 """The operators of quern.llm against brute force, and their edge cases."""
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import ann, chat, html_text, line_dedup, mixing, packing, simhash, suffix_dedup, topk, toxicity
 from quern.llm.components import components
-from quern.llm.queries import word_bpe
+from quern.llm.queries import oracle_sql, queries, word_bpe
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i % 977}" for i in range(30_000))
@@ -171,47 +172,83 @@ def test_suffix_dedup_odd(odd, none):
     assert suffix_dedup.dedup(none).count() == 0
 
 
-def test_units():
-    text = "Some words here. More of it\nnext line And Capital? yes\n\nEnd"
-    assert [text[a:z] for a, z in line_dedup.units(text)] == ["Some words here.", "More of it", "next line", "And", "Capital?", "yes", "End"]
-    assert [text[a:z] for a, z in line_dedup.units(text, "line")] == ["Some words here. More of it", "next line And Capital? yes", "End"]
-    assert [text[a:z] for a, z in line_dedup.units(text, "paragraph")] == ["Some words here. More of it\nnext line And Capital? yes", "End"]
-    got = [(i, j) for i, j, _ in line_dedup.windows(text, least_words=5)]
-    assert got == [(0, 1), (1, 2), (2, 5), (1, 3), (1, 4), (2, 6)] and not list(line_dedup.windows("too few words"))
+def slow_units(text, kind, least, passage):
+    """(start, end, words) in words of the units and windows, the tokens, and per token whether it begins a line."""
+    tokens = list(re.finditer(r"([฀-໿က-႟ក-៿぀-ヿ㐀-鿿]|[^\s฀-໿က-႟ក-៿぀-ヿ㐀-鿿]+)(\s*)", text))
+    words = [t[1] for t in tokens]
+    h = [int(hashlib.md5(w.lower().encode()).hexdigest()[:8], 16) for w in words]
+    breaks = [9 if not i else tokens[i - 1][2].count("\n") for i in range(len(words))]
+    cut = [i for i, w in enumerate(words) if breaks[i] or words[i - 1][-1] in ".!?" or "A" <= w[0] <= "Z" or not (3 * h[i - 1] + h[i]) % 8] + [len(words)]
+    head = [i for i, b in enumerate(breaks) if b >= (2 if kind == "paragraph" else 1)] + [len(words)]
+    found = {(s, e) for s, e in zip(head, head[1:]) if e - s >= least}
+    if passage:
+        for k, s in enumerate(cut[:-1]):
+            found |= {(s, e) for e in cut[k + 1 :] if e - s >= passage and not any(x - s >= passage for x in cut[k + 1 :] if x < e)}
+            e = cut[k + 1]
+            found |= {(x, e) for x in cut[: k + 1] if e - x >= passage and not any(e - y >= passage for y in cut[: k + 1] if y > x)}
+    return sorted((s, e, " ".join(words[s:e]).lower()) for s, e in found), tokens, [b > 0 for b in breaks]
+
+
+def slow_dedup(rows, kind="line", least=1, passage=20):
+    seen, out = {}, {}
+    for ident, text in sorted(rows):
+        found, tokens, lines = slow_units(text or "", kind, least, passage)
+        bad = [False] * len(tokens)
+        for s, e, words in found:
+            if words in seen:
+                first, last = seen[words]
+                for i in range(max(s, last) if first == ident else s, e):
+                    bad[i] = True
+            else:
+                seen[words] = (ident, e)
+        kept, at, i = [], 0, 0
+        while i < len(tokens):
+            if not bad[i]:
+                i += 1
+                continue
+            j = i
+            while j < len(tokens) and bad[j]:
+                j += 1
+            z = tokens[j - 1].end() if lines[i] else tokens[j - 1].end(1) + len(re.match(r"[ \t]*", tokens[j - 1][2])[0])
+            kept.append(text[at : tokens[i].start()])
+            at, i = z, j
+        out[ident] = (None if text is None else "".join([*kept, text[at:]]), sum(bad))
+    return out
 
 
-@pytest.mark.parametrize("kind", ["sentence", "line", "paragraph"])
-def test_line_dedup_against_brute_force(spark, kind):
+@pytest.mark.parametrize("kind,least,passage", [("line", 1, 20), ("line", 1, None), ("paragraph", 3, None), ("line", 20, 20), ("paragraph", 1, 8)])
+def test_line_dedup_against_brute_force(spark, kind, least, passage):
     rng = np.random.default_rng(11)
-    words = [w for i in range(40) for w in (f"w{i}", f"W{i}", f"w{i}.")]
-    passages = [" ".join(words[k] for k in rng.integers(0, 120, 30)) for _ in range(6)]
+    words = [w for i in range(40) for w in (f"w{i}", f"W{i}", f"w{i}.", f"é{i}")] + ["中文", "ไทย"]
+    passages = [" ".join(words[k] for k in rng.integers(0, len(words), 30)) for _ in range(6)]
     rows = []
     for i in range(150):
         parts = []
         for _ in range(rng.integers(1, 6)):
-            parts.append(" ".join(words[k] for k in rng.integers(0, 120, rng.integers(0, 25))))
+            parts.append(" ".join(words[k] for k in rng.integers(0, len(words), rng.integers(0, 25))))
             if rng.random() < 0.4:
                 parts.append(passages[rng.integers(0, 6)])
-            parts.append(["\n", " ", "\n\n"][rng.integers(0, 3)])
+            parts.append(["\n", " ", "\n\n", " \t\n"][rng.integers(0, 4)])
         rows.append((i, "".join(p + " " if p.strip() else p for p in parts)))
-    rows += [(900, "ther " * 300), (901, "Ther " * 300), (902, ""), (903, rows[3][1]), (904, rows[3][1].upper())]
-    got = {r["doc_id"]: r for r in line_dedup.line_dedup(docs(spark, [(i, t, "s") for i, t in rows]), kind=kind, least_words=8).collect()}
-    want = line_dedup.brute_force(rows, kind)
-    assert {i: r["text"] for i, r in got.items()} == want
+    rows += [(900, "ther " * 300), (901, "Ther " * 300), (902, ""), (903, rows[3][1]), (904, rows[3][1].upper()), (905, None), (906, " \n \n")]
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(docs(spark, [(i, t, "s") for i, t in rows]), kind=kind, least_words=least, passage_words=passage).collect()}
+    want = slow_dedup([(i, t) for i, t in rows if t is not None], kind, least, passage)
+    assert {i: (r["text"], r["n_removed"]) for i, r in got.items() if i != 905} == want and got[905]["text"] is None
     for i, t in rows:
         kept, at = [], 0
         for s in got[i]["removed"]:
             kept.append(t[at : s["start"]])
             at = s["end"]
-        assert "".join([*kept, t[at:]]) == want[i]
+        assert t is None or "".join([*kept, t[at:]]) == want[i][0]
     assert got[903]["n_removed"] > 0
 
 
-def test_line_dedup_cuts_passages_inside_lines(spark):
-    passage = "Here stands a passage of words. It goes on for a while and then some more. It ends."
-    rows = [(1, f"start of one {passage} rest of one", "s"), (2, f"another beginning {passage} another end\nlast", "s"), (3, f"first\n{passage}\nlast", "s")]
-    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs(spark, rows), least_words=8).collect()}
-    assert got == {1: rows[0][1], 2: "another beginning another end\nlast", 3: "first\nlast"}
+def test_line_dedup_takes_short_lines_and_passages_inside_lines(spark):
+    rng = np.random.default_rng(13)
+    passage = "Here stands " + " ".join(f"p{i}" for i in rng.integers(0, 900, 60)) + ". It ends."
+    rows = [(1, f"start of one {passage} rest of one\nshort line", "s"), (2, f"another beginning {passage} another end\nSHORT  line\nlast", "s"), (3, f"first\n{passage}\nlast\n", "s")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs(spark, rows)).collect()}
+    assert got[1] == rows[0][1] and got[2].startswith("another beginning ") and got[2].endswith("another end\nlast") and len(got[2]) < 100 and got[3] == "first\n"
 
 
 @pytest.mark.parametrize("script", ["lower", "han"])
@@ -221,18 +258,35 @@ def test_line_dedup_cuts_passages_inside_sentences(spark, script):
     some, join = lambda n: [word() for _ in range(n)], ("" if script == "han" else " ").join
     passage = some(200)
     rows = [(i, join([*some(30), *passage, *some(30)]), "s") for i in range(8)]
-    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs(spark, rows), kind="passage").collect()}
-    assert got == line_dedup.brute_force([r[:2] for r in rows], "passage", 20) and got[0] == rows[0][1]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(docs(spark, rows)).collect()}
+    assert {i: (t, 0) for i, t in got.items() if not i} == {0: (rows[0][1], 0)}
     middle = join(passage[60:140])
     for i in range(1, 8):
         whole = rows[i][1].strip()
         assert middle not in got[i] and len(got[i]) < 0.6 * len(whole) and got[i][:20] == whole[:20] and got[i][-20:] == whole[-20:]
 
 
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    d, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    want = con.execute(oracle_sql()[name])
+    cols = sorted(x[0] for x in want.description)
+    plain = lambda v: round(v, 6) if isinstance(v, float) else v
+    theirs = sorted((tuple(plain(dict(zip([x[0] for x in want.description], r))[c]) for c in cols) for r in want.fetchall()), key=repr)
+    df = queries()[name](spark, d)
+    assert sorted(df.columns) == cols and sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr) == theirs
+
+
 def test_line_dedup_odd(odd, none):
-    out = line_dedup.line_dedup(odd, least_words=8).collect()
+    named = odd.withColumn("n_removed", F.lit("mine")).withColumn("key_", F.lit(1))
+    out = line_dedup.line_dedup(named).collect()
     by = {r["doc_id"]: r for r in out}
-    assert len(out) == odd.count() and by[1]["n_removed"] == 0 and by[None]["text"] == "" and by[2]["text"] is None and by[5]["text"].endswith("tail") and line_dedup.line_dedup(none).count() == 0
+    assert len(out) == odd.count() and by[1]["n_removed_"] == 0 and by[1]["n_removed"] == "mine" and by[None]["text"] == "" and by[2]["text"] is None and by[8]["text"] == "" and by[5]["text"].endswith("tail") and len(by[5]["text"]) < 100
+    assert line_dedup.line_dedup(none).count() == 0
 
 
 # --- 4 ------------------------------------------------------------------------------------------------------------
