@@ -27,10 +27,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less the passages that an earlier one has; a document that loses all of its text goes."""
-    _, gone, _ = fresh(docs, "n_units", "n_removed", "removed")
+    """Documents less the lines and passages of twenty words or more that an earlier one has (shorter lines are mostly
+    idiom that clean documents share); a document that loses all of its text goes."""
+    gone, _ = fresh(docs, "n_removed", "removed")
     cut = F.coalesce(F.col(gone) > 0, F.lit(False))
-    out = line_dedup.line_dedup(docs, kind="passage").where(~cut | F.col("text").rlike(WORD))
+    out = line_dedup.line_dedup(docs, least_words=20).where(~cut | F.col("text").rlike(WORD))
     return out.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
