@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
@@ -16,7 +17,9 @@ from ._common import fresh, lean
 # HTML's elements by the part they play.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var label".split())
-SKIP = frozenset("head script style noscript template title nav footer aside form button select textarea option iframe object svg math canvas audio video dialog menu".split())
+SKIP = frozenset("head script style noscript template title button select textarea option iframe object svg math canvas audio video".split())
+#: What is by its tag no part of an article, a header outside of one too.
+BESIDE = frozenset("nav footer aside form dialog menu header".split())
 #: A start of one of these ends an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split())
 #: A start of the key ends an open element of the values, up to the nearest list or table.
@@ -32,24 +35,29 @@ NOISE = frozenset(
     "subnav subscribe subscription taboola tags toast toolbar topbar widget widgets".split()
 )
 MAIN = frozenset("article main".split())
-#: Skipped elements that an article inside shows to be unclosed, or to wrap the whole page.
-RESUME = frozenset("nav header footer form".split())
-#: Those that noise words never remove.
+#: Those that noise words never concern.
 WHOLE = frozenset("html body article main".split())
+#: Elements that hold one paragraph, and are never all of an article.
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote caption figcaption summary".split())
 SPLIT = re.compile(r"[^a-z0-9]+")
 CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+#: How an element is marked: by its name or class, or by its tag or role.
+NAMED, TAGGED = 1, 2
 
 
 class _Lines(HTMLParser):
-    """Turns events into lines: the text of one block each, with its tags, link text and enclosing elements."""
+    """Turns events into lines: the text of one block each, with its tags, link text and element. Elements are numbered
+    in page order. Every event takes the same time however deep the page is nested."""
 
-    def __init__(self, skip: frozenset[str] = SKIP) -> None:
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.skip = skip
-        #: (tag, node, skipped, in the article)
+        #: (tag, element, skipped, in the article)
         self.stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
-        #: The parent of each element, and whether it is an article or main.
-        self.parents, self.mains = [0], [False]
+        #: Places in the stack: of each tag, of blocks, of the elements that ENDS_OWN looks up to.
+        self.open: dict[str, list[int]] = {}
+        self.blocks, self.scopes = [0], [0]
+        #: Of each element: its parent, tag, mark, and whether it is the outermost article or main.
+        self.parents, self.names, self.marks, self.mains = [0], [""], [0], [False]
         self.parts: list[str] = []
         self.tags = self.linked = self.links = 0
         self.lines: list[tuple[str, int, int, int]] = []
@@ -69,24 +77,29 @@ class _Lines(HTMLParser):
             known = self.noisy[value] = frozenset(SPLIT.split(CAMEL.sub(" ", value).lower()))
         return not NOISE.isdisjoint(known) or not article and "header" in known
 
-    def removed(self, tag: str, attrs: list[tuple[str, str | None]], article: bool) -> bool:
-        if tag in self.skip or tag == "header" and not article:
-            return True
+    def judged(self, tag: str, attrs: list[tuple[str, str | None]], article: bool) -> tuple[bool, int]:
+        """Whether the element is never shown, and its mark."""
+        mark = TAGGED if tag in BESIDE and not (tag == "header" and article) else 0
         for name, value in attrs:
-            if name == "hidden" or name == "aria-hidden" and value == "true":
-                return tag not in WHOLE
-            if value and name in ("class", "id") and self.noise(value, article):
-                return tag not in WHOLE or tag == "article" and "comment" in value.lower()
-            if name == "role" and value and value.lower() in ROLES:
-                return True
+            if (name == "hidden" or name == "aria-hidden" and value == "true") and tag not in WHOLE:
+                return True, 0
             if name == "style" and value and "display:none" in value.replace(" ", "").lower():
-                return True
-        return False
+                return True, 0
+            if name == "role" and value and value.lower() in ROLES:
+                mark = TAGGED
+            if value and name in ("class", "id") and self.noise(value, article) and (tag not in WHOLE or tag == "article" and "comment" in value.lower()):
+                mark = mark or NAMED
+        return tag in SKIP, mark
 
     def pop_to(self, at: int) -> None:
         if self.stack[at][0] not in INLINE:
             self.end_line()
-        del self.stack[at:]
+        while len(self.stack) > at:
+            tag = self.stack.pop()[0]
+            self.open[tag].pop()
+            for places in (self.blocks, self.scopes):
+                if places[-1] == len(self.stack):
+                    places.pop()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -98,48 +111,40 @@ class _Lines(HTMLParser):
             return
         if tag in INLINE:
             self.links += tag == "a"
-            if attrs and self.removed(tag, attrs, True):
-                self.push(tag, True, False)
+            if attrs and any(self.judged(tag, attrs, True)):
+                self.push(tag, True, 0, False)
             return
-        if tag in ENDS_P:
-            for at in range(len(self.stack) - 1, 0, -1):
-                if self.stack[at][0] == "p":
-                    self.pop_to(at)
-                    break
-                if self.stack[at][0] not in INLINE:
-                    break
+        if tag in ENDS_P and (p := self.open.get("p")) and p[-1] == self.blocks[-1]:
+            self.pop_to(p[-1])
         if own := ENDS_OWN.get(tag):
-            for at in range(len(self.stack) - 1, 0, -1):
-                if self.stack[at][0] in own:
-                    self.pop_to(at)
-                    break
-                if self.stack[at][0] in SCOPES:
-                    break
+            at = max(places[-1] if (places := self.open.get(o)) else 0 for o in own)
+            if at > self.scopes[-1]:
+                self.pop_to(at)
         article = self.stack[-1][3] or tag in MAIN or any(n == "role" and v == "main" for n, v in attrs)
-        self.push(tag, self.removed(tag, attrs, article), article)
+        self.push(tag, *self.judged(tag, attrs, article), article)
 
-    def push(self, tag: str, skip: bool, article: bool) -> None:
+    def push(self, tag: str, skip: bool, mark: int, article: bool) -> None:
+        at = len(self.stack)
         if tag not in INLINE:
             self.end_line()
-        _, node, above, _ = self.stack[-1]
+            self.links = 0
+            self.blocks.append(at)
+            if tag in SCOPES:
+                self.scopes.append(at)
+        _, node, above, inside = self.stack[-1]
         self.parents.append(node)
-        self.mains.append(article and not self.stack[-1][3])
-        self.links = 0 if tag not in INLINE else self.links
-        if above and tag in MAIN and next(x[0] for x in self.stack if x[2]) in RESUME:
-            above = False
+        self.names.append(tag)
+        self.marks.append(mark)
+        self.mains.append(article and not inside)
+        self.open.setdefault(tag, []).append(at)
         self.stack.append((tag, len(self.parents) - 1, above or skip, article))
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag == "a" and self.links:
             self.links -= 1
-        for at in range(len(self.stack) - 1, 0, -1):
-            own = self.stack[at][0]
-            if own == tag:
-                self.pop_to(at)
-                return
-            if tag in INLINE and own not in INLINE:
-                return
+        if (places := self.open.get(tag)) and (tag not in INLINE or places[-1] > self.blocks[-1]):
+            self.pop_to(places[-1])
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -156,11 +161,12 @@ class _Lines(HTMLParser):
 
 
 def smoothed(ratios: np.ndarray, sigma: float = 1.5) -> np.ndarray:
-    """The ratios under a Gaussian kernel that ends at three deviations and at the page's edges."""
+    """The ratios under a Gaussian kernel that ends at three deviations and at the page's edges, to nine places, so that
+    equal lines stay equal."""
     r = int(3 * sigma + 0.5)
     kernel = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
     full = np.convolve(ratios, kernel)[r : r + len(ratios)]
-    return full / np.convolve(np.ones(len(ratios)), kernel)[r : r + len(ratios)]
+    return np.round(full / np.convolve(np.ones(len(ratios)), kernel)[r : r + len(ratios)], 9)
 
 
 def threshold(values: np.ndarray) -> float:
@@ -178,64 +184,120 @@ def threshold(values: np.ndarray) -> float:
     return cut
 
 
+def upper(ratios: np.ndarray) -> np.ndarray:
+    """Which lines lie in the upper of the two clusters of smoothed ratios."""
+    even = smoothed(ratios)
+    return even >= threshold(even)
+
+
+class _Tree:
+    """Sums and ranges over the elements of a page; every method is linear in their number."""
+
+    def __init__(self, page: _Lines) -> None:
+        self.page, self.parents = page, page.parents
+        self.node = np.array([x[3] for x in page.lines], np.int64)
+        self.last = list(range(len(self.parents)))
+        for n in range(len(self.parents) - 1, 0, -1):
+            self.last[self.parents[n]] = max(self.last[self.parents[n]], self.last[n])
+
+    def held(self, weight: np.ndarray) -> list[float]:
+        """What the lines in each element weigh together."""
+        out = np.bincount(self.node, weight, len(self.parents)).tolist()
+        for n in range(len(out) - 1, 0, -1):
+            out[self.parents[n]] += out[n]
+        return out
+
+    def within(self, n: int) -> np.ndarray:
+        """Which lines element n holds."""
+        return (self.node >= n) & (self.node <= self.last[n])
+
+    def beside(self, mass: list[float]) -> np.ndarray:
+        """Which lines belong to elements that are marked and do not turn out to hold the article.
+
+        A mark is a guess by name. It is taken back if the element holds the heaviest article or main element or, on
+        pages without one, nearly all of the text: what is left outside weighs next to nothing beside it.
+        """
+        page, parents, marks = self.page, self.parents, list(self.page.marks)
+        above, inner, tops = [0] * len(marks), {}, []
+        for n in range(1, len(marks)):
+            above[n] = parents[n] if marks[parents[n]] else above[parents[n]]
+            if marks[n]:
+                inner.setdefault(above[n], []).append(n)
+        mains = [n for n, x in enumerate(page.mains) if x and mass[n] > 0]
+        heads = [0] * len(marks)
+        for n in range(len(marks) - 1, 0, -1):
+            heads[n] += page.names[n] == "h1"
+            heads[parents[n]] += heads[n]
+        if mains:
+            free = [n for n in mains if not marks[n] and not above[n]]
+            best = max(mains, key=lambda n: mass[n])
+            if free and mass[top := max(free, key=lambda n: mass[n])] >= 0.25 * mass[best]:
+                best = top
+            n = best if marks[best] else above[best]
+            while n:
+                marks[n], n = 0, above[n]
+        else:
+            tops = [(-mass[n], n) for n in inner.get(0, [])]
+            heapq.heapify(tops)
+            rest, titles = mass[0] + sum(x for x, _ in tops), heads[0] - sum(heads[n] for _, n in tops)
+            while tops:
+                own, n = -tops[0][0], tops[0][1]
+                share = 0.02 if marks[n] == TAGGED else 0.5 if heads[n] and not titles else 0.1
+                if rest >= share * own:
+                    break
+                heapq.heappop(tops)
+                marks[n] = 0
+                rest, titles = rest + own, titles + heads[n]
+                for k in inner.get(n, []):
+                    heapq.heappush(tops, (-mass[k], k))
+                    rest, titles = rest - mass[k], titles - heads[k]
+        out = [False] * len(marks)
+        for n in range(1, len(marks)):
+            out[n] = bool(marks[n]) or out[parents[n]]
+        return np.array(out)[self.node]
+
+
 def blocks(html: str | None) -> list[str]:
     """The text blocks of the page's main content, in page order.
 
     Every line (one block of text) gets the ratio of its unlinked characters to its tags; the smoothed ratios fall
-    into two clusters. The region is the article or main element, or else the deepest element that holds all of the
-    upper cluster's text and, if that is one line, the block around it; all lines of the region stay, short ones too,
-    but for those in elements that are by name, role or class no part of an article and, outside an article element,
-    menus: three or more lines in a row that are mostly links, before or behind all of the upper cluster. A page that
-    is all form is read again without skipping forms.
+    into two clusters. Elements marked by tag, role or class as no part of an article weigh less, unless they hold
+    what the upper cluster is made of, and the lines are clustered again. The region is the article or main elements
+    if they hold enough of the upper cluster's text, or else the deepest element, but no single paragraph, that holds
+    all of it. All lines of the region stay, short ones too, but for those of marked elements and, outside an article
+    element, menus: three or more lines in a row that are mostly links, before or behind all of the upper cluster.
     """
-    text = (html or "").replace("\0", "")
-    for skip in (SKIP, SKIP - {"form"}):
-        page = _Lines(skip)
-        page.feed(text)
-        page.done()
-        lines = page.lines
-        if lines:
-            break
-    else:
+    page = _Lines()
+    page.feed(html or "")
+    page.done()
+    lines = page.lines
+    if not lines:
         return []
     size = np.array([len(x[0]) for x in lines], float)
     links = np.array([x[2] for x in lines], float)
     tags = np.array([max(x[1], 1) for x in lines], float)
-    even = smoothed(np.log1p((size - links) / tags))
-    content = even >= threshold(even)
-    parents, mains = page.parents, page.mains
-
-    def up(node: int) -> list[int]:
-        path = [node]
-        while path[-1]:
-            path.append(parents[path[-1]])
-        return path
-
-    paths = [up(x[3]) for x in lines]
-    weight = np.where(content, size - links, 0.0)
-    total = weight.sum()
-    held: dict[int, float] = {}
-    for path, w in zip(paths, weight):
-        if w:
-            for node in path:
-                held[node] = held.get(node, 0.0) + w
-    inside = {n for n in held if mains[n] and held[n] >= 0.25 * max((held[m] for m in held if mains[m]), default=0)}
-    if inside and sum(held[n] for n in inside) >= 0.3 * total:
-        return [x[0] for x, path in zip(lines, paths) if not inside.isdisjoint(path)]
+    ratios, plain = np.log1p((size - links) / tags), size - links
+    tree = _Tree(page)
+    beside = tree.beside(tree.held(np.where(upper(ratios), plain, 0.0)))
+    weight = np.where(upper(ratios * np.where(beside, 0.25, 1.0)) & ~beside, plain, 0.0)
+    held = tree.held(weight)
+    total = held[0]
+    mains = [n for n, x in enumerate(page.mains) if x and held[n] > 0]
+    mains = [n for n in mains if held[n] >= 0.25 * max(held[m] for m in mains)]
+    if mains and sum(held[n] for n in mains) >= 0.3 * total:
+        region = np.logical_or.reduce([tree.within(n) for n in mains])
+        return [lines[k][0] for k in np.flatnonzero(region & ~beside)]
     root = 0
     if total:
-        deep = {n: len(up(n)) for n, w in held.items() if w >= total * (1 - 1e-9)}
-        root = max(deep, key=lambda n: (deep[n], -n))
-        own = {x[3] for x in lines}
-        if np.count_nonzero(weight) == 1:
-            while root in own and parents[root]:
-                root = parents[root]
-    chosen = [k for k, path in enumerate(paths) if root in path]
-    upper = np.flatnonzero(weight)
+        root = max(n for n, w in enumerate(held) if w >= total * (1 - 1e-9))
+        while root and (page.names[root] in PARAGRAPHS or np.count_nonzero(tree.within(root)) < 2):
+            root = page.parents[root]
+    chosen = np.flatnonzero(tree.within(root) & ~beside).tolist()
+    core = np.flatnonzero(weight)
     menu: set[int] = set()
     run: list[int] = []
     for k in [*chosen, -1]:
-        if k >= 0 and 2 * links[k] > size[k] and len(upper) and not upper[0] < k < upper[-1]:
+        if k >= 0 and 2 * links[k] > size[k] and len(core) and not core[0] < k < core[-1]:
             run.append(k)
             continue
         if len(run) > 2:
@@ -249,9 +311,10 @@ def main_text(html: str | None) -> str:
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
-    """pages without `html`, with text and n_chars (code points). Null, empty and text-free pages give an empty text.
+    """pages without `html`, with text and n_chars (code points), underscored where pages has such columns.
 
-    Each page is parsed in one pass on its own; nothing is shuffled, and rows stay as they are.
+    Null, empty and text-free pages give an empty text; repeated rows stay repeated; an empty table gives no rows.
+    Very long and very deeply nested pages take time in proportion to their length. Each page is parsed in one pass on its own; nothing is shuffled, and rows stay as they are.
     """
     rest = [c for c in pages.columns if c != html]
     text, n_chars = fresh(pages.select(*rest), "text", "n_chars")

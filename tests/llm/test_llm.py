@@ -519,6 +519,89 @@ def test_html_without_article_elements(html, text):
     assert html_text.blocks(html) == [t.strip() for t in text]
 
 
+ARTICLE = "<h1>The title</h1>" + "".join(f"<p>{'some long words of an article, and more. ' * 8}</p>" for _ in range(4))
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "page-with-sidebar", "post no-comments", "entry tags-science", "layout-banner", "content related-topic", "search-results-page", "widget-area-main", "story promo"])
+def test_html_names_only_weigh(name):
+    want = html_text.blocks(f"<body><div>{ARTICLE}</div></body>")
+    assert len(want) == 5
+    assert html_text.blocks(f'<body><div class="{name}">{ARTICLE}</div><div>(c) 2020 Site</div></body>') == want
+    comments = f'<div class="comments"><p>{"nice post, thanks a lot. " * 30}</p></div>'
+    assert html_text.blocks(f'<body><nav><a href=x>Home</a></nav><div class="{name}">{ARTICLE}{comments}</div><footer>foot</footer></body>') == want
+    assert html_text.blocks(f'<div class="{name}"><article>{ARTICLE}</article>{comments}</div>') == want
+
+
+def test_html_in_linear_time():
+    """200 kB of nesting, stray end tags and marked elements: thousands of levels cost as much a byte as a few."""
+    import time
+
+    for unit in ("<div>x ", '<div class="sidebar">x ', "<div><li></section></span>", "<p><span class=ad><table><td>"):
+        html_text.main_text(unit * 100)
+        began = time.process_time()
+        html_text.main_text(unit * (200_000 // len(unit)))
+        assert time.process_time() - began < 5
+
+
+def random_page(rng):
+    """(html, lines as (text, tags up to its end tag, path of elements)) of a page without marks, links and article elements."""
+    out, lines, count, tags = [], [], [0], [0]
+
+    def element(depth, path):
+        tag = ["div", "section", "p"][rng.integers(0, 3)] if depth else "div"
+        count[0] += 1
+        own = [*path, (count[0], tag)]
+        out.append(f"<{tag}>")
+        tags[0] += 1
+        if tag == "p" or depth > 3:
+            if rng.random() < 0.9:
+                text = " ".join(["word"] * int(rng.choice([1, 3, 8, 40, 90])))
+                out.append(text)
+                lines.append((text, tags[0] + 1, own))
+                tags[0] = -1
+        else:
+            for _ in range(rng.integers(1, 5)):
+                element(depth + 1, own)
+        out.append(f"</{tag}>")
+        tags[0] += 1
+
+    element(0, [(0, "")])
+    return "".join(out), lines
+
+
+def slow_blocks(lines):
+    r = [float(np.log1p(len(t) / max(n, 1))) for t, n, _ in lines]
+    even = []
+    for i in range(len(r)):
+        k = {j: np.exp(-0.5 * ((i - j) / 1.5) ** 2) for j in range(len(r)) if abs(i - j) <= 5}
+        even.append(round(sum(r[j] * w for j, w in k.items()) / sum(k.values()), 9))
+    cut = (min(even) + max(even)) / 2
+    for _ in range(20):
+        up, low = [x for x in even if x >= cut], [x for x in even if x < cut]
+        if not up or not low:
+            break
+        cut = (sum(up) / len(up) + sum(low) / len(low)) / 2
+    paths = [p for (_, _, p), x in zip(lines, even) if x >= cut]
+    common = [x for x in paths[0] if all(x in p for p in paths)]
+    while len(common) > 1 and (common[-1][1] == "p" or sum(common[-1] in p for _, _, p in lines) < 2):
+        common.pop()
+    return [t for t, _, p in lines if common[-1] in p]
+
+
+def test_html_regions_against_a_slow_version(monkeypatch):
+    rng = np.random.default_rng(21)
+    pages = [p for p in (random_page(rng) for _ in range(300)) if p[1]]
+    got = [html_text.blocks(h) for h, _ in pages]
+    assert got == [slow_blocks(lines) for _, lines in pages]
+    assert sum(len(g) < len(lines) for g, (_, lines) in zip(got, pages)) > 50
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "smoothed", lambda x: x)
+        assert sum(html_text.blocks(h) != g for (h, _), g in zip(pages, got)) > 10
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "threshold", lambda x: 0.0)
+        assert sum(html_text.blocks(h) != g for (h, _), g in zip(pages, got)) > 10
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(i, None if i == 2 else "u", h, "mine") for i, (h, _) in enumerate(PAGES)] + [(None, None, "<p>" + "x" * 2_000_000, "z")], "page_id long, url string, html string, text string")
     got = html_text.extract(df).collect()
