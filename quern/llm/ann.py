@@ -1,10 +1,9 @@
-"""Approximate nearest neighbours: a hierarchical k-means tree, searched best bin first."""
+"""Approximate nearest neighbours: hierarchical k-means trees, searched best bin first."""
 
 from __future__ import annotations
 
-import heapq
+import logging
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,261 +11,137 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import lean
-from .vectors import by_dimension, matrix, merged, valid
-
-
-@dataclass
-class Tree:
-    """centres[n], spread[n] (mean squared distance of its sample rows to the centre) and children[n] of node n; leaf[n]
-    is a leaf's number in tree order, -1 for inner nodes."""
-
-    centres: np.ndarray
-    spread: np.ndarray
-    children: list[list[int]]
-    leaf: np.ndarray
-    leaves: int
-
-    def assign(self, x: np.ndarray) -> np.ndarray:
-        """The leaf of each row: down to the nearest child, level by level."""
-        out = np.full(len(x), -1, np.int64)
-        todo = [(0, np.arange(len(x)))]
-        while todo:
-            n, rows = todo.pop()
-            if not len(rows):
-                continue
-            if not self.children[n]:
-                out[rows] = self.leaf[n]
-                continue
-            kids = np.array(self.children[n])
-            near = nearest(x[rows], self.centres[kids])
-            todo += [(int(kid), rows[near == i]) for i, kid in enumerate(kids)]
-        return out
-
-    def order(self, q: np.ndarray, most: int) -> list[int]:
-        """Leaves in the order of best-bin-first traversal: always the open node whose rows promise to be nearest.
-
-        The squared distance to a node's rows has the mean d^2 + spread and a deviation of about 2 d sqrt(spread / dim);
-        the near rows of a node lie about two deviations under its mean. The distance to the centre alone would put
-        wide nodes, whose centres are nearer to everything than their rows are, before tight ones.
-        """
-        heap, out, dim = [(0.0, 0)], [], max(1, len(q))
-        while heap and len(out) < most:
-            _, n = heapq.heappop(heap)
-            if kids := self.children[n]:
-                d = ((self.centres[kids] - q) ** 2).sum(axis=1)
-                d = d + self.spread[kids] - 4 * np.sqrt(d * self.spread[kids] / dim)
-                for kid, x in zip(kids, d):
-                    heapq.heappush(heap, (float(x), kid))
-            else:
-                out.append(int(self.leaf[n]))
-        return out
-
-
-def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    out = np.empty(len(x), np.int64)
-    norm = (centres * centres).sum(axis=1)
-    for a in range(0, len(x), 8192):
-        out[a : a + 8192] = np.argmin(norm - 2 * (x[a : a + 8192] @ centres.T), axis=1)
-    return out
-
-
-def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
-    """Lloyd's algorithm from k distinct rows; empty clusters vanish."""
-    distinct = np.unique(x, axis=0)
-    centres = distinct[rng.choice(len(distinct), min(k, len(distinct)), replace=False)]
-    for _ in range(rounds):
-        near = nearest(x, centres)
-        n = np.bincount(near, minlength=len(centres))
-        sums = np.zeros_like(centres)
-        np.add.at(sums, near, x)
-        centres = sums[n > 0] / n[n > 0][:, None]
-    return centres
-
-
-def build(sample: np.ndarray, branching: int = 16, leaf_rows: int = 64, seed: int = 5) -> Tree:
-    """Splits the sample by k-means until a node holds at most `leaf_rows` sample rows or only equal ones."""
-    rng = np.random.default_rng(seed)
-    wide = lambda x, c: float(((x - c) ** 2).sum(axis=1).mean())
-    centres, children = [sample.mean(axis=0)], [[]]
-    spread = [wide(sample, centres[0])]
-    todo = [(0, sample)]
-    while todo:
-        n, x = todo.pop()
-        if len(x) <= leaf_rows or (x == x[0]).all():
-            continue
-        c = kmeans(x, min(branching, max(2, len(x) // leaf_rows)), rng)
-        near = nearest(x, c)
-        if len(c) < 2 or len(np.unique(near)) < 2:
-            continue
-        for i in range(len(c)):
-            own = x[near == i]
-            centres.append(c[i])
-            spread.append(wide(own, c[i]) if len(own) else 0.0)
-            children.append([])
-            children[n].append(len(centres) - 1)
-            todo.append((len(centres) - 1, own))
-    leaf, count, stack = np.full(len(centres), -1, np.int64), 0, [0]
-    while stack:
-        n = stack.pop()
-        if children[n]:
-            stack += children[n][::-1]
-        else:
-            leaf[n] = count
-            count += 1
-    return Tree(np.array(centres), np.array(spread), children, leaf, count)
-
-
-def top(q: np.ndarray, own: int, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and Euclidean distances of the k rows nearest to q, without rows of id `own`; ties to smaller ids."""
-    keep = np.flatnonzero(ids != own)
-    d2 = ((x[keep] - q) ** 2).sum(axis=1)
-    if len(keep) > 4 * k:
-        cut = np.partition(d2, k - 1)[k - 1]
-        near = np.flatnonzero(d2 <= cut)
-        keep, d2 = keep[near], d2[near]
-    d = np.sqrt(d2)
-    order = np.lexsort((ids[keep], d))[:k]
-    return keep[order], d[order]
-
-
-def _tops(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> dict[str, np.ndarray]:
-    cat = lambda a, t: np.concatenate(a).astype(t) if a else np.zeros(0, t)
-    return {"query": cat([np.full(len(i), q) for q, i, _ in rows], np.int64), "id": cat([i for _, i, _ in rows], np.int64), "score": cat([s for _, _, s in rows], np.float64)}
-
-
-def calibrate(own: DataFrame, tree: Tree, probes: np.ndarray, probe_ids: np.ndarray, k: int, recall: float) -> int:
-    """The fewest leaf visits at which the probes find `recall` of their exact k nearest among all rows, and 95 of 100
-    probes nine tenths of theirs (a hot cluster, whose own rows need few visits, would hide the others in the mean).
-
-    The exact lists come from one pass of brute force for this fixed number of probes; each task hands on k rows a
+from ._common import discard, lean, written
+from .forest import Forest, candidates, kept, meet, numbered, plant, ranked
+from .vectors import by_dimension, matrix, valid
+
+log = logging.getLogger(__name__)
+
+
+def near(q: np.ndarray, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row): pairs among which are the `most` rows nearest to each query, with all ties. The products that
+    choose them are rounded, so what lies within their error of the last is taken too."""
+    norm, own = (x * x).sum(axis=1), (q * q).sum(axis=1)
+    if len(x) <= most:
+        return np.repeat(np.arange(len(q)), len(x)), np.tile(np.arange(len(x)), len(q))
+    at, rows = [], []
+    step = max(1, (4 << 20) // len(x))
+    for a in range(0, len(q), step):
+        d = norm - 2 * (q[a : a + step] @ x.T)
+        last = np.partition(d, most - 1, axis=1)[:, most - 1]
+        i, j = np.nonzero(d <= (last + 1e-10 * (norm.max() + own[a : a + step]))[:, None])
+        at.append(i + a)
+        rows.append(j)
+    return np.concatenate(at), np.concatenate(rows)
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of a to those of b, place by place, in double precision."""
+    return np.concatenate([np.sqrt(((a[k : k + 65536] - b[k : k + 65536]) ** 2).sum(axis=1)) for k in range(0, max(len(a), 1), 65536)])
+
+
+def exact(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, distance): what kept() takes of all pairs of the queries and rows."""
+    unique = len(np.unique(ids)) == len(ids)
+    out = []
+    step = max(1, len(q) if unique else (2 << 20) // len(x))
+    for a in range(0, len(q), step):
+        i, j = near(q[a : a + step], x, k + 1 if unique else len(x))
+        d = distances(q[i + a], x[j])
+        at = kept(i, ids[j], d, k)
+        out.append((i[at] + a, j[at], d[at]))
+    return tuple(np.concatenate(z) for z in zip(*out))
+
+
+def calibrate(placed: DataFrame, forest: Forest, sample: dict[int, tuple[np.ndarray, np.ndarray]], probes: int, k: int, recall: float) -> dict[int, tuple[int, float]]:
+    """(leaf visits, recall at them) of each length that has a tree: the fewest at which its probes find `recall` of
+    their exact k nearest among all rows, and 95 of 100 probes nine tenths of theirs (a hot cluster, whose own rows
+    need few visits, would hide the others in the mean).
+
+    The exact lists come from one pass of brute force for the probes, a fixed number; each task hands on k rows a
     probe. The visits are widened until both aims are reached.
     """
+    some = {d: (ids[: min(probes, max(1, len(ids) // 10))], x[: min(probes, max(1, len(ids) // 10))]) for d, (ids, x) in sample.items()}
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        best: dict[int, list[np.ndarray]] = {}
         for b in batches:
             for part, x in by_dimension(b, "v"):
-                if x.shape[1] != probes.shape[1]:
+                if (dim := x.shape[1]) not in some:
                     continue
-                ids, leaf = part.column(0).to_numpy(), tree.assign(x)
-                for i, q in enumerate(probes):
-                    at, d = top(q, probe_ids[i], x, ids, k)
-                    got, where = ids[at], leaf[at]
-                    if i in best:
-                        got, d, where = (np.concatenate(z) for z in zip(best[i], (got, d, where)))
-                        o = np.lexsort((got, d))[:k]
-                        got, d, where = got[o], d[o], where[o]
-                    best[i] = (got, d, where)
-        if best:
-            rows = [(i, *r) for i, (g, d, w) in best.items() for r in zip(g, d, w)]
-            yield pa.RecordBatch.from_pydict({"probe": pa.array([r[0] for r in rows], pa.int32()), "id": pa.array([r[1] for r in rows], pa.int64()), "d": pa.array([r[2] for r in rows], pa.float64()), "leaf": pa.array([r[3] for r in rows], pa.int64())})
-
-    found = own.mapInArrow(lean(brute), "probe int, id long, d double, leaf long")
-    w = W.partitionBy("probe").orderBy("d", "id")
-    lists = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("probe", "leaf").collect()
-    need: dict[int, list[int]] = {}
-    for i, leaf in lists:
-        need.setdefault(i, []).append(leaf)
-    if not need:
-        return 1
-    for i, leaves in need.items():
-        place = {n: p + 1 for p, n in enumerate(tree.order(probes[i], tree.leaves))}
-        need[i] = sorted(place[n] for n in leaves)
-    every = np.sort(np.concatenate([np.array(v) for v in need.values()]))
-    of_mean = every[int(np.ceil(recall * len(every))) - 1]
-    of_each = np.sort([v[int(np.ceil(0.9 * len(v))) - 1] for v in need.values()])
-    return int(max(of_mean, of_each[int(np.ceil(0.95 * len(of_each))) - 1]))
+                own_ids, q = some[dim]
+                leaf, ids = part.column(0).to_numpy(), part.column(1).to_numpy()
+                i, j = near(q, x, k + 1)
+                i, j = (z[ids[j] != own_ids[i]] for z in (i, j))
+                found = [i, ids[j], distances(q[i], x[j]), leaf[j]]
+                if dim in best:
+                    found = [np.concatenate(z) for z in zip(best[dim], found)]
+                at = kept(found[0], found[1], found[2], k)
+                best[dim] = [z[at] for z in found]
+        for dim, (i, ids, d, leaf) in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), dim)), pa.array(i), pa.array(ids), pa.array(d), pa.array(leaf)], ["dim", "probe", "id", "d", "leaf"])
+
+    found = placed.mapInArrow(lean(brute), "dim long, probe long, id long, d double, leaf long")
+    w = W.partitionBy("dim", "probe").orderBy("d", "id")
+    need: dict[int, dict[int, list[int]]] = {}
+    for dim, i, leaf in found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("dim", "probe", "leaf").collect():
+        need.setdefault(dim, {}).setdefault(i, []).append(leaf)
+    out = {d: (1, 1.0) for d in some}
+    for dim, lists in need.items():
+        tree, base = forest.trees[dim], forest.base[dim]
+        places = []
+        for i, leaves in lists.items():
+            place = {base + n: p + 1 for p, n in enumerate(tree.order(forest.space(some[dim][1][i][None])[0], tree.leaves))}
+            places.append(sorted(place[n] for n in leaves))
+        every = np.sort(np.concatenate([np.array(v) for v in places]))
+        of_mean = every[int(np.ceil(recall * len(every))) - 1]
+        of_each = np.sort([v[int(np.ceil(0.9 * len(v))) - 1] for v in places])
+        visits = int(max(of_mean, of_each[int(np.ceil(0.95 * len(of_each))) - 1]))
+        out[dim] = visits, float((every <= visits).mean())
+        log.info("%d components: %d of %d leaves a query, recall %.3f", dim, visits, tree.leaves, out[dim][1])
+    return out
 
 
-def search(df: DataFrame, is_query, k: int = 10, ident: str = "vec_id", vector: str = "embedding", sample_rows: int = 20_000, probes: int = 200, recall: float = 0.97, rows_per_block: int = 16384, queries_per_block: int = 2048) -> DataFrame:
+def search(df: DataFrame, is_query, k: int = 10, ident: str = "vec_id", vector: str = "embedding", sample_rows: int = 20_000, most_sample: int = 200_000, probes: int = 200, recall: float = 0.97, rows_per_block: int = 16384, queries_per_block: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: about the k nearest rows by Euclidean distance, own id excluded.
 
-    The tree is fitted on at most `sample_rows` rows, drawn by a hash of the id; every row is assigned to a leaf. A
+    Candidates of a query are the vectors of its own length. Each length with more rows than fit a block has a tree of
+    its own, fitted on rows drawn by a hash (forest.plant() states the bounds); every row is assigned to a leaf. A
     query visits leaves best bin first, as many as `probes` drawn rows that the tree was not fitted on need to reach
-    `recall` against brute force over all rows. Leaves next to each other in the tree form blocks of about `rows_per_block` rows; a leaf that
-    exceeds it (a hot vector) is dealt over several blocks, as are the queries of a block, so no task grows with the
-    input. Vectors of another length than most of the sample's take no part, nor do zero vectors and those with null
-    or non-finite components. Repeated rows are candidates of their own; a repeated query counts once per distinct
-    vector, and lists of one id merge. An empty table gives no rows.
+    `recall` against brute force over all rows (calibrate(), which logs both). Lengths of fewer rows are searched
+    exactly. Null, zero and non-finite vectors and null ids take no part. Repeated rows are candidates of their own,
+    at most k to a list; equal query vectors are searched once; lists of one id merge. An empty table gives no rows.
     """
     own = valid(df, ident, vector, zero=False)
-    spark = df.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    drawn = own.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(sample_rows).toArrow()
-    if not drawn.num_rows:
-        return empty
-    lengths = np.array([len(v) for v in drawn["v"]])
-    dim = int(np.bincount(lengths).argmax())
-    drawn = drawn.filter(pa.array(lengths == dim))
-    sample, ids = matrix(drawn["v"]), drawn["id"].to_numpy()
-    probes = min(probes, max(1, len(sample) // 10))
-    tree = build(sample[probes:] if len(sample) > probes else sample)
-    own = own.where(F.size("v") == dim)
-    visits = calibrate(own, tree, sample[:probes], ids[:probes], k, recall)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            leaf = tree.assign(matrix(b.column(1))) if b.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), *b.columns], ["leaf", "id", "v"])
-
-    placed = own.mapInArrow(lean(place), "leaf long, id long, v array<double>")
-    counts = np.zeros(tree.leaves, np.int64)
-    for leaf, n in placed.groupBy("leaf").count().collect():
-        counts[leaf] = n
-    first, parts, block, room = np.zeros(tree.leaves, np.int64), np.ones(tree.leaves, np.int64), 0, rows_per_block
-    for leaf, n in enumerate(counts):
-        if n > rows_per_block:
-            block += room < rows_per_block
-            first[leaf], parts[leaf], room = block, -(-n // rows_per_block), rows_per_block
-            block += parts[leaf]
-        else:
-            if n > room:
-                block, room = block + 1, rows_per_block
-            first[leaf], room = block, room - n
-    queries = own.where(is_query).dropDuplicates(["id", "v"])
-    shares = max(1, -(-queries.count() // queries_per_block))
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = 0
-        for b in place(batches):
-            leaf = b.column(0).to_numpy()
-            at = first[leaf] + (row + np.arange(len(leaf))) % parts[leaf]
-            row += len(leaf)
-            for s in range(shares):
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.full(len(at), s)), *b.columns], ["block", "share", "leaf", "id", "v"])
+    rows = written(candidates(own, k), "candidates")
+    queries = numbered(own.where(is_query))
+    forest, placed, sample = plant(rows, rows_per_block, sample_rows, most_sample, lambda x: x, probes)
+    discard(rows)
+    visits = {d: v for d, (v, _) in calibrate(placed, forest, sample, probes, k, recall).items()}
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, ids = matrix(b.column(1)) if b.num_rows else np.zeros((0, dim)), b.column(0).to_numpy()
-            out: list[tuple[int, int, int, list[int]]] = []
-            for i, q in enumerate(x):
-                to: dict[int, list[int]] = {}
-                for leaf in tree.order(q, visits):
-                    if counts[leaf]:
-                        for p in range(parts[leaf]):
-                            to.setdefault(int(first[leaf]) + p, []).append(leaf)
-                share = (int(ids[i]) * 0x9E3779B97F4A7C15 >> 33) % shares
-                out += [(blk, share, i, leaves) for blk, leaves in to.items()]
-            rows = pa.array([o[2] for o in out], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[3] for o in out], pa.list_(pa.int64())), b.column(0).take(rows), b.column(1).take(rows)], ["block", "share", "leaves", "id", "v"])
+            for part, x in by_dimension(b, "v"):
+                leaves = [forest.order(q, visits.get(len(q), 1)) for q in x]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(leaves, pa.list_(pa.int64())), pa.array(np.zeros(len(x)))], ["q1", "q2", "v", "leaves", "floor"])
 
-    left = own.mapInArrow(lean(spread), "block long, share long, leaf long, id long, v array<double>")
-    right = queries.mapInArrow(lean(route), "block long, share long, leaves array<long>, id long, v array<double>")
+    routed = queries.select("q1", "q2", "v").dropDuplicates(["q1", "q2"]).mapInArrow(lean(route), "q1 long, q2 long, v array<double>, leaves array<long>, floor double")
 
     def pair(x: pa.Table, q: pa.Table) -> pa.Table:
-        rows = []
-        if x.num_rows and q.num_rows:
-            leaf = x["leaf"].to_numpy()
-            order = np.argsort(leaf, kind="stable")
-            leaf, m, ids = leaf[order], matrix(x["v"])[order], x["id"].to_numpy()[order]
-            for vec, own_id, leaves in zip(matrix(q["v"]), q["id"].to_numpy(), q["leaves"]):
-                want = np.sort(np.asarray(leaves.as_py()))
-                a, z = np.searchsorted(leaf, want), np.searchsorted(leaf, want, side="right")
-                at = np.concatenate([np.arange(i, j) for i, j in zip(a, z)])
-                near, d = top(vec, own_id, m[at], ids[at], k)
-                rows.append((own_id, ids[at][near], d))
-        return pa.table(_tops(rows))
-
-    tops = left.groupBy("block", "share").cogroup(right.groupBy("block", "share")).applyInArrow(pair, "query long, id long, score double")
-    return merged(tops, k, "low")
+        leaf = x["leaf"].to_numpy()
+        order = np.argsort(leaf, kind="stable")
+        leaf, m, ids, qm = leaf[order], matrix(x["v"])[order], x["id"].to_numpy()[order], matrix(q["v"])
+        lists = q["leaves"].combine_chunks()
+        visit, who = lists.flatten().to_numpy(), np.repeat(np.arange(len(qm)), np.diff(lists.offsets.to_numpy()))
+        found: list[tuple[np.ndarray, ...]] = []
+        for n in np.unique(visit):
+            a, z = np.searchsorted(leaf, n), np.searchsorted(leaf, n, side="right")
+            some = who[visit == n]
+            if z > a:
+                i, j, d = exact(qm[some], m[a:z], ids[a:z], k)
+                found.append((some[i], ids[a:z][j], d))
+        i, got, d = (np.concatenate(z) for z in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        at = kept(i, got, d, k)
+        return pa.table({"q1": q["q1"].to_numpy()[i[at]], "q2": q["q2"].to_numpy()[i[at]], "id": got[at], "score": d[at]})
+
+    return ranked(meet(forest, placed, routed, pair, rows_per_block, queries_per_block), queries.select("id", "q1", "q2").distinct(), k, [placed])

@@ -1,4 +1,4 @@
-"""What the vector searches share: which rows take part, blocks of rows, and merging of top lists."""
+"""Vector columns: which rows take part, and their matrices."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -35,14 +34,3 @@ def by_dimension(b: pa.RecordBatch, name: str) -> Iterator[tuple[pa.RecordBatch,
     for n in np.unique(lengths):
         part = b if (lengths == n).all() else b.filter(pa.array(lengths == n))
         yield part, matrix(part.column(part.schema.get_field_index(name)))
-
-
-def merged(tops: DataFrame, k: int, best_first: str) -> DataFrame:
-    """(query, id, score) lists of blocks -> query_id, rank, vec_id, score: the k best of each query.
-
-    A block gives each query at most k rows, so a query's rows are as many as blocks, never as many as vectors.
-    """
-    s = F.col("score").desc() if best_first == "high" else F.col("score").asc()
-    w = W.partitionBy("query").orderBy(s, F.col("id"))
-    ranked = tops.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")

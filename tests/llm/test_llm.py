@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quern.llm import ann, chat, html_text, line_dedup, mixing, packing, simhash, suffix_dedup, topk, toxicity
+from quern.llm import ann, chat, forest, html_text, line_dedup, mixing, packing, simhash, suffix_dedup, topk, toxicity
 from quern.llm.components import components
 from quern.llm.queries import oracle_sql, queries, word_bpe
 
@@ -71,6 +71,86 @@ def test_ann_recall(cloud):
     assert not {7000, 7100, 7200, 7300, 7400} & {m[1] for v in got.values() for m in v}
 
 
+@pytest.fixture(scope="module")
+def mixed_vectors(spark):
+    """Two lengths, a vector that a third of all rows hold, queries of both lengths among them, repeated ids."""
+    rng = np.random.default_rng(31)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(900)] + [(900 + i, rng.normal(size=5).tolist()) for i in range(400)]
+    rows += [(2000 + i, rows[7][1]) for i in range(700)] + [(2000, rows[7][1]), (100, rng.normal(size=8).tolist()), (300, rows[300][1]), (1, rows[0][1])]
+    rows = [(i, np.array(v, np.float32).tolist()) for i, v in rows]
+    df = vectors(spark, [(i, v, 0) for i, v in rows]).withColumn("id", F.lit("mine")).withColumn("v", F.lit(1)).withColumn("score", F.lit("x"))
+    return rows, df
+
+
+def brute_lists(rows, is_query, k, measure):
+    out = {}
+    for q in sorted({i for i, _ in rows if is_query(i)}):
+        found = [(measure(np.array(v), np.array(w)), i) for own, v in {(a, tuple(b)) for a, b in rows if a == q} for i, w in rows if i != q and len(w) == len(v)]
+        out[q] = sorted(found)[:k]
+    return out
+
+
+def listed(df):
+    out = {}
+    for r in df.orderBy("query_id", "rank").collect():
+        assert r["rank"] == len(out.setdefault(r["query_id"], [])) + 1
+        out[r["query_id"]].append((r["score"], r["vec_id"]))
+    return out
+
+
+@pytest.mark.parametrize("rows_per_block", [16384, 150])
+def test_mixed_lengths_hot_vectors_and_repeated_ids(mixed_vectors, rows_per_block):
+    rows, df = mixed_vectors
+    scores = lambda got, want: {q: [round(s, 9) for s, _ in x] for q, x in got.items()} == {q: [round(s, 9) for s, _ in x] for q, x in want.items()}
+    want = brute_lists(rows, lambda i: i % 100 == 0, 10, lambda a, b: float(np.sqrt(((a - b) ** 2).sum())))
+    got = listed(ann.search(df, F.col("id") % 100 == 0, rows_per_block=rows_per_block, recall=1.0))
+    assert set(got) == set(want) and {900, 1000, 1100, 1200, 2000, 2600} <= set(got)
+    if rows_per_block > 150:
+        assert scores(got, want)
+    assert sum(len({round(s, 9) for s, _ in got[q]} & {round(s, 9) for s, _ in want[q]}) for q in want) >= 0.9 * sum(len({round(s, 9) for s, _ in want[q]}) for q in want)
+    want = brute_lists([(i, np.floor(np.array(v) * 256).tolist()) for i, v in rows], lambda i: i % 50 == 0, 5, lambda a, b: -int(a @ b))
+    got = listed(topk.search(df, F.col("id") % 50 == 0, rows_per_block=rows_per_block, queries_per_block=4))
+    assert {q: [(-s, i) for s, i in x] for q, x in got.items() if q not in (100, 300)} == {q: x for q, x in want.items() if q not in (100, 300)} and scores({q: [(-s, i) for s, i in x] for q, x in got.items()}, want)
+
+
+def clusters(rng, n, dim=16):
+    centres = rng.normal(size=(n // 100, dim)) * 4
+    return (centres[rng.integers(0, len(centres), n)] + 0.3 * rng.normal(size=(n, dim))).astype(np.float32)
+
+
+def test_searches_shuffle_rows_in_proportion(spark, monkeypatch):
+    """Rows sent to blocks, per row, at one and at five times the rows (queries: one row in 20); leaves left out."""
+    sent = {"ann": [], "topk": []}
+    for n in (2000, 10_000):
+        df = vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(clusters(np.random.default_rng(n), n))])
+        for module, search in (("ann", ann), ("topk", topk)):
+            counted = []
+
+            def meet(forest, placed, routed, pair, *how, counted=counted, original=forest.meet):
+                shares = routed.select(F.sum(F.size("leaves")), F.count("*")).first()
+                counted.append((shares[0] / shares[1], forest.leaves))
+                return original(forest, placed, routed, pair, *how)
+
+            with monkeypatch.context() as m:
+                m.setattr(search, "meet", meet)
+                search.search(df, F.col("id") % 20 == 0, sample_rows=n // 2, rows_per_block=n // 20, queries_per_block=32).count()
+            sent[module].append(counted[0])
+    for visits in sent.values():
+        assert all(v < 0.6 * leaves for v, leaves in visits) and visits[1][0] < 2.5 * visits[0][0] and visits[1][1] > 2.5 * visits[0][1]
+
+
+def test_ann_recall_at_production_parameters(spark):
+    rng = np.random.default_rng(33)
+    x = np.concatenate([clusters(rng, 14_000, 12), rng.normal(size=(7000, 12)).astype(np.float32)])
+    got = listed(ann.search(vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)]), F.col("id") % 100 == 0))
+    hits, x = 0, x.astype(float)
+    for q, mine in got.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hits += len({i for _, i in mine} & set(np.lexsort((np.arange(len(d)), d))[:10].tolist()))
+    assert len(got) == 210 and hits >= 0.95 * 2100
+
+
 def test_topk_is_exact(cloud):
     x, df = cloud
     z = np.floor(x.astype(np.float32).astype(float) * 256).astype(np.int64)
@@ -92,10 +172,22 @@ def test_topk_bounds_hold():
     q, x = rng.integers(-400, 400, (20, 24)), rng.integers(-400, 400, (500, 24))
     for b in topk.levels(24):
         assert (topk.statistics(q.astype(float), b) @ topk.statistics(x.astype(float), b).T >= q @ x.T - 1e-6).all()
-    at, ids, s = topk.block_topk(q, np.arange(20) + 1000, x, np.arange(500), 7)
+    at, rows, s = topk.block_topk(q.astype(float), np.full(20, -np.inf), [np.arange(500)] * 20, x.astype(float), np.arange(500), 7)
     for i in range(20):
-        order = np.lexsort((np.arange(500), -(x @ q[i])))[:7]
-        assert ids[at == i].tolist() == order.tolist() and s[at == i].tolist() == (x @ q[i])[order].tolist()
+        order = np.lexsort((np.arange(500), -(x @ q[i])))[:8]
+        assert rows[at == i].tolist() == order.tolist() and s[at == i].tolist() == (x @ q[i])[order].tolist()
+    floor = np.sort(x @ q.T, axis=0)[-20]
+    for leaf in (x[:100], x[100:150]):
+        own = [(topk.statistics(leaf.astype(float), b).mean(axis=0)[None], np.array([np.sqrt(((topk.statistics(leaf.astype(float), b) - topk.statistics(leaf.astype(float), b).mean(axis=0)) ** 2).sum(1)).max()])) for b in topk.levels(24)]
+        assert (topk.visited(q.astype(float), floor.astype(float), own)[:, 0] >= (leaf @ q.T >= floor).any(axis=0)).all()
+
+
+def test_topk_of_huge_components_wraps(spark):
+    rows = [(0, [2.0**40, 1.0]), (50, [1.0, 3.0]), (2, [2.0**50, 2.0])]
+    z = {i: np.floor(np.array(v, np.float32).astype(float) * 256).astype(np.int64) for i, v in rows}
+    got = listed(topk.search(vectors(spark, [(i, v, 0) for i, v in rows]), F.col("id") % 50 == 0))
+    with np.errstate(over="ignore"):
+        assert got == {q: sorted([(int((z[i] * z[q]).sum()), i) for i in z if i != q], key=lambda x: (-x[0], x[1])) for q in (0, 50)}
 
 
 def test_vectors_of_empty_tables(spark):
