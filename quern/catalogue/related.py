@@ -150,15 +150,12 @@ def asof_latest(spark, d):
     return joins.as_of(views, buys, "user_id", "ts", ["event_id"]).select("event_id", "r_event_id")
 
 
-@query("""WITH s AS (SELECT o_orderkey, epoch(o_orderdate) AS a, max(epoch(l_shipdate)) AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 50 = 0 GROUP BY 1, 2),
-p AS (SELECT o_orderkey AS k, epoch(o_orderdate) AS t FROM orders WHERE o_orderkey % 20 = 0)
-SELECT k, o_orderkey FROM p JOIN s ON t >= a AND t <= b""")
+@query("""WITH s AS (SELECT o_orderpriority AS p, strftime(o_orderdate, '%Y-%m') AS m, min(epoch(o_orderdate)) AS a, max(epoch(o_orderdate)) AS b FROM orders GROUP BY 1, 2)
+SELECT o_orderkey AS k, p, m FROM orders JOIN s ON epoch(o_orderdate) >= a AND epoch(o_orderdate) <= b""")
 def range_interval(spark, d):
-    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
-    ends = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max(F.unix_timestamp("l_shipdate")).alias("b"))
-    s = o.where("o_orderkey % 50 = 0").join(ends, "o_orderkey").select("o_orderkey", F.unix_timestamp("o_orderdate").alias("a"), "b")
-    p = o.where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("k"), F.unix_timestamp("o_orderdate").alias("t"))
-    return joins.in_interval(p, "t", s, "a", "b", 30 * 86400.0).select("k", "o_orderkey")
+    o = table(spark, d, "orders").withColumn("t", F.unix_timestamp("o_orderdate"))
+    s = o.groupBy(F.col("o_orderpriority").alias("p"), F.date_format("o_orderdate", "yyyy-MM").alias("m")).agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    return joins.in_interval(o.select(F.col("o_orderkey").alias("k"), "t"), "t", s, "a", "b", 30 * 86400.0).select("k", "p", "m")
 
 
 @query("""SELECT o_custkey AS id, round(sum(o_totalprice * l_discount), 4) AS score FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
@@ -171,7 +168,5 @@ def propagated_scores(spark, d):
 
 @query()
 def greedy_matching(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 40 = 0")
-    a, b = o.select(F.col("o_orderkey").alias("a"), F.col("o_totalprice").alias("x"), "o_orderstatus"), o.select(F.col("o_custkey").alias("b"), F.col("o_totalprice").alias("y"), "o_orderstatus")
-    pairs = a.join(b, "o_orderstatus").where("abs(x - y) < 3000").select("o_orderstatus", "a", "b", (1 - F.abs(F.col("x") - F.col("y")) / 3000).alias("score")).dropDuplicates(["o_orderstatus", "a", "b"])
-    return joins.greedy_matching(pairs, "o_orderstatus", "a", "b", "score", 0.2)
+    """Parts and return flags of each order, matched by price."""
+    return joins.greedy_matching(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("g"), F.col("l_partkey").alias("a"), F.col("l_returnflag").alias("b"), F.col("l_extendedprice").alias("score")), "g", "a", "b", "score")

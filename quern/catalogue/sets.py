@@ -89,33 +89,38 @@ def proportional_allocation(spark, d):
     return sampling.proportional(histogram(table(spark, d, "events"), F.col("event_type")), 100)
 
 
-@query("SELECT count(*) AS n FROM orders")
+def _c(key: str, seed: int = 0) -> str:
+    """SQL of sampling.coin()."""
+    return f"(CAST('0x' || substr(md5(CAST({key} AS VARCHAR) || ':{seed}'), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE)"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN {_c('o_orderkey')} < 0.7 THEN 0 WHEN {_c('o_orderkey')} < 0.9 THEN 1 ELSE 2 END AS part FROM orders")
 def random_split(spark, d):
-    parts = sampling.split(table(spark, d, "orders"), "o_orderkey", [0.7, 0.2, 0.1])
-    return parts.groupBy("part").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"))
+    return sampling.split(table(spark, d, "orders"), "o_orderkey", [0.7, 0.2, 0.1]).select("o_orderkey", "part")
 
 
-@query("SELECT count(*) // 10 * 7 + (count(*) % 10) * 7 // 10 AS first_part FROM orders")
+@query(f"SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY {_c('o_orderkey')}) <= count(*) OVER () * 7 // 10 THEN 0 ELSE 1 END AS part FROM orders")
 def exact_split(spark, d):
-    parts = sampling.exact_split(table(spark, d, "orders"), "o_orderkey", [0.7, 0.3])
-    return parts.where("part = 0").agg(F.count("*").alias("first_part"))
+    return sampling.exact_split(table(spark, d, "orders"), "o_orderkey", [0.7, 0.3]).select("o_orderkey", "part")
 
 
-@query()
+@query(f"SELECT doc_id, CAST(floor({_c('doc_id')} * 5) AS INT) AS fold FROM labels")
 def cv_folds(spark, d):
-    return sampling.folds(table(spark, d, "labels"), "doc_id", 5).groupBy("fold").agg(F.count("*").alias("n"))
+    return sampling.folds(table(spark, d, "labels"), "doc_id", 5).select("doc_id", "fold")
 
 
-@query()
+@query(f"SELECT o_orderkey FROM orders WHERE o_totalprice > 0 ORDER BY -ln(greatest({_c('o_orderkey')}, 1e-300)) / o_totalprice, o_orderkey LIMIT 100")
 def weighted_sample(spark, d):
     return sampling.weighted(table(spark, d, "orders"), "o_totalprice", "o_orderkey", 100).select("o_orderkey")
 
 
-@query()
+@query(f"""WITH p AS (SELECT o_orderkey, row_number() OVER (ORDER BY floor({_c('o_orderkey', 64)} * 64), o_orderkey) - 1 AS place FROM orders)
+SELECT draw, o_orderkey FROM (SELECT range AS draw FROM range(200)) JOIN p ON place = floor({_c('draw')} * (SELECT count(*) FROM orders))""")
 def sample_with_replacement(spark, d):
     return sampling.with_replacement(table(spark, d, "orders"), "o_orderkey", 200)
 
 
-@query()
+@query(f"""WITH p AS (SELECT vec_id, label, lead(vec_id) OVER w AS n, lead(label) OVER w AS l FROM embeddings WINDOW w AS (PARTITION BY floor({_c('vec_id', 1)} * 64) ORDER BY {_c('vec_id')}, vec_id)),
+q AS (SELECT DISTINCT least(vec_id, n) AS a, greatest(vec_id, n) AS b, label = l AS same FROM p WHERE n IS NOT NULL AND n <> vec_id) SELECT a, b, same FROM q ORDER BY {_c('a')}, a, b LIMIT 200""")
 def verification_pairs(spark, d):
     return sampling.labelled_pairs(table(spark, d, "embeddings"), "vec_id", "label", 200)

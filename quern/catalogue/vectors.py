@@ -8,13 +8,13 @@ from ..operators import ml
 from ..operators import vectors as V
 from .base import query, r6, table
 
-_D = "SELECT q.vec_id AS query, c.vec_id AS id, sqrt(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda z: pow(z[1]::DOUBLE - z[2]::DOUBLE, 2)))) AS d FROM embeddings q JOIN embeddings c ON c.vec_id <> q.vec_id WHERE q.vec_id < 20"
-_COS = "SELECT q.vec_id AS query, c.vec_id AS id, 1 - list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS d FROM embeddings q JOIN embeddings c ON c.vec_id <> q.vec_id WHERE q.vec_id < 20"
+_D = "SELECT q.vec_id AS query, c.vec_id AS id, sqrt(list_sum(list_transform(list_zip(q.embedding, c.embedding), lambda z: pow(z[1]::DOUBLE - z[2]::DOUBLE, 2)))) AS d FROM embeddings q JOIN embeddings c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0"
+_COS = "SELECT q.vec_id AS query, c.vec_id AS id, 1 - list_cosine_similarity(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS d FROM embeddings q JOIN embeddings c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0"
 
 
 def _nn(spark, d, k, metric="l2"):
     e = table(spark, d, "embeddings")
-    return V.neighbours(e, e.where("vec_id < 20"), "vec_id", "embedding", k, metric)
+    return V.neighbours(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", k, metric)
 
 
 @query(f"SELECT query, CAST(rank AS INT) AS rank, id, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, id) AS rank FROM ({_D})) WHERE rank <= 10")
@@ -51,25 +51,26 @@ def neighbor_recall(spark, d):
     return out.select("query", *[r6(c).alias(c) for c in ("recall", "mrr", "jaccard")])
 
 
-@query(f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, id) AS rank FROM ({_D}))
-SELECT e.vec_id AS id, round(CASE WHEN e.label >= 5 THEN 5 + coalesce(s, 0) ELSE e.label END, 6) AS score FROM embeddings e LEFT JOIN (SELECT query, sum(exp(-d)) / 5 AS s FROM l WHERE rank <= 5 GROUP BY 1) ON query = vec_id WHERE vec_id < 20""")
+@query(f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, id) AS rank FROM ({_D.replace(' WHERE q.vec_id % 100 = 0', '')}))
+SELECT e.vec_id AS id, round(CASE WHEN e.label >= 5 THEN 5 + coalesce(s, 0) ELSE e.label END, 6) AS score FROM embeddings e LEFT JOIN (SELECT query, sum(exp(-d)) / 5 AS s FROM l WHERE rank <= 5 GROUP BY 1) ON query = vec_id""")
 def rescore_nn(spark, d):
-    s = table(spark, d, "embeddings").where("vec_id < 20").select(F.col("vec_id").alias("id"), F.col("label").cast("double").alias("score"))
-    return V.density_rescored(s, _nn(spark, d, 5), 5.0, 5).select("id", r6("score").alias("score"))
+    e = table(spark, d, "embeddings")
+    s = e.select(F.col("vec_id").alias("id"), F.col("label").cast("double").alias("score"))
+    return V.density_rescored(s, V.neighbours(e, e, "vec_id", "embedding", 5), 5.0, 5).select("id", r6("score").alias("score"))
 
 
-@query("""WITH p AS (SELECT p_partkey, string_split(p_type, ' ') AS t FROM part WHERE p_partkey <= 60)
-SELECT a.p_partkey AS a, b.p_partkey AS b, round(1 - len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS d FROM p a JOIN p b ON a.p_partkey < b.p_partkey""")
+@query("""WITH p AS (SELECT p_partkey, string_split(p_type, ' ') AS t FROM part)
+SELECT a.p_partkey AS a, b.p_partkey AS b, round(1 - len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6) AS d FROM p a JOIN p b ON b.p_partkey = a.p_partkey + 1""")
 def jaccard_labels(spark, d):
-    p = table(spark, d, "part").where("p_partkey <= 60").select("p_partkey", F.split("p_type", " ").alias("t"))
+    p = table(spark, d, "part").select("p_partkey", F.split("p_type", " ").alias("t"))
     a, b = p.select(F.col("p_partkey").alias("a"), F.col("t").alias("x")), p.select(F.col("p_partkey").alias("b"), F.col("t").alias("y"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", r6(V.label_distance(F.col("x"), F.col("y"), "multi")).alias("d"))
+    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", r6(V.label_distance(F.col("x"), F.col("y"), "multi")).alias("d"))
 
 
-@query("SELECT vec_id, len(embedding) * 2 AS n FROM embeddings WHERE vec_id % 3 = 0 AND vec_id % 2 = 0")
+@query("SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS a, round(embedding[1]::DOUBLE, 6) AS b, len(embedding) * 2 AS n FROM embeddings WHERE vec_id % 3 = 0 AND vec_id % 2 = 0")
 def concat_stores(spark, d):
     e = table(spark, d, "embeddings")
-    return V.concatenated([e.where("vec_id % 3 = 0"), e.where("vec_id % 2 = 0")], "vec_id", "embedding").select("vec_id", F.size("embedding").cast("long").alias("n"))
+    return V.concatenated([e.where("vec_id % 3 = 0"), e.where("vec_id % 2 = 0")], "vec_id", "embedding").select("vec_id", r6(F.get("embedding", 0).cast("double")).alias("a"), r6(F.get("embedding", 64).cast("double")).alias("b"), F.size("embedding").cast("long").alias("n"))
 
 
 _P = """one AS (SELECT DISTINCT l_orderkey AS g, p_brand AS i FROM lineitem JOIN part ON p_partkey = l_partkey), c AS (SELECT x.i AS a, y.i AS b, count(*) AS n FROM one x JOIN one y ON x.g = y.g AND x.i <> y.i GROUP BY 1, 2)"""

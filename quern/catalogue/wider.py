@@ -12,6 +12,7 @@ from ..operators import windows as O
 from ..sources import archives, files, stores
 from .base import query, r6, table
 from .related import _ITEMS, _collection, _scores, _tree
+from .sets import _c
 
 
 def lit(x):
@@ -47,10 +48,11 @@ def url_quote_names(spark, d):
     return table(spark, d, "pages").select("page_id", urls.unquote(q).alias("back"), F.contains(q, F.lit(" ")).alias("blank"), (urls.image_extension(F.concat(u, F.lit("/pic.JPEG"))) == "jpg").alias("jpeg"), urls.numbered(name, F.col("page_id") % 2).alias("numbered"))
 
 
-@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS iso, CAST(epoch(o_orderdate) AS DOUBLE) AS e, round(ln(1 + 86400.0 * (o_orderkey % 5)), 6) AS fresh, 3600.0::DOUBLE AS ahead, round(10.0 / (o_orderkey % 4 + 1) * (10 - o_orderkey % 4 - 1), 6) AS rest,
-'https://cal.example/?action=TEMPLATE&text=a+b&dates=' || strftime(o_orderdate, '%Y%m%dT%H%M%SZ') || '/' || strftime(o_orderdate, '%Y%m%dT%H%M%SZ') AS link FROM orders WHERE month(o_orderdate) IN (1, 12)""")
+@query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS iso, CAST(epoch(o_orderdate) AS DOUBLE) AS e, round(ln(1 + 86400.0 * (o_orderkey % 5)), 6) AS fresh, CASE WHEN o_orderdate >= make_date(year(o_orderdate), 3, 31) - CAST(dayofweek(make_date(year(o_orderdate), 3, 31)) AS INT) + INTERVAL 1 HOUR
+AND o_orderdate < CASE WHEN year(o_orderdate) < 1996 THEN make_date(year(o_orderdate), 9, 30) - CAST(dayofweek(make_date(year(o_orderdate), 9, 30)) AS INT) ELSE make_date(year(o_orderdate), 10, 31) - CAST(dayofweek(make_date(year(o_orderdate), 10, 31)) AS INT) END + INTERVAL 1 HOUR THEN 7200e0 ELSE 3600e0 END AS ahead, round(10.0 / (o_orderkey % 4 + 1) * (10 - o_orderkey % 4 - 1), 6) AS rest,
+'https://cal.example/?action=TEMPLATE&text=a+b&dates=' || strftime(o_orderdate, '%Y%m%dT%H%M%SZ') || '/' || strftime(o_orderdate, '%Y%m%dT%H%M%SZ') AS link FROM orders""")
 def time_more(spark, d):
-    o = table(spark, d, "orders").where(F.month("o_orderdate").isin(1, 12))
+    o = table(spark, d, "orders")
     t = F.col("o_orderdate").cast("timestamp")
     e = times.epoch(t)
     k = F.col("o_orderkey") % 4 + 1
@@ -65,10 +67,10 @@ def name_groups(spark, d):
     return table(spark, d, "part").select("p_partkey", names.first_glob(F.col("p_name"), ["*a*", "P*"]).alias("glob"), names.type_column(path, kinds).alias("kind"))
 
 
-@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, 7 AS n FROM orders WHERE o_orderkey < 500")
+@query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, 7 AS n FROM orders")
 def name_dates(spark, d):
     n = F.concat(F.lit("MyTrip - "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("_(x).jpg"))
-    return table(spark, d, "orders").where("o_orderkey < 500").select("o_orderkey", names.name_date(n).alias("day"), F.size(names.name_tokens(n)).alias("n"))
+    return table(spark, d, "orders").select("o_orderkey", names.name_date(n).alias("day"), F.size(names.name_tokens(n)).alias("n"))
 
 
 @query("""SELECT item_id, [item_id + 1.0, item_id + 2.5, 3.0]::DOUBLE[] AS a FROM benchmark""")
@@ -81,12 +83,12 @@ def subtitle_times(spark, d):
 # --- numbers, arrays, maps, geometry --------------------------------------------------------------------------------
 
 
-@query("""SELECT event_id, CAST(least(greatest((value / 50 - 1 + 1) / 2, 0), 1) * 255 AS INT) - CAST(least(greatest((value / 50 - 1 + 1) / 2, 0), 1) * 255 AS INT) AS zero, round(trunc(value / 0.25) * 0.25, 6) AS cut,
+@query("""SELECT event_id, CAST(floor(least(greatest((value / 50 - 1 + 1) / 2, 0), 1) * 255) AS INT) AS byte, round(trunc(value / 0.25) * 0.25, 6) AS cut,
 round(exp(-(value * value + 4) / (2 * 2500.0)) / (2 * pi() * 2500.0), 9) AS g2, [0.0, 0.5, 1.0]::DOUBLE[] AS steps, [1.0, 2.0, 4.0]::DOUBLE[] AS geo FROM events""")
 def math_more(spark, d):
     v = F.col("value")
     b = numbers.to_byte(v / 50 - 1, -1, 1)
-    return table(spark, d, "events").select("event_id", (b - b).alias("zero"), r6(numbers.quantize(v, 0.25)).alias("cut"), F.round(numbers.gaussian2d(v, lit(2), 50), 9).alias("g2"), numbers.steps(lit(0), lit(1), 0.5).alias("steps"), F.transform(numbers.geometric(lit(1), lit(4), 3), lambda x: F.round(x, 9)).alias("geo"))
+    return table(spark, d, "events").select("event_id", b.alias("byte"), r6(numbers.quantize(v, 0.25)).alias("cut"), F.round(numbers.gaussian2d(v, lit(2), 50), 9).alias("g2"), numbers.steps(lit(0), lit(1), 0.5).alias("steps"), F.transform(numbers.geometric(lit(1), lit(4), 3), lambda x: F.round(x, 9)).alias("geo"))
 
 
 @query("""WITH p AS (SELECT a.vec_id, list_transform(a.embedding, lambda x: abs(x::DOUBLE)) AS x, list_transform(b.embedding, lambda x: abs(x::DOUBLE)) AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
@@ -115,11 +117,11 @@ def map_more(spark, d):
 
 
 @query("""SELECT event_id, round(CASE WHEN value <= 20 THEN sqrt((value - 20) * (value - 20) + 100) WHEN value >= 60 THEN sqrt((value - 60) * (value - 60) + 100) ELSE 10 END, 6) AS seg, round(3 + value / 10 * 0.6, 6) AS x, round(value * value * sqrt(3) / 4, 4) AS area,
-round(value + 0.5 + 30 / 3600.0, 6) AS deg, (value + 10) * 8.0 AS scaled FROM events WHERE value > 1""")
+round(value + 0.5 + 30 / 3600.0, 6) AS deg, (value + 10) * 8.0 AS scaled FROM events""")
 def geo_more(spark, d):
     v = F.col("value")
     box = geo.rect(lit(0), lit(0), v + 10, lit(8))
-    return table(spark, d, "events").where("value > 1").select(
+    return table(spark, d, "events").select(
         "event_id", r6(geo.point_segment(v, lit(10), lit(20), lit(0), lit(60), lit(0))["distance"]).alias("seg"), r6(geo.along(v / 10, lit(3), lit(0), lit(6), lit(4))["x"]).alias("x"), F.round(geo.triangle(v, v, v)["area"], 4).alias("area"),
         r6(geo.dms(v, lit(30), lit(30), F.lit("N"))).alias("deg"), geo.rect_area(geo.rect_scaled(box, 2.0, 0.5)).alias("scaled"),
     ).withColumn("scaled", F.round("scaled", 6))
@@ -178,9 +180,9 @@ def numeric_label_bins(spark, d):
     return labels.binned(table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value")))
 
 
-@query("SELECT s.r AS value, o_orderkey AS id, CASE WHEN o_orderstatus = s.r THEN 1 ELSE -1 END AS y FROM orders, (SELECT DISTINCT o_orderstatus AS r FROM orders) s WHERE o_orderkey % 10 = 0")
+@query("SELECT s.r AS value, o_orderkey AS id, CASE WHEN o_orderstatus = s.r THEN 1 ELSE -1 END AS y FROM orders, (SELECT DISTINCT o_orderstatus AS r FROM orders) s")
 def signed_label_rows(spark, d):
-    return labels.signed_rows(table(spark, d, "orders").where("o_orderkey % 10 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("value")))
+    return labels.signed_rows(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("value")))
 
 
 @query("SELECT CAST(len(embedding) AS INT) AS dims, count(*) AS n FROM embeddings GROUP BY 1")
@@ -253,10 +255,10 @@ def ancestors(spark, d):
     return joins.ancestors(_tree(spark, d), "id", "parent", 3)
 
 
-@query(f"WITH {_ITEMS} SELECT p.id, count(c.id) AS n FROM items p LEFT JOIN items c ON c.parent = p.id WHERE p.otype = 'nation' GROUP BY 1")
+@query(f"WITH {_ITEMS} SELECT p.id, coalesce(string_agg(c.name, ',' ORDER BY c.id), '') AS names FROM items p LEFT JOIN items c ON c.parent = p.id WHERE p.otype = 'nation' GROUP BY 1")
 def assembled_children(spark, d):
     t = _tree(spark, d)
-    return joins.children_of(t.where("otype = 'nation'"), t.where("otype = 'customer'"), "id", "parent", ["name"]).select("id", F.size("children").cast("long").alias("n"))
+    return joins.children_of(t.where("otype = 'nation'"), t.where("otype = 'customer'"), "id", "parent", ["name"]).select("id", F.array_join(F.transform("children", lambda x: x["name"]), ",").alias("names"))
 
 
 @query("SELECT c_custkey + 1000 AS id, round(c_acctbal / 10000, 6) AS s FROM customer")
@@ -291,19 +293,19 @@ def metadata_merge(spark, d):
     return m.select("key", F.try_element_at("md", F.lit("seg")).alias("seg"), F.try_element_at("md", F.lit("extra")).alias("extra"))
 
 
-@query("SELECT c_custkey AS k, [CAST(c_nationkey AS BIGINT)] AS names FROM customer WHERE c_custkey < 100")
+@query("SELECT c_custkey AS k, [CAST(c_nationkey AS BIGINT)] AS names FROM customer")
 def foreign_ids(spark, d):
     n = table(spark, d, "nation")
-    c = table(spark, d, "customer").where("c_custkey < 100").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    c = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     rows = c.select(F.col("c_custkey").alias("k"), F.array(F.col("n_name"), F.lit("nowhere")).alias("names"))
     return archives.foreign_ids(rows, "names", n.select("n_name", F.col("n_nationkey").cast("long").alias("n_id")), "n_name", "n_id")
 
 
-@query("SELECT vec_id, CASE WHEN vec_id < 400 THEN len(embedding) END AS n, NULL::DOUBLE AS extra FROM embeddings")
+@query("SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN round(embedding[1]::DOUBLE, 6) END AS x, NULL::DOUBLE AS extra FROM embeddings")
 def extended_matrix(spark, d):
     e = table(spark, d, "embeddings")
-    m = stores.widened(stores.extended(e.where("vec_id < 400").select("vec_id", "embedding"), e, "vec_id"), {"extra": "double"})
-    return m.select("vec_id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).cast("long").alias("n"), "extra")
+    m = stores.widened(stores.extended(e.where("vec_id % 2 = 0").select("vec_id", "embedding"), e, "vec_id"), {"extra": "double"})
+    return m.select("vec_id", r6(F.get("embedding", 0).cast("double")).alias("x"), "extra")
 
 
 @query("SELECT CAST(k AS INT) AS place, round(coalesce(embedding[1]::DOUBLE, -1), 6) AS x FROM (SELECT unnest([7, 100000, 3]) AS id, unnest(range(3)) AS k) LEFT JOIN embeddings ON vec_id = id")
@@ -322,11 +324,11 @@ def row_norms(spark, d):
     return a.join(ml.normalized(e, "embedding", 1.0).select("vec_id", r6(F.get("embedding", 0)).alias("one")), "vec_id")
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b, CAST(abs(a.label - b.label) AS DOUBLE) AS n, CASE WHEN a.label = b.label THEN 0e0 ELSE 1e0 END AS c FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE b.vec_id < 40")
+@query("SELECT a.vec_id AS a, b.vec_id AS b, CAST(abs(a.label - b.label) AS DOUBLE) AS n, CASE WHEN a.label = b.label THEN 0e0 ELSE 1e0 END AS c FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def label_distances(spark, d):
-    e = table(spark, d, "embeddings").where("vec_id < 40")
+    e = table(spark, d, "embeddings")
     a, b = e.select(F.col("vec_id").alias("a"), F.col("label").alias("x")), e.select(F.col("vec_id").alias("b"), F.col("label").alias("y"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", V.label_distance(F.col("x"), F.col("y"), "numeric").cast("double").alias("n"), V.label_distance(F.col("x"), F.col("y"), "class").alias("c"))
+    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", V.label_distance(F.col("x"), F.col("y"), "numeric").cast("double").alias("n"), V.label_distance(F.col("x"), F.col("y"), "class").alias("c"))
 
 
 @query("SELECT CAST(i AS INT) AS dim, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS dev FROM (SELECT unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS i FROM embeddings) GROUP BY 1")
@@ -341,15 +343,16 @@ def covariance_scan(spark, d):
     return spark.createDataFrame([(i, float(c[i, 0])) for i in range(64)], "dim int, cov double").select("dim", r6("cov").alias("cov"))
 
 
-@query("SELECT CASE WHEN toxic = 1 THEN 1 ELSE -1 END AS label, CASE WHEN toxic = 1 THEN least(count(*), 20) ELSE least(count(*), 2 * least((SELECT count(*) FROM labels WHERE toxic = 1), 20)) END AS n FROM labels GROUP BY toxic")
+@query(f"""WITH p AS (SELECT doc_id FROM labels WHERE toxic = 1 ORDER BY {_c('doc_id')}, doc_id LIMIT 20)
+SELECT doc_id, 1 AS label FROM p UNION ALL SELECT doc_id, -1 FROM (SELECT doc_id FROM labels WHERE toxic = 0 ORDER BY {_c('doc_id')}, doc_id LIMIT 2 * (SELECT count(*) FROM p))""")
 def training_set(spark, d):
     t = table(spark, d, "labels").select("doc_id", "toxic")
-    return sampling.training_set(t.where("toxic = 1"), t.where("toxic = 0"), "doc_id", 20, 2).groupBy("label").agg(F.count("*").alias("n"))
+    return sampling.training_set(t.where("toxic = 1"), t.where("toxic = 0"), "doc_id", 20, 2)
 
 
-@query("SELECT least(count(*), 3) AS n, o_custkey FROM orders GROUP BY o_custkey")
+@query(f"SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY {_c('o_orderkey')}, o_orderkey) AS r FROM orders) WHERE r <= 3")
 def stratified_sample(spark, d):
-    return sampling.per_group(table(spark, d, "orders"), "o_custkey", 3, "o_orderkey").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    return sampling.per_group(table(spark, d, "orders"), "o_custkey", 3, "o_orderkey").select("o_custkey", "o_orderkey")
 
 
 @query("SELECT event_type, start, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT event_type, value, time_bucket(INTERVAL 1 DAY, ts) AS start FROM events) GROUP BY 1, 2")

@@ -26,7 +26,7 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "w").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).where("src <> dst").distinct()
 
 
-def shortest_paths(edges: DataFrame, source, most: int = 50) -> DataFrame:
+def shortest_paths(edges: DataFrame, source, most: int = 10_000) -> DataFrame:
     """(id, d, prev): distances from one node and the node before on a shortest path (the smallest of equal ones).
 
     Frontier relaxation: a round joins only the nodes that got nearer with their edges, until none does.
@@ -61,8 +61,8 @@ def all_pairs(edges: DataFrame, most: int = 12) -> DataFrame:
     raise RuntimeError(f"distances not settled after {most} rounds")
 
 
-def breadth_first(edges: DataFrame, source, target=None, most: int = 50) -> DataFrame:
-    """(id, hops): fewest edges from the source, up to the round that reaches the target."""
+def breadth_first(edges: DataFrame, source, target=None, most: int = 10_000) -> DataFrame:
+    """(id, hops): fewest edges from the source, up to the round that reaches the target; an error after `most` rounds."""
     kind = edges.schema["src"].dataType.simpleString()
     seen = edges.sparkSession.createDataFrame([(source, 0)], f"id {kind}, hops int")
     for i in range(1, most + 1):
@@ -70,14 +70,14 @@ def breadth_first(edges: DataFrame, source, target=None, most: int = 50) -> Data
         new = front.join(edges, front["id"] == edges["src"]).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
         new = _cut(new.select("id", F.lit(i).alias("hops")))
         if new.isEmpty():
-            break
+            return seen
         seen = _cut(seen.union(new))
         if target is not None and not new.where(F.col("id") == F.lit(target)).isEmpty():
-            break
-    return seen
+            return seen
+    raise RuntimeError(f"the search has not ended after {most} rounds")
 
 
-def route(edges: DataFrame, source, target, most: int = 50) -> tuple[list, float]:
+def route(edges: DataFrame, source, target, most: int = 10_000) -> tuple[list, float]:
     """(nodes, length) of a shortest path among the edges that breadth-first search explores; ([], inf) if none."""
     area = breadth_first(edges, source, target, most)
     near = edges.join(area.select(F.col("id").alias("src")), "src", "left_semi")

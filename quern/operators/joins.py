@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graph import _cut
+
 
 def as_of(left: DataFrame, right: DataFrame, on: str, time: str, value: list[str], prefix: str = "r_") -> DataFrame:
     """left with the latest right row at or before its time, per key: one union, one sort per key, no range join."""
@@ -44,11 +45,19 @@ def ancestors(items: DataFrame, key: str, parent: str, most: int = 20) -> DataFr
     return reach
 
 
-def closest_ancestor(items: DataFrame, key: str, parent: str, fits: Column, most: int = 8) -> DataFrame:
-    """(id, ancestor): the nearest ancestor, or the item itself, that fits."""
-    good = items.where(fits).select(F.col(key).alias("ancestor"))
-    up = ancestors(items, key, parent, most).join(good, "ancestor", "left_semi")
-    return up.groupBy("id").agg(F.min(F.struct("hops", "ancestor")).alias("m")).select("id", F.col("m.ancestor").alias("ancestor"))
+def closest_ancestor(items: DataFrame, key: str, parent: str, fits: Column) -> DataFrame:
+    """(id, ancestor): the nearest ancestor at any distance, or the item itself, that fits; key is unique.
+
+    Every round doubles how far up each item has looked. A cycle without a fitting item has none.
+    """
+    good = F.coalesce(fits, F.lit(False))
+    now = _cut(items.select(F.col(key).alias("id"), F.when(good, F.col(key)).alias("ancestor"), F.when(~good, F.col(parent)).alias("up")))
+    for _ in range(now.count().bit_length() + 1):
+        if now.where("ancestor IS NULL AND up IS NOT NULL").isEmpty():
+            break
+        above = now.select(F.col("id").alias("up"), F.col("ancestor").alias("a_"), F.col("up").alias("u_"))
+        now = _cut(now.join(above, "up", "left").select("id", F.coalesce("ancestor", "a_").alias("ancestor"), F.when(F.coalesce("ancestor", "a_").isNull(), F.col("u_")).alias("up")))
+    return now.where("ancestor IS NOT NULL").select("id", "ancestor")
 
 
 def children_of(posts: DataFrame, items: DataFrame, key: str, parent: str, fields: list[str]) -> DataFrame:
@@ -64,20 +73,20 @@ def scores_map(scores: DataFrame, ident: str = "id") -> DataFrame:
 
 
 def greedy_matching(pairs: DataFrame, group: str, a: str, b: str, score: str, least: float = 0.0) -> DataFrame:
-    """(group, a, b, score): pairs taken by falling score, each a and b once; ties by a, then b. One task per group."""
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf[score] >= least].sort_values([score, a, b], ascending=[False, True, True])
-        used_a, used_b, keep = set(), set(), []
-        for i, x, y in zip(pdf.index, pdf[a], pdf[b]):
-            if x not in used_a and y not in used_b:
-                used_a.add(x)
-                used_b.add(y)
-                keep.append(i)
-        return pdf.loc[keep]
-
-    slim = pairs.select(group, a, b, score)
-    return slim.groupBy(group).applyInPandas(match, slim.schema)
+    """(group, a, b, score): pairs taken by falling score, each a and b of a group once; ties by a, then b.
+
+    A pair that is the best of its a and of its b is taken whatever the others are, so rounds of mutual best pairs
+    give what taking one by one would, and no task sees a whole group. A pair that repeats counts by its highest score.
+    """
+    left = _cut(pairs.where(F.col(score) >= least).groupBy(group, a, b).agg(F.max(score).alias(score)))
+    order = (F.col(score).desc(), a, b)
+    taken = left.limit(0)
+    while not left.isEmpty():
+        best = left.withColumn("i_", F.row_number().over(W.partitionBy(group, a).orderBy(*order))).withColumn("j_", F.row_number().over(W.partitionBy(group, b).orderBy(*order)))
+        best = _cut(best.where("i_ = 1 AND j_ = 1").drop("i_", "j_"))
+        taken = taken.union(best)
+        left = _cut(left.join(best.select(group, a), [group, a], "left_anti").join(best.select(group, b), [group, b], "left_anti").select(*best.columns))
+    return taken
 
 
 def unmatched(side: DataFrame, key: str, matched: DataFrame, col: str) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 
 def coin(key: Column, seed: int = 0) -> Column:
-    """A number from 0 to 1 that depends on key and seed alone."""
-    return F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11) / F.lit(float(1 << 53))
+    """A number from 0 to 1 that depends on key and seed alone: 52 bits of the MD5 of both, as any engine has it."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(seed))), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
 def at_most(df: DataFrame, k: int, key: str, seed: int = 0) -> DataFrame:
@@ -72,13 +72,13 @@ def weighted(df: DataFrame, weight: str, key: str, k: int, seed: int = 0) -> Dat
 
 def numbered(df: DataFrame, key: str, parts: int = 64) -> tuple[DataFrame, int]:
     """((key, place), n): rows numbered from 0 without gaps, in parts by a hash of the key, so no task ranks them all."""
-    placed = df.select(key).withColumn("b_", F.pmod(F.xxhash64(key), F.lit(parts)))
+    placed = df.select(key).withColumn("b_", F.floor(coin(F.col(key), parts) * parts).cast("int"))
     size = {r[0]: r[1] for r in placed.groupBy("b_").count().collect()}
     start, at = {}, 0
     for b in range(parts):
         start[b], at = at, at + size.get(b, 0)
     first = F.create_map(*[F.lit(x) for kv in start.items() for x in kv])
-    ranked = placed.withColumn("place", F.row_number().over(W.partitionBy("b_").orderBy(key)) - 1 + first[F.col("b_").cast("int")])
+    ranked = placed.withColumn("place", F.row_number().over(W.partitionBy("b_").orderBy(key)) - 1 + first[F.col("b_")])
     return ranked.select(key, F.col("place").cast("long").alias("place")), at
 
 
@@ -91,7 +91,7 @@ def with_replacement(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFram
 
 def labelled_pairs(df: DataFrame, key: str, label: str, n: int, seed: int = 0) -> DataFrame:
     """(a, b, same): about n random pairs; every row meets partners at fixed places of a shuffled order."""
-    w = W.partitionBy(F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(64))).orderBy(coin(F.col(key), seed), key)
+    w = W.partitionBy(F.floor(coin(F.col(key), seed + 1) * 64)).orderBy(coin(F.col(key), seed), key)
     b, lb = F.lead(key).over(w), F.lead(label).over(w)
     out = df.select(F.least(F.col(key), b).alias("a"), F.greatest(F.col(key), b).alias("b"), (F.col(label) == lb).alias("same")).where("b IS NOT NULL AND a <> b")
     return out.distinct().orderBy(coin(F.col("a"), seed), "a", "b").limit(n)

@@ -1,6 +1,8 @@
 """Golden values of scalar functions and small checks of operators."""
 
+import json
 import math
+import random
 
 import numpy as np
 import pytest
@@ -63,14 +65,13 @@ def test_geo(spark):
     assert tuple(r[0]) == (1, 0, 0) and tuple(r[1]) == (2, 1, 0) and r[2] == pytest.approx(math.pi * geo.RADIUS) and tuple(r[3]) == (47.6, -122.3) and r[4] == 6 and r[5] is None
 
 
-def test_semi():
+def test_semi(spark):
     page = '<div id="a" class="x y"><p>One <b>two</b></p><p data-k="v">1.2K</p><script>no</script></div><div style="display: none">x</div>'
     root = semi.tree(page)
-    assert semi.Rule("t", "div.x p").value(root) == "One two"
-    assert semi.Rule("n", 'p[data-k="v"]', transforms=[("int", None)]).value(root) == 1200
-    assert semi.Rule("all", "#a p", many=True, transforms=[("strip", None), ("lower", None)]).value(root) == ["one two", "1.2k"]
-    rule = semi.Rule("n", "p", "data-k", True)
-    assert semi.Rule.from_dict(rule.to_dict()) == rule and rule.value(root) == ["v"]
+    rules = [semi.Rule("t", "div.x p"), semi.Rule("n", 'p[data-k="v"]', give=("int",)), semi.Rule("w", "p", many=True, give=("int",)), semi.Rule("all", "#a p", many=True, clean=(("strip",), ("lower",), ("replace", "one", "1"))), semi.Rule("k", "p", "data-k", True), semi.Rule("s", "div.x p", give=("split", " ")), semi.Rule("none", "table")]
+    assert semi.rules_of(semi.rules_text(rules)) == rules and rules[0].found(root) == ["One two", "1.2K"]
+    (r,) = one(spark, semi.apply_rules(F.lit(page), rules))
+    assert {k: json.loads(v) for k, v in r.items()} == {"t": "One two", "n": 1200, "w": ["One two", 1200], "all": ["1 two", "1.2k"], "k": ["v"], "s": ["One", "two"], "none": None}
     assert "no" not in semi.simplified(page) and "none" not in semi.simplified(page)
     assert semi.embedded_json('x {"a": [1, 2]} tail') == {"a": [1, 2]}
     assert semi.decode_nested({"a": '{"b": "[1]"}'}) == {"a": {"b": [1]}}
@@ -90,6 +91,16 @@ def test_paths_and_matching(spark):
     assert {r["id"]: r["d"] for r in graph.shortest_paths(e, "a").collect()} == {"a": 0, "b": 1, "c": 2}
     assert graph.route(e, "a", "c") == (["a", "b", "c"], 2.0) and graph.route(e, "a", "e") == ([], float("inf"))
     p = spark.createDataFrame([("g", "x", "1", 0.9), ("g", "x", "2", 0.8), ("g", "y", "1", 0.7), ("g", "y", "2", 0.1)], "g string, a string, b string, s double")
+    rng = random.Random(3)
+    rows = [(g, rng.randint(0, 9), rng.randint(0, 9), rng.randint(0, 20) / 10) for g in "xyz" for _ in range(60)] + [("x", 1, 1, 1.5), ("x", 1, 1, 0.5)]
+    best = {(g, a, b): v for g, a, b, v in sorted(rows, key=lambda r: r[3])}
+    want, used = [], set()
+    for (g, a, b), v in sorted(best.items(), key=lambda r: (-r[1], r[0][1:])):
+        if v >= 0.3 and not used & {(g, "a", a), (g, "b", b)}:
+            used |= {(g, "a", a), (g, "b", b)}
+            want.append((g, a, b, v))
+    got = joins.greedy_matching(spark.createDataFrame(rows, "g string, a long, b long, s double"), "g", "a", "b", "s", 0.3)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
     assert sorted((r["a"], r["b"]) for r in joins.greedy_matching(p, "g", "a", "b", "s", 0.05).collect()) == [("x", "1"), ("y", "2")]
 
 
