@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+from calendar import month_abbr, month_name
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from datetime import date, datetime
+from datetime import date
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,8 +20,9 @@ from .strings import has_words, similarity
 BRACKETS = re.compile(r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}|<[^<>]*>")
 BETWEEN = re.compile(r" - |[,_:/]")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-#: The ways three tokens may spell a date.
-DATES = ("%Y %m %d", "%d %m %Y", "%m %d %Y", "%y %m %d", "%d %m %y", "%m %d %y", "%Y %b %d", "%d %b %Y", "%b %d %Y", "%Y %B %d", "%d %B %Y", "%B %d %Y", "%d %b %y", "%b %d %y")
+#: The orders of year, month and day that three tokens are read in.
+ORDERS = ("ymd", "dmy", "mdy")
+MONTHS = {name.lower(): i for names in (month_name, month_abbr) for i, name in enumerate(names) if name}
 
 
 @dataclass(frozen=True)
@@ -67,16 +69,24 @@ def segments(name: str) -> list[Segment]:
     return [s for s in out if s.tokens]
 
 
+def _date(order: str, texts: list[str], digits: int) -> date | None:
+    """The date that the texts spell in an order, with a year of so many digits; months are numbers or names."""
+    part = dict(zip(order, texts))
+    month = MONTHS.get(part["m"].lower()) or (int(part["m"]) if re.fullmatch(r"[0-9]{1,2}", part["m"]) else 0)
+    if not re.fullmatch(r"[0-9]{1,2}", part["d"]) or not re.fullmatch(f"[0-9]{{{digits}}}", part["y"]):
+        return None
+    year = int(part["y"]) + (0 if digits == 4 else 2000 if int(part["y"]) < 69 else 1900)
+    try:
+        return date(year, month, int(part["d"]))
+    except ValueError:
+        return None
+
+
 def find_date(tokens: list[Token]) -> tuple[date, int, int] | None:
-    """The first three tokens in a row that spell a date: it, and the range of tokens."""
-    for i in range(len(tokens) - 2):
-        text = " ".join(t.text for t in tokens[i : i + 3])
-        for fmt in DATES:
-            try:
-                return datetime.strptime(text, fmt).date(), i, i + 3
-            except ValueError:
-                continue
-    return None
+    """The first three tokens in a row that spell a date: it, and the range of tokens. Years of four digits come first."""
+    texts = [t.text for t in tokens]
+    readings = ((_date(order, texts[i : i + 3], digits), i, i + 3) for i in range(len(texts) - 2) for digits in (4, 2) for order in ORDERS)
+    return next((r for r in readings if r[0]), None)
 
 
 def without_text(parts: list[Segment], text: str) -> list[Segment]:

@@ -6,7 +6,7 @@ import html as html_lib
 import json
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 from html.parser import HTMLParser
 from typing import Any
 
@@ -65,16 +65,20 @@ def json_path(c: Column, path: str) -> Column:
     return F.get_json_object(c, "$." + path)
 
 
-def key_paths(df: DataFrame, col: str, depth: int = 4) -> DataFrame:
-    """(path, n): how often each dotted path of JSON objects occurs."""
+def key_paths(df: DataFrame, col: str, depth: int | None = None) -> DataFrame:
+    """(path, n): how often each dotted path of JSON objects occurs; down to a depth, or as deep as they go."""
     level = df.select(F.lit("").alias("path"), F.col(col).alias("j"))
     out = None
-    for _ in range(depth):
+    at = 0
+    while depth is None or at < depth:
+        at += 1
         keys = level.withColumn("k", F.explode(F.json_object_keys("j")))
         child = F.expr("get_json_object(j, concat('$[''', k, ''']'))")
         level = keys.select(F.when(F.col("path") == "", F.col("k")).otherwise(F.concat("path", F.lit("."), "k")).alias("path"), child.alias("j"))
         out = level.select("path") if out is None else out.union(level.select("path"))
         level = level.where("j LIKE '{%'")
+        if depth is None and level.isEmpty():
+            break
     return out.groupBy("path").agg(F.count("*").alias("n"))
 
 
@@ -214,68 +218,70 @@ def select(root: Node, selector: str) -> list[Node]:
     return level
 
 
-#: Transforms that rules may name; each takes the value and the rule's argument.
-TRANSFORMS: dict[str, Callable[[Any, Any], Any]] = {
-    "strip": lambda v, _: v.strip(),
-    "lower": lambda v, _: v.lower(),
-    "replace": lambda v, a: v.replace(a[0], a[1] if len(a) > 1 else "") if v else v,
-    "split": lambda v, a: v.split(a or " ") if v else [],
-    "int": lambda v, _: whole_number(v),
-}
+#: Steps that clean what a rule has found, as columns.
+CLEAN: dict[str, Callable[..., Column]] = {"strip": F.trim, "lower": F.lower, "replace": lambda v, old, new="": F.replace(v, F.lit(old), F.lit(new))}
 
 
-def whole_number(s: str) -> int:
-    """'1.2K', '3M', '1,234' as a whole number; ValueError otherwise."""
-    m = re.fullmatch(r"\s*(-?[\d,]*\.?\d+)\s*([kKmMbB]?)\s*", s)
-    if not m:
-        raise ValueError(f"no number: {s!r}")
-    return round(float(m[1].replace(",", "")) * {"": 1, "k": 1e3, "m": 1e6, "b": 1e9}[m[2].lower()])
+def whole_number(v: Column) -> Column:
+    """'1.2K', '3M', '1,234' as a whole number; null for what is none."""
+    form = r"^\s*(-?[\d,]*\.?\d+)\s*([kKmMbB]?)\s*$"
+    digits, unit = F.replace(F.regexp_extract(v, form, 1), F.lit(","), F.lit("")), F.lower(F.regexp_extract(v, form, 2))
+    factor = F.when(unit == "k", 1e3).when(unit == "m", 1e6).when(unit == "b", 1e9).otherwise(1.0)
+    return F.when(v.rlike(form), F.round(digits.try_cast("double") * factor).cast("long"))
 
 
-@dataclass
+@dataclass(frozen=True)
 class Rule:
-    """What to take from a page: nodes by selector, then text, html or an attribute, then transforms in order."""
+    """What to take from a page: nodes by selector, of each its text, html or an attribute; steps of CLEAN, each a name
+    and its arguments; and what it gives: "text", "int" (what is no number stays text) or "split" with a separator."""
 
     name: str
     selector: str
     take: str = "text"
     many: bool = False
-    transforms: list[tuple[str, Any]] = field(default_factory=list)
+    clean: tuple[tuple[str, ...], ...] = ()
+    give: tuple[str, ...] = ("text",)
 
-    def value(self, root: Node) -> Any:
+    def found(self, root: Node) -> list[str]:
         nodes = select(root, self.selector)
         got = [n.text() if self.take == "text" else n.html() if self.take == "html" else n.attrs.get(self.take) for n in nodes]
-        got = [self.changed(v) for v in got if v is not None]
-        return got if self.many else (got[0] if got else None)
+        return [v for v in got if v is not None]
+
+    def as_json(self, v: Column) -> Column:
+        for step, *args in self.clean:
+            v = CLEAN[step](v, *args)
+        text = F.to_json(F.array(v))
+        text = F.substring(text, 2, F.length(text) - 2)
+        if self.give[0] == "int":
+            return F.coalesce(whole_number(v).cast("string"), text)
+        if self.give[0] == "split":
+            return F.to_json(F.split(v, re.escape(self.give[1])))
+        return text
+
 
-    def changed(self, v: Any) -> Any:
-        for name, arg in self.transforms:
-            try:
-                v = [TRANSFORMS[name](x, arg) for x in v] if isinstance(v, list) else TRANSFORMS[name](v, arg)
-            except (ValueError, AttributeError, TypeError):
-                break
-        return v
+def rules_text(rules: list[Rule]) -> str:
+    return json.dumps([asdict(r) for r in rules])
 
-    def to_dict(self) -> dict[str, Any]:
-        return self.__dict__ | {"transforms": [list(t) for t in self.transforms]}
 
-    @staticmethod
-    def from_dict(d: dict[str, Any]) -> Rule:
-        return Rule(**(d | {"transforms": [tuple(t) for t in d.get("transforms", [])]}))
+def rules_of(text: str) -> list[Rule]:
+    """The rules that rules_text() wrote."""
+    frozen = lambda x: tuple(map(frozen, x)) if isinstance(x, list) else x
+    return [Rule(**{k: frozen(v) for k, v in d.items()}) for d in json.loads(text)]
 
 
 def apply_rules(c: Column, rules: list[Rule]) -> Column:
-    """A map from rule name to value as JSON text."""
+    """A map from rule name to value as JSON text. Pages are parsed once for all rules; the rest is done by columns."""
 
-    @F.pandas_udf("map<string,string>")
+    @F.pandas_udf("array<array<string>>")
     def run(pages: pd.Series) -> pd.Series:
-        def one(page: str | None) -> dict[str, str | None]:
-            root = tree(page or "")
-            return {r.name: json.dumps(r.value(root), ensure_ascii=False) for r in rules}
+        return pages.map(lambda page: [r.found(root) for r in rules] if (root := tree(page or "")) else [])
 
-        return pages.map(one)
+    def value(r: Rule, found: Column) -> Column:
+        each = F.transform(found, r.as_json)
+        return F.concat(F.lit("["), F.array_join(each, ", "), F.lit("]")) if r.many else F.coalesce(F.get(each, 0), F.lit("null"))
 
-    return run(c)
+    lists = run(c)
+    return F.map_from_arrays(F.array(*[F.lit(r.name) for r in rules]), F.array(*[value(r, F.get(lists, i)) for i, r in enumerate(rules)]))
 
 
 def simplified(page: str) -> str:
