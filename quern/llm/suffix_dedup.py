@@ -1,4 +1,4 @@
-"""Exact substring dedup over sparse suffixes: anchors, sampled range partitions, multikey quicksort.
+"""Exact substring dedup over sparse suffixes: anchors, sampled range partitions, multikey quicksort, boundaries.
 
 A 100-byte string is judged by one designated suffix inside it, its anchor: the leftmost position whose `GRAM`-byte
 hash is smallest in the string. Equal strings hold equal anchors at equal places, so it is enough to sort the suffixes
@@ -25,6 +25,9 @@ GRAM = 32
 SEGMENT = 1 << 20
 LOW = np.uint64(SEGMENT - 1)
 BASE = 0xD1342543DE82EF95
+TOP = np.uint64(1 << 63)
+#: What the suffixes are sorted by: leading tokens, the hash of GRAM bytes, the digest of all bytes of the run, the place.
+KEY = ("t1", "t2", "gram", "digest", "id", "loc")
 
 
 @lru_cache(maxsize=1)
@@ -55,7 +58,8 @@ def anchors(buf: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def runs(texts: list[bytes], length: int) -> Iterator[dict[str, np.ndarray]]:
-    """Runs of string starts with one anchor: doc (place in texts), lo, span (last start less lo), at (anchor less lo),
+    """Runs of string starts with one anchor: t1 and t2 (the leading tokens of the suffix at the anchor, 8 bytes each, as
+    signed numbers in the order of their bytes), doc (place in texts), lo, span (last start less lo), at (anchor less lo),
     gram, and the digest of all bytes that the run's strings cover."""
     held: list[int] = []
     size = 0
@@ -75,7 +79,8 @@ def runs(texts: list[bytes], length: int) -> Iterator[dict[str, np.ndarray]]:
         digest = [xxhash.xxh3_64_intdigest(data[a:z]) for a, z in zip(lo.tolist(), (hi + length).tolist())]
         begins = np.concatenate([[0], ends[:-1]])
         own = doc[new]
-        return {"doc": np.array(docs)[own], "lo": lo - begins[own] + shift, "span": hi - lo, "at": at - lo, "gram": h[at], "digest": np.array(digest, np.uint64)}
+        lead = np.frombuffer(data, np.uint8)[at[:, None] + np.arange(16)].view(">u8").astype(np.uint64) ^ TOP
+        return {"t1": lead[:, 0], "t2": lead[:, 1], "doc": np.array(docs)[own], "lo": lo - begins[own] + shift, "span": hi - lo, "at": at - lo, "gram": h[at], "digest": np.array(digest, np.uint64)}
 
     def together() -> dict[str, np.ndarray] | None:
         return emit(held, b"".join(texts[i] for i in held), np.cumsum([len(texts[i]) for i in held]), 0) if held else None
@@ -169,40 +174,37 @@ def _texts(b: pa.RecordBatch, most: int = 4 << 20) -> Iterator[tuple[np.ndarray,
             held, size, at = [], 0, i + 1
 
 
-def _keys(gram: np.ndarray, digest: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """What brings runs together: the gram, even; for hot grams an odd mix of gram and digest."""
-    even = gram & ~np.uint64(1)
-    if not len(hot):
-        return even
-    place = np.minimum(np.searchsorted(hot, even), len(hot) - 1)
-    return np.where(hot[place] == even, (gram ^ digest) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1), even)
+def splitters(docs: DataFrame, length: int, buckets: int, sample: int, per_bucket: int = 20) -> np.ndarray:
+    """The keys, as rows of signed numbers, that cut the suffixes of a hash sample of documents into equal buckets."""
+    n = max(docs.count(), 1)
 
-
-def hot_grams(docs: DataFrame, length: int, sample: int, most: int) -> np.ndarray:
-    """Grams that more than about `most` documents hold, from a hash sample of about `sample` documents.
-
-    Only a matter of memory: results are the same whichever grams it names.
-    """
-    n = docs.count()
-    if n <= most:
-        return np.zeros(0, np.uint64)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, _, texts in _texts(b):
-                for t in texts:
-                    if found := [r["gram"] & ~np.uint64(1) for r in runs([t], length)]:
-                        yield _batch("gram", np.unique(np.concatenate(found)).view(np.int64))
-
-    drawn = docs.where(F.pmod(F.xxhash64("id", "mark", F.lit(9)), F.lit(n)) < sample)
-    grams = drawn.mapInArrow(lean(count), "gram long").groupBy("gram").count().where(F.col("count") > max(2, sample * most // n))
-    return np.sort(np.array([r[0] for r in grams.collect()], np.int64).view(np.uint64))
-
-
-def _dealt(docs: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
-    """(gram, digest, id, mark, loc, gone): the runs of all documents; gone: a repeat of another in the same slice.
-
-    Repeats get a key of their own, so copies of one run meet as often as there are slices and not as there are copies.
+            for ident, _, texts in _texts(b):
+                for r in runs(texts, length):
+                    yield _batch(" ".join(KEY), *[r[k].view(np.int64) for k in KEY[:4]], ident[r["doc"]], packed(r["lo"], r["span"], r["at"]))
+
+    drawn = docs.where(F.pmod(F.xxhash64("id", "mark", F.lit(9)), F.lit(n)) < sample).mapInArrow(lean(keys), ", ".join(f"{k} long" for k in KEY))
+    t = drawn.orderBy(F.xxhash64("gram", "digest", "id", "loc")).limit(buckets * per_bucket).toArrow()
+    own = np.stack([t[k].to_numpy() for k in KEY], axis=1) if t.num_rows else np.zeros((0, len(KEY)), np.int64)
+    own = own[np.lexsort(own.T[::-1])]
+    return own[np.unique(np.linspace(0, len(own), buckets + 1).astype(int)[1:-1])] if len(own) > buckets else own[:0]
+
+
+def bucket_of(rows: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """How many of the cuts are no larger than each row."""
+    both = np.concatenate([cuts, rows])
+    is_cut = np.arange(len(both)) < len(cuts)
+    order = np.lexsort([~is_cut, *both.T[::-1]])
+    out = np.empty(len(both), np.int64)
+    out[order] = np.cumsum(is_cut[order])
+    return out[len(cuts) :]
+
+
+def _dealt(docs: DataFrame, length: int, cuts: np.ndarray) -> DataFrame:
+    """(bucket, KEY, mark, gone): the runs of all documents in their buckets; gone: a repeat of another in the same
+    slice. Those need no comparison any more and go to any bucket, so copies of one run meet as often as there are
+    slices and not as there are copies.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,40 +214,144 @@ def _dealt(docs: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
                 if not found:
                     continue
                 c = {k: np.concatenate([f[k] for f in found]) for k in found[0]}
-                key, own, loc = _keys(c["gram"], c["digest"], hot), ident[c["doc"]], packed(c["lo"], c["span"], c["at"])
-                order = np.lexsort((loc, own, c["digest"], key))
-                k, d, i, s = key[order], c["digest"][order], own[order], loc[order]
-                new = np.ones(len(order), bool)
-                new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
-                first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-                gone = (i != i[first]) | (s != s[first])
-                alone = (i.view(np.uint64) * np.uint64(BASE) + s.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) | np.uint64(1)
-                yield _batch("gram digest id mark loc gone", np.where(gone, alone, k).view(np.int64), d.view(np.int64), i, mark[c["doc"]][order], s, gone)
-
-    return docs.mapInArrow(lean(spread), "gram long, digest long, id long, mark long, loc long, gone boolean")
+                rows = np.stack([*[c[k].view(np.int64) for k in KEY[:4]], ident[c["doc"]], packed(c["lo"], c["span"], c["at"])], axis=1)
+                order = np.lexsort(rows.T[::-1])
+                rows = rows[order]
+                new = np.ones(len(rows), bool)
+                new[1:] = (rows[1:, :4] != rows[:-1, :4]).any(axis=1)
+                first = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
+                gone = (rows[:, 4:] != rows[first, 4:]).any(axis=1)
+                other = (rows[:, 4].view(np.uint64) * np.uint64(BASE) + rows[:, 5].view(np.uint64)) >> np.uint64(17)
+                bucket = np.where(gone, (other % np.uint64(len(cuts) + 1)).astype(np.int64), bucket_of(rows, cuts))
+                yield _batch("bucket " + " ".join(KEY) + " mark gone", bucket.astype(np.int32), *rows.T, mark[c["doc"]][order], gone)
+
+    return docs.mapInArrow(lean(spread), "bucket int, " + ", ".join(f"{k} long" for k in KEY) + ", mark long, gone boolean")
+
+
+def _settled(rows: DataFrame, buckets: int, most: int) -> DataFrame:
+    """(id, mark, loc, kind, edge, lead, note) of runs that are repeats (kind 0) or share their gram with other bytes (1;
+    2: with over `most` runs), judged in their buckets, which hold the suffixes between two splitters.
+
+    A bucket arrives in the order of the first token; multikey quicksort orders it by all tokens. Its first and its last
+    gram may go on in the buckets beside it: their runs come marked (edge 1, 2 or 3; lead: of the bucket's first digest;
+    kind -2: no repeat and nothing to share a gram with so far), with a note of the bucket's ends (kind -1).
+    """
 
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, waiting, ends = None, None, []
+
+        def known() -> Iterator[pa.RecordBatch]:
+            nonlocal bucket
+            for b in batches:
+                if b.num_rows:
+                    bucket = b.column(0)[0].as_py()
+                    gone = b.column(8).to_numpy(zero_copy_only=False)
+                    at = pa.array(np.flatnonzero(gone))
+                    n = len(at)
+                    held.append(_batch(NAMES, b.column(5).take(at), b.column(7).take(at), b.column(6).take(at), np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, bool), pa.nulls(n, pa.binary())))
+                    yield b.filter(pa.array(~gone))
 
-def _settled(rows: DataFrame) -> DataFrame:
-    """(id, mark, loc, kind) of runs that are repeats (0) or share their gram with other bytes (1; 2: a hot gram)."""
+        held: list[pa.RecordBatch] = []
+        for g in streamed_groups(known(), ["t1"]):
+            yield from held
+            held.clear()
+            order = np.lexsort((g["loc"], g["id"]))
+            words = np.stack([g[k][order].view(np.uint64) for k in KEY[:4]], axis=1)
+            to = multikey_quicksort(words)
+            words, order = words[to], order[to]
+            i, m, s = (g[k][order] for k in ("id", "mark", "loc"))
+            gram, run = (np.concatenate([[True], (words[1:, :k] != words[:-1, :k]).any(axis=1)]) for k in (3, 4))
+            group, at = np.cumsum(gram) - 1, np.arange(len(i))
+            first = np.maximum.accumulate(np.where(run, at, 0))
+            gone = (i != i[first]) | (s != s[first])
+            size = np.bincount(group)[group]
+            kinds = np.bincount(group, run)[group].astype(np.int64)
+            kind = np.where(gone, 0, np.where(kinds > 1, np.where(size > most, 2, 1), -2)).astype(np.int32)
+            edge, lead = np.zeros(len(i), np.int32), np.zeros(len(i), bool)
+            if not ends:
+                edge[group == 0] = 1
+                lead = (group == 0) & (np.cumsum(run) == 1)
+                ends = [[*words[0].view(np.int64), i[0], s[0], kinds[0], size[0]], None]
+            ends[1] = [*words[-1].view(np.int64), i[first[-1]], s[first[-1]], kinds[-1], size[-1]]
+            if waiting is not None:
+                yield _found(*waiting)
+            waiting = (i, m, s, kind, edge, lead, group == group[-1])
+        yield from held
+        if waiting is not None:
+            waiting[4][waiting[6]] |= 2
+            yield _found(*waiting)
+            note = np.array([bucket, *ends[0], *ends[1], int((waiting[4] == 3).any())], np.int64).tobytes()
+            yield _batch(NAMES, *[np.zeros(1, np.int64)] * 3, np.full(1, -1, np.int32), np.zeros(1, np.int32), np.zeros(1, bool), pa.array([note], pa.binary()))
+
+    dealt = rows.repartitionById(buckets, "bucket").sortWithinPartitions("t1")
+    return dealt.mapInArrow(lean(settle), "id long, mark long, loc long, kind int, edge int, lead boolean, note binary")
+
+
+NAMES = "id mark loc kind edge lead note"
+
+
+def _found(i, m, s, kind, edge, lead, _) -> pa.RecordBatch:
+    keep = np.flatnonzero((kind >= 0) | (edge > 0))
+    return _batch(NAMES, i[keep], m[keep], s[keep], kind[keep], edge[keep], lead[keep], pa.nulls(len(keep), pa.binary()))
+
+
+def boundaries(notes: list[np.ndarray]) -> dict[int, tuple[int, int, int, int, int, int, int]]:
+    """bucket -> (known, id, loc, shared, runs, shared, runs): whether the bucket's first digest goes on from buckets
+    before it, and the place of that digest's first run there; then, for its first and for its last gram, whether runs
+    of other digests have it in any bucket, and how many runs have it. The notes are those of _settled()."""
+    out: dict[int, list[int]] = {}
+    chain: dict | None = None
+
+    def close(c: dict | None) -> None:
+        for bucket, places in c["parts"] if c else ():
+            for p in places:
+                out[bucket][p : p + 2] = [int(c["shared"]), c["runs"]]
+
+    for note in sorted(notes, key=lambda x: x[0]):
+        bucket, single = int(note[0]), bool(note[17])
+        first, last = note[1:9].tolist(), note[9:17].tolist()
+        out[bucket] = [0, 0, 0, 0, 0, 0, 0]
+        if chain and chain["gram"] == first[:3]:
+            if chain["digest"] == first[3]:
+                out[bucket][:3] = [1, *chain["keeper"]]
+            else:
+                chain["shared"] = True
+            chain["shared"] |= first[6] > 1
+            chain["runs"] += first[7]
+        else:
+            close(chain)
+            chain = {"gram": first[:3], "shared": first[6] > 1, "runs": first[7], "parts": []}
+        chain["parts"].append((bucket, (3, 5) if single else (3,)))
+        if single:
+            chain["keeper"] = out[bucket][1:3] if out[bucket][0] and first[6] == 1 else last[4:6]
+            chain["digest"] = last[3]
+        else:
+            close(chain)
+            chain = {"gram": last[:3], "shared": last[6] > 1, "runs": last[7], "parts": [(bucket, (5,))], "digest": last[3], "keeper": last[4:6]}
+    close(chain)
+    return {b: tuple(x) for b, x in out.items()}
+
+
+def _compared(found: DataFrame, most: int) -> DataFrame:
+    """(id, mark, loc, kind) of _settled(), with what goes on across the ends of buckets compared. Each bucket tells of
+    its ends in one note, so the driver sees as many rows as there are buckets."""
+    ends = boundaries([np.frombuffer(r[0], np.int64) for r in found.where("kind = -1").select("note").collect()])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            i, m, s, kind, edge = (b.column(k).to_numpy() for k in range(5))
+            lead = b.column(5).to_numpy(zero_copy_only=False)
+            own = np.array([ends[x] for x in b.column(6).to_pylist()], np.int64).reshape(-1, 7)
+            gone = np.where(lead & (own[:, 0] == 1), (i != own[:, 1]) | (s != own[:, 2]), kind == 0)
+            at_first = (edge & 1) == 1
+            shared, n = np.where(at_first, own[:, 3], own[:, 5]), np.where(at_first, own[:, 4], own[:, 6])
+            kind = np.where(gone, 0, np.where(shared == 1, np.where(n > most, 2, 1), -2)).astype(np.int32)
+            keep = np.flatnonzero(kind >= 0)
+            yield _batch("id mark loc kind", i[keep], m[keep], s[keep], kind[keep])
 
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in streamed_groups(batches, ["gram"]):
-            n = len(g["gram"])
-            group = np.zeros(n, np.int64)
-            group[g["starts"]] = 1
-            group = np.cumsum(group) - 1
-            new = np.ones(n, bool)
-            new[1:] = (group[1:] != group[:-1]) | (g["digest"][1:] != g["digest"][:-1])
-            first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-            gone = g["gone"].astype(bool) | (g["id"] != g["id"][first]) | (g["loc"] != g["loc"][first])
-            odd = (g["gram"] & 1).astype(bool)
-            shared = odd | (np.bincount(group, new)[group] > 1)
-            keep = np.flatnonzero(gone | shared)
-            if len(keep):
-                kind = np.where(gone, 0, np.where(odd, 2, 1)).astype(np.int32)
-                yield _batch("id mark loc kind", g["id"][keep], g["mark"][keep], g["loc"][keep], kind[keep])
-
-    return rows.repartition("gram").sortWithinPartitions("gram", "digest", "id", "loc").mapInArrow(lean(settle), "id long, mark long, loc long, kind int")
+    inside = found.where("edge = 0 AND kind >= 0").select("id", "mark", "loc", "kind")
+    edges = found.where("edge > 0").select("id", "mark", "loc", "kind", "edge", "lead", "bucket")
+    return inside.union(edges.mapInArrow(lean(compare), "id long, mark long, loc long, kind int"))
 
 
 def _blocks(docs: DataFrame, partial: DataFrame, length: int) -> DataFrame:
@@ -358,27 +464,35 @@ def _across_boundaries(blocks: DataFrame, length: int) -> DataFrame:
     return dealt.join(firsts, ["bucket", "key"]).where("id <> id0 OR lo <> lo0").select("id", "mark", "lo", F.col("lo").alias("hi"))
 
 
-def repeats(docs: DataFrame, length: int = 100, sample: int = 2000, hot_docs: int = 300_000) -> DataFrame:
+def repeats(docs: DataFrame, length: int = 100, sample: int = 2000, bucket_rows: int = 1_000_000, most_buckets: int = 100_000, most: int = 300_000) -> DataFrame:
     """(id, mark, lo, hi): runs of starts whose `length`-byte string starts earlier too, from (id, mark, raw) rows.
 
-    1. Every document gives its runs as (gram, digest, id, mark, place). Of equal runs (same gram and digest) all but
-       the first are repeats as a whole, known within a slice or after the runs are dealt by gram and sorted; a run
-       whose gram no other bytes share is settled.
-    2. The others fetch their bytes from the text. Their suffixes are range-partitioned by leading tokens between
-       sampled splitters, and each bucket sorts the strings by multikey quicksort.
-    3. Runs of grams that over about `hot_docs` documents hold never come together by gram. They give their strings
-       singly, range-partitioned by the whole string and place; equal strings may cross a boundary there, and the
-       buckets' ends settle which ones continue from the bucket before.
+    1. Every document gives its runs, each under the suffix at its anchor. Splitters from a hash sample of documents
+       cut the suffixes, ordered by leading tokens, gram, digest of the run and place, into buckets of about
+       `bucket_rows`, through equal suffixes too, so that none is large however often a passage occurs. A bucket sorts
+       by multikey quicksort. Of equal runs all but the first are repeats as a whole; a run whose gram no other bytes
+       share is settled. What starts or ends a bucket is compared across its boundaries.
+    2. Runs that share a gram with other bytes fetch their bytes from the text. Their suffixes are range-partitioned by
+       leading tokens again, and each bucket sorts the single strings by multikey quicksort.
+    3. Runs of a gram that over `most` runs have never come together by gram. They give their strings singly,
+       range-partitioned by the whole string and place, and the ends of those buckets are compared as well.
+
+    Runs are equal if 16 leading bytes, a 64-bit hash of GRAM bytes and a 64-bit digest of all their bytes are.
     """
-    hot = hot_grams(docs, length, sample, hot_docs)
-    found = written(_settled(_dealt(docs, length, hot)), "runs")
+    size = docs.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(most_buckets, max(least, size // 30 // bucket_rows))
+    cuts = splitters(docs, length, buckets, max(sample, buckets))
+    settled = _settled(_dealt(docs, length, cuts), len(cuts) + 1, most)
+    settled = written(settled.withColumn("bucket", F.spark_partition_id()), "runs")
     tidy(docs.sparkSession)
+    found = _compared(settled, most)
     lo, span = F.shiftright("loc", 18), F.shiftright("loc", 9).bitwiseAND(511)
     out = found.where("kind = 0").select("id", "mark", lo.alias("lo"), (lo + span).alias("hi"))
     blocks = written(_blocks(docs, found.where("kind > 0"), length), "blocks")
     tidy(docs.sparkSession)
     out = out.union(_sorted_buckets(blocks.where("kind = 1"), length))
-    return out.union(_across_boundaries(blocks.where("kind = 2"), length)) if len(hot) else out
+    return out.union(_across_boundaries(blocks.where("kind = 2"), length))
 
 
 def dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text", length: int = 100, **how) -> DataFrame:
@@ -389,6 +503,8 @@ def dedup(docs: DataFrame, ident: str = "doc_id", text: str = "text", length: in
     character; `spans` are byte ranges of the original text. Null text counts as empty; null ids rank last. Rows that
     repeat an id rank by start alone, and of identical rows neither is earlier. An empty table gives no rows.
     """
+    if not GRAM <= length <= GRAM + 479:
+        raise ValueError(f"length must be {GRAM} to {GRAM + 479}: places in a run have nine bits")
     own = docs.select(F.col(ident).alias("doc"), F.coalesce(F.col(ident).cast("long"), F.lit(2**63 - 1)).alias("id"), F.xxhash64(text).alias("mark"), binary_text(text).alias("raw"))
     found = repeats(own.select("id", "mark", "raw").where(F.octet_length("raw") >= length), length, **how)
     by_doc = found.groupBy("id", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))

@@ -229,17 +229,37 @@ def overlapping(rng, n, sizes=(0, 900)):
     return out
 
 
-@pytest.mark.parametrize("hot", [None, 3])
-def test_suffix_dedup(spark, hot):
+@pytest.mark.parametrize("most,bucket_rows", [(300_000, 1_000_000), (3, 1_000_000), (300_000, 8), (3, 8)])
+def test_suffix_dedup(spark, most, bucket_rows):
     rng = np.random.default_rng(3)
     rows = [*overlapping(rng, 120), (500, "ab" * 400), (501, "ab" * 300), (502, "é" * 200), (503, ""), (504, "x" * 99), (505, "x" * 250)]
     rows += [(600 + i, rows[5][1]) for i in range(12)]
-    df = docs(spark, [(i, t, "s") for i, t in rows])
-    how = {} if hot is None else {"sample": 400, "hot_docs": hot}
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in suffix_dedup.dedup(df, **how).collect()}
+    df = docs(spark, [(i, t, "s") for i, t in rows]).repartition(7)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in suffix_dedup.dedup(df, most=most, bucket_rows=bucket_rows).collect()}
     assert got == suffix_dedup.brute_force([(i, t.encode()) for i, t in rows], 100)
 
 
+def test_suffix_buckets_cut_through_equal_suffixes(spark):
+    """A passage that every document holds lies in many buckets, whose ends are compared."""
+    rng = np.random.default_rng(8)
+    passage = bytes(rng.integers(97, 123, 400).astype(np.uint8)).decode()
+    rows = [(i, f"{'abc'[i % 3] * 40}{passage}{i % 2}") for i in range(90)]
+    df = docs(spark, [(i, t, "s") for i, t in rows]).repartition(45)
+    for most in (300_000, 5):
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in suffix_dedup.dedup(df, most=most, bucket_rows=4).collect()}
+        assert got == suffix_dedup.brute_force([(i, t.encode()) for i, t in rows], 100)
+
+
+def test_boundaries():
+    """Three buckets of one gram: its first digest goes on into the second, its second digest from there to the third."""
+    end = lambda gram, digest, place, kinds, n: [1, 1, gram, digest, *place, kinds, n]
+    notes = [[0, *end(3, 1, (9, 9), 1, 1), *end(7, 5, (2, 4), 1, 10), 0], [1, *end(7, 5, (3, 1), 2, 20), *end(7, 6, (1, 1), 2, 20), 1], [4, *end(7, 6, (8, 8), 1, 5), *end(9, 1, (1, 2), 1, 3), 0]]
+    assert suffix_dedup.boundaries([np.array(n) for n in notes]) == {0: (0, 0, 0, 0, 1, 1, 35), 1: (1, 2, 4, 1, 35, 1, 35), 4: (1, 1, 1, 1, 35, 0, 3)}
+    rng = np.random.default_rng(9)
+    rows, cuts = rng.integers(0, 4, (500, 3)), np.unique(rng.integers(0, 4, (10, 3)), axis=0)
+    assert suffix_dedup.bucket_of(rows, cuts).tolist() == [sum(tuple(c) <= tuple(r) for c in cuts.tolist()) for r in rows.tolist()]
+
+
 def test_suffix_dedup_over_segments():
     """Documents longer than a segment are cut with overlap, and nothing is lost at the cuts."""
     rng = np.random.default_rng(5)
