@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aggregates, graphs, predicates, related, scalars, sets, vectors, wider, windows
+from . import aggregates, graphs, predicates, predictions, related, scalars, sets, vectors, wider, windows
 from .base import QUERIES, SQL
 
-__all__ = ["aggregates", "graphs", "predicates", "related", "scalars", "sets", "vectors", "wider", "windows"]
+__all__ = ["aggregates", "graphs", "predicates", "predictions", "related", "scalars", "sets", "vectors", "wider", "windows"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,8 +57,9 @@ def upper_median(c: Column) -> Column:
 
 def entropy(df: DataFrame, weight: str) -> DataFrame:
     """One row: the entropy in nats of weights scaled to sum 1."""
-    p = F.col(weight) / F.sum(weight).over(W.partitionBy())
-    return df.select(p.alias("p")).where("p > 0").agg((-F.sum(F.col("p") * F.log("p"))).alias("entropy"))
+    w = F.col(weight)
+    own, total = F.sum(F.when(w > 0, w)), F.sum(w)
+    return df.agg((F.log(total) * own / total - F.sum(F.when(w > 0, w * F.log(w))) / total).alias("entropy"))
 
 
 def moments(c: Column) -> list[Column]:

@@ -13,8 +13,9 @@ from .files import metadata_merged
 
 @dataclass
 class Store:
-    """Rows (key, value, md) under a path. Each write makes a new version in full and then points to it, so readers
-    never see half a write and a failed one leaves the old version in place."""
+    """Rows (key, value, md) under a path. Each write makes a new version in full, and then a pointer to it under the next
+    number; readers follow the highest, so there is no moment without a version, and a failed write changes nothing.
+    Of two writers at once one fails. The pointer before stays for those who have just read it."""
 
     spark: SparkSession
     path: str
@@ -24,28 +25,35 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _numbers(self) -> list[int]:
+        p, fs = self._fs(self.path)
+        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n.removeprefix("current-")) for n in names if n.startswith("current-"))
+
     def read(self) -> DataFrame:
-        p, fs = self._fs(self.path + "/current")
-        if not fs.exists(p):
+        numbers = self._numbers()
+        if not numbers:
             return self.spark.createDataFrame([], f"key string, value {self.value}, md map<string,string>")
-        version = self.spark.read.text(self.path + "/current").first()[0]
+        version = self.spark.read.text(f"{self.path}/current-{numbers[-1]}").first()[0]
         return self.spark.read.parquet(f"{self.path}/{version}")
 
     def write(self, rows: DataFrame) -> None:
-        version = "v" + uuid.uuid4().hex
+        numbers, version = self._numbers(), "v" + uuid.uuid4().hex
         rows.select("key", "value", "md").write.parquet(f"{self.path}/{version}")
-        old, fs = self._fs(self.path + "/current")
-        new, _ = self._fs(f"{self.path}/next-{version}")
+        new, fs = self._fs(f"{self.path}/next-{version}")
         out = fs.create(new, True)
         out.write(bytearray(version.encode()))
         out.close()
-        fs.delete(old, False)
-        fs.rename(new, old)
+        to, _ = self._fs(f"{self.path}/current-{numbers[-1] + 1 if numbers else 1}")
+        if fs.exists(to) or not fs.rename(new, to):
+            raise RuntimeError(f"another writer has made {to}")
+        for n in numbers[:-1]:
+            fs.delete(self._fs(f"{self.path}/current-{n}")[0], False)
 
     def set(self, rows: DataFrame) -> None:
         """Stores (key, value[, md]) rows; known keys keep their metadata unless new ones come along."""
         rows = rows if "md" in rows.columns else rows.withColumn("md", F.lit(None).cast("map<string,string>"))
-        old, new = self.read(), rows.groupBy("key").agg(F.max_by(F.struct("value", "md"), F.lit(1)).alias("r")).select("key", "r.value", "r.md")
+        old, new = self.read(), rows.groupBy("key").agg(F.max_by(F.struct("value", "md"), F.struct("value", F.to_json("md"))).alias("r")).select("key", "r.value", "r.md")
         both = old.alias("o").join(new.alias("n"), "key", "full")
         fresh = F.col("n.value").isNotNull()
         self.write(both.select("key", F.when(fresh, F.col("n.value")).otherwise(F.col("o.value")).alias("value"), F.coalesce("n.md", "o.md").alias("md")))

@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.functions import names
-from quern.operators import clusters, labels, paths, prompts
+from quern.functions import names, semi
+from quern.operators import clusters, joins, labels, paths, predict, prompts
 from quern.plans import features, tasks
 from quern.sources import archives, stores
 
@@ -196,3 +196,30 @@ def test_ppmi_embeddings_drop_no_item(spark):
     assert {r["item"] for r in vectors.ppmi_embeddings(m, most_items=3).collect()} == set("abc")
     with pytest.raises(ValueError):
         vectors.ppmi_embeddings(m, most_items=2)
+
+
+def test_predictions_by_name(spark):
+    rng = np.random.default_rng(4)
+    x = rng.uniform(-1, 1, (300, 2))
+    rows = [(i, v.tolist(), int(v[0] * v[1] > 0), float(3 * v[0] - v[1])) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, y int, t double").repartition(2).cache()
+    train, test = df.where("id % 3 <> 0"), df.where("id % 3 = 0")
+    right = lambda s, cut: sum((r["score"] > cut) == bool(rows[r["id"]][2]) for r in s.collect()) / 100
+    assert right(predict.classified(train, test, "id", "v", "y", "rbf", 2, gamma=3.0, features=128), 0) > 0.85 and right(predict.classified(train, test, "id", "v", "y", "knn", 2), 0.5) > 0.85
+    for method, most in (("linear", 0.05), ("ridge", 0.2), ("knn", 0.6)):
+        got = predict.predicted(train, test, "id", "v", "t", method, 2).collect()
+        assert len(got) == 100 and np.mean([abs(r["prediction"] - rows[r["id"]][3]) for r in got]) < most
+    values, vecs = predict.eigenpairs(np.diag([1.0, 4.0, 2.0]))
+    assert values.tolist() == [4, 2, 1] and abs(vecs[1, 0]) == 1 and len(predict.eigenpairs(np.diag([1.0, 4.0, 2.0]), 0.8)[0]) == 2
+    few = spark.createDataFrame([(i, 1.0 if i < 9 else -1.0) for i in range(40)], "id long, value double")
+    assert predict.tasks(few, "t", "class").count() == 0 and predict.tasks(few, "t", "class", 9).count() == 40
+    steep = spark.createDataFrame([(1, 0.0), (2, 5000.0)], "id long, value double")
+    assert {r["task"] for r in predict.tasks(steep, "s", "numeric").collect()} == {"s-regression-orig", "s-regression-log"}
+
+
+def test_searches_know_no_depth(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(40)] + [(100, 101), (101, 100)], "id long, up long")
+    got = {r["id"]: r["ancestor"] for r in joins.closest_ancestor(chain, "id", "up", F.col("id") % 30 == 0).collect()}
+    assert got == {i: 30 if i >= 30 else 0 for i in range(40)}
+    deep = spark.createDataFrame([('{"a":{"b":{"c":{"d":{"e":{"f":1}}}}}}',)], "j string")
+    assert {r["path"] for r in semi.key_paths(deep, "j").collect()} == {"a", "a.b", "a.b.c", "a.b.c.d", "a.b.c.d.e", "a.b.c.d.e.f"}
