@@ -43,7 +43,8 @@ def mix(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str
     the words taken within about one largest document of the target. No document gets over `cap` copies.
 
     The rank is found in two levels, so no task ever sorts a whole source: a row number inside chunks of 2^chunk_bits
-    ids of one (source, size), and a running total over the table of chunk counts. Rows are shuffled once.
+    ids of one (source, size) (rows without an id: of about as many text hashes), and a running total over the table
+    of chunk counts. Rows are shuffled once.
     Null text has size 0, a null source is a source of its own, null ids stand last, repeated rows are documents of
     their own (interchangeable, so reruns agree); a source of size 0 takes nothing; an empty table gives no rows.
     """
@@ -53,7 +54,7 @@ def mix(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str
     sized = (
         docs.withColumn(size, F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long"))
         .withColumn(key, F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")))
-        .withColumn(chunk, F.coalesce(F.shiftright(F.col(ident).cast("long"), chunk_bits), F.lit(2**62)))
+        .withColumn(chunk, F.coalesce(F.shiftright(F.col(ident).cast("long"), chunk_bits), F.lit(2**62) + F.shiftright(F.xxhash64(F.col(text)), 44)))
         .withColumn(tie, F.xxhash64(F.col(text)))
     )
     own = W.partitionBy(key, size, chunk).orderBy(F.col(ident).asc_nulls_last(), tie)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import fresh, lean
+from ._common import discard, fresh, lean, written
 
 #: A word, or the end of a sentence.
 TOKEN = re.compile(r"\w+|[.!?\n]")
@@ -191,26 +191,36 @@ def held_out(ident: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(ident).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def within(sizes: list[tuple[int, int, int]], most_bytes: int) -> list[int]:
+    """Which of (order, ident, bytes) a sample takes: in their order, all that still fit; one that does not is passed over."""
+    out, left = [], most_bytes
+    for _, ident, size in sorted(sizes):
+        if size <= left:
+            out.append(ident)
+            left -= size
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = 10_000, most_bytes: int = 40 << 20, **how) -> Model:
-    """Fits on the labelled documents that are not held out, at most `most_rows` of them and `most_bytes` of text (the
-    bounds of the sample), of any length, in the order of a hash of the id. Labels that contradict each other for one
-    id are left out; of rows that repeat an id the smallest text counts."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col(ident).isNotNull() & ~held_out(ident)).groupBy(ident).agg(F.min(label).alias("y"), F.max(label).alias("y2")).where("y = y2").select(F.col(ident).alias("ident_"), "y")
-    order = F.xxhash64(F.col("ident_"), F.lit(17)).alias("order_")
-    chosen = known.orderBy(order, "ident_").limit(most_rows)
-    own = docs.select(F.col(ident).alias("ident_"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows = own.join(F.broadcast(chosen), "ident_").groupBy("ident_", "y").agg(F.min("t").alias("t"))
-    left, last = most_bytes, None
-    for at, size in sorted(rows.select(order, F.octet_length("t").alias("size_")).where(F.col("size_") <= most_bytes).collect()):
-        if (left := left - size) < 0:
-            break
-        last = at
-    kept = [(r["t"], r["y"]) for r in sorted(rows.where((order <= F.lit(last)) & (F.octet_length("t") <= most_bytes)).collect())] if last is not None else []
+    """Fits on the labelled documents that are not held out, of any length, drawn by a hash of the id.
+
+    The bounds of the sample are `most_rows` rows and `most_bytes` of text; both hold before any text is collected.
+    Labels that contradict each other for one id are left out; of rows that repeat an id the smallest text counts.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & F.col(ident).isNotNull() & ~held_out(ident)).groupBy(F.col(ident).cast("long").alias("ident_")).agg(F.min(label).alias("y"), F.max(label).alias("y2")).where("y = y2").select("ident_", "y")
+    chosen = known.orderBy(F.xxhash64("ident_", F.lit(17)), "ident_").limit(most_rows)
+    own = docs.select(F.col(ident).cast("long").alias("ident_"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    rows = written(own.join(F.broadcast(chosen), "ident_").groupBy("ident_", "y").agg(F.min("t").alias("t")), "labelled")
+    drawn = within([tuple(r) for r in rows.select(F.xxhash64("ident_", F.lit(17)), "ident_", F.octet_length("t")).collect()], most_bytes)
+    ids = docs.sparkSession.createDataFrame([(i,) for i in drawn], "ident_ long")
+    kept = [(r["t"], r["y"]) for r in rows.join(F.broadcast(ids), "ident_").sort("ident_").collect()]
+    discard(rows)
     return fit([t for t, _ in kept], np.array([y for _, y in kept]), **how)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """docs with the model's score of the whole text. Null and empty texts get the score of the bias alone."""
+    """docs with the model's score of the whole text. Null and empty texts get the score of the bias alone; repeated rows
+    stay repeated; an empty table gives no rows."""
     names = [*docs.columns, *fresh(docs, name)]
     at = docs.columns.index(text)
 
@@ -223,7 +233,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
 
 
 def offending(docs: DataFrame, model: Model, text: str = "text", ident: str = "doc_id", least: float = 0.5) -> DataFrame:
-    """(ident, start, end, probability): the sentences to which the document's score is due."""
+    """(ident, start, end, probability): the sentences to which the document's score is due; none of null, empty and
+    harmless texts, and those of repeated rows as often as the rows."""
     slim = docs.select(F.col(ident).alias("ident"), F.col(text).alias("t"))
     schema = slim.selectExpr("ident", "0L as start", "0L as end", "0D as probability").schema
 

@@ -829,6 +829,28 @@ def test_long_texts_are_drawn_and_not_toxic_by_length(spark):
     assert model.score("vilest.") >= 0.5 > model.score("word1.")
 
 
+def test_sample_of_labelled_texts(spark, monkeypatch):
+    assert toxicity.within([(3, 30, 5), (1, 10, 4), (2, 20, 100), (4, 40, 2), (5, 50, 1)], 10) == [10, 30, 50] and toxicity.within([], 5) == []
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y: seen.append((texts, y.tolist())))
+    rows = [(i, f"text of {i} " * (30_000 if i % 7 == 0 else 1), "s") for i in range(60)] + [(1, "a smaller one", "s"), (2, None, "s")]
+    toxicity.train(docs(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(60)] + [(4, 1), (4, 0)], "doc_id long, toxic int"), most_bytes=900_000)
+    (texts, y), = seen
+    own = [i for i in range(60) if i != 4 and zlib.crc32(str(i).encode()) % 5]
+    large = sum(len(t) > 100_000 for t in texts)
+    assert 1 <= large <= 3 and sum(map(len, texts)) <= 900_000 and len(texts) == len(y) == sum(i % 7 > 0 for i in own) + large and "a smaller one" in texts and ("" in texts) == (2 in own)
+
+
+def test_offending_on_odd_tables(odd, none):
+    model = toxicity.Model({"=w5": 9.0}, -4.0)
+    assert toxicity.offending(none, model).count() == 0 and {r["doc_id"] for r in toxicity.offending(odd, model).collect()} == {4, 5}
+
+
+def test_mixing_rows_without_ids(spark):
+    df = docs(spark, [(None, f"w{i % 50} w", "s") for i in range(400)] + [(i, "a b c", "s") for i in range(50)])
+    assert sum(r["taken"] for r in mixing.mix(df).collect()) == pytest.approx(1.5 * 950, abs=6)
+
+
 # --- pipeline -----------------------------------------------------------------------------------------------------
 
 
