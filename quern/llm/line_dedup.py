@@ -113,7 +113,7 @@ def windows(own: Layout, least_words: int, passage_words: int | None) -> tuple[n
 
 
 def digests(own: Layout, first: np.ndarray, past: np.ndarray) -> list[np.ndarray]:
-    """Two 64-bit hashes of the words of each window: polynomials of the word hashes, from running sums."""
+    """A 64-bit and a 32-bit hash of the words of each window: polynomials of the word hashes, from running sums."""
     s, e = own.chunks[first], own.chunks[past]
     out = []
     for k, base in enumerate(BASES):
@@ -122,7 +122,7 @@ def digests(own: Layout, first: np.ndarray, past: np.ndarray) -> list[np.ndarray
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up(base)[:-1])])
         d = (sums[e] - sums[s]) * up(pow(base, -1, 1 << 64))[s]
         d = (d ^ d >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-        out.append((d ^ d >> np.uint64(29)).view(np.int64))
+        out.append(((d ^ d >> np.uint64(29)) >> np.uint64(32 * k)).view(np.int64))
     return out
 
 
@@ -145,7 +145,7 @@ def _portions(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[np.ndarray
 
 
 def _dealt(docs: DataFrame, kind: str, least_words: int, passage_words: int | None) -> DataFrame:
-    """(h1, h2, id, mark, loc, gone): every window's 128-bit digest and place; gone: a repeat within the same portion.
+    """(h1, h2, id, mark, loc, gone): every window's 96-bit digest and place; gone: a repeat within the same portion.
 
     Of equal windows in a portion only the first goes on under its digest, so a line that a third of all documents
     hold meets as often as there are portions; the rest are repeats already and keep a key of their own.
