@@ -51,7 +51,7 @@ def scott_bin(spark, d):
 
 @query("SELECT event_type, list_sort(list(value))[CAST(floor(count(value) / 2) AS INT) + 1] AS median FROM events GROUP BY 1")
 def upper_median(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(A.upper_median(F.col("value")).alias("median"))
+    return A.upper_medians(table(spark, d, "events"), "event_type", "value")
 
 
 @query("""SELECT l_returnflag, count(l_quantity) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS std, round(var_samp(l_quantity), 6) AS var,

@@ -50,9 +50,22 @@ def scott_width(c: Column) -> Column:
     return F.lit(3.49) * F.stddev_pop(c) * F.pow(F.count(c), F.lit(-1.0 / 3))
 
 
-def upper_median(c: Column) -> Column:
-    """sorted[n // 2] of a group: one of the values, never a mean of two."""
-    return F.get(F.array_sort(F.collect_list(c)), F.floor(F.count(c) / 2).cast("int"))
+def upper_medians(df: DataFrame, by: str, col: str) -> DataFrame:
+    """(by, median): sorted[n // 2] of a group's numbers, one of the values and never a mean of two; null without any.
+
+    Equal values are counted first. Counts by range tell which range holds a group's median; only its values are
+    ranked, so no task sees a whole group.
+    """
+    cut = df.groupBy(by, col).agg(F.count(col).alias("n_")).withColumn("range_", F.coalesce(ranges(df, col), F.lit(0)))
+    group = W.partitionBy(by)
+    before = F.coalesce(F.sum("t_").over(group.orderBy("range_").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    totals = cut.groupBy(by, "range_").agg(F.sum("n_").alias("t_")).withColumn("before_", before).withColumn("all_", F.sum("t_").over(group))
+    mid = F.floor(F.col("all_") / 2)
+    holds = ((F.col("before_") <= mid) & (mid < F.col("before_") + F.col("t_"))) | (F.col("all_") == 0)
+    place = totals.where(holds).select(F.col(by).alias("by_"), F.col("range_").alias("at_"), (mid - F.col("before_")).alias("left_"))
+    inside = cut.join(place, F.col(by).eqNullSafe(F.col("by_")) & (F.col("range_") == F.col("at_")))
+    passed = F.sum("n_").over(W.partitionBy(by, "range_").orderBy(col))
+    return inside.withColumn("passed_", passed).groupBy(by).agg(F.min(F.when(F.col("passed_") > F.col("left_"), F.col(col))).alias("median"))
 
 
 def entropy(df: DataFrame, weight: str) -> DataFrame:

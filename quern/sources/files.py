@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.strings import specialize
+from ..operators import sampling
 
 
 def sniff(lines: list[str]) -> str:
@@ -150,8 +151,18 @@ def metadata_merged(stored: DataFrame, fresh: DataFrame, key: str = "key", md: s
 
 
 def surrogate_ids(df: DataFrame, key: str, stored: DataFrame) -> DataFrame:
-    """(key, id): stored ids, and the next numbers for new keys in key order."""
-    top = F.broadcast(stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")))
-    new = df.select(key).distinct().join(stored, key, "left_anti").crossJoin(top)
-    numbered = new.select(key, (F.row_number().over(W.orderBy(key)) + F.col("top")).alias("id"))
-    return stored.select(key, "id").unionByName(numbered)
+    """(key, id): stored ids, and the next numbers for new keys in key order, null first.
+
+    Keys are numbered inside ranges between a few of them; the sizes of the ranges, added up, give each its start.
+    """
+    new = df.select(key).distinct().join(stored, key, "left_anti")
+    part = F.lit(0)
+    for (cut,) in sampling.at_most(new.where(F.col(key).isNotNull()), 63, key).collect():
+        part = part + (F.col(key) > F.lit(cut)).cast("int")
+    placed = new.select(key, F.coalesce(part, F.lit(0)).alias("part_"))
+    before = W.orderBy("part_").rowsBetween(W.unboundedPreceding, -1)
+    starts = placed.groupBy("part_").agg(F.count("*").alias("n_")).select("part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("start_"))
+    top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top_"))
+    local = F.row_number().over(W.partitionBy("part_").orderBy(key))
+    numbered = placed.withColumn("local_", local).join(F.broadcast(starts), "part_").crossJoin(F.broadcast(top))
+    return stored.select(key, "id").unionByName(numbered.select(key, (F.col("local_") + F.col("start_") + F.col("top_")).alias("id")))

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,20 +20,26 @@ def signature(df: DataFrame, name: str, body: str):
 def recent_duplicates(df: DataFrame, by: list[str], time: str, tie: str, recency: float) -> DataFrame:
     """df with copy_of: the time of the original that a row repeats, or null for originals.
 
-    Recency runs from the original, not from the last copy, so originals must be found in order: a fold over the
-    sorted times of each key.
+    Recency runs from the original, not from the last copy, so originals must be found in order: a task goes through
+    its sorted rows and holds only the last original. Rows without a time are originals.
     """
-    row = F.struct(F.col(time).cast("double").alias("t"), F.col(tie).alias("i"))
-    zero = F.struct(F.lit(None).cast("double").alias("o"), F.array().cast(f"array<struct<i:{df.schema[tie].dataType.simpleString()},o:double>>").alias("out"))
-
-    def step(acc, x):
-        copy = acc["o"].isNotNull() & (x["t"] - acc["o"] <= recency)
-        one = F.struct(x["i"].alias("i"), F.when(copy, acc["o"]).alias("o"))
-        return F.struct(F.when(copy, acc["o"]).otherwise(x["t"]).alias("o"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-    folded = df.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("a")).select(F.explode(F.aggregate("a", zero, step)["out"]).alias("e"))
-    marks = folded.select(F.col("e.i").alias(tie), F.col("e.o").alias("copy_of"))
-    return df.join(marks, tie)
+    timed = df.withColumn("copy_of", F.col(time).cast("double"))
+    at = [timed.columns.index(c) for c in by]
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, first = None, None
+        for b in batches:
+            out = []
+            for *own, t in zip(*(b.column(i).to_pylist() for i in at), b.column(b.num_columns - 1).to_pylist()):
+                if own != key:
+                    key, first = own, None
+                copy = first is not None and t is not None and t - first <= recency
+                out.append(first if copy else None)
+                if not copy:
+                    first = t
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.float64())], names=b.schema.names)
+
+    return timed.repartition(*by).sortWithinPartitions(*by, "copy_of", tie).mapInArrow(mark, timed.schema)
 
 
 def stream_originals(stream: DataFrame, by: list[str], time: str, recency: str) -> DataFrame:

@@ -161,6 +161,32 @@ def test_sources(spark, tmp_path):
     assert sorted(map(tuple, files.surrogate_ids(spark.createDataFrame([("x",), ("b",), ("a",)], "k string"), "k", stored).collect())) == [("a", 6), ("b", 7), ("x", 5)]
 
 
+def test_order_without_whole_groups(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, float(rng.randrange(40))]), i) for i in range(900)] + [("none", None, 900)]
+    df = spark.createDataFrame(rows, "k string, t double, i int")
+    kinds = {r[0] for r in rows}
+    own = {k: sorted(t for j, t, _ in rows if j == k and t is not None) for k in kinds}
+    got = {r["k"]: r["median"] for r in aggregates.upper_medians(df, "k", "t").collect()}
+    assert got == {k: v[len(v) // 2] if v else None for k, v in own.items()}
+    assert aggregates.upper_medians(df.limit(0), "k", "t").count() == 0
+    want, first = {}, {}
+    for k, t, i in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0.0, r[2])):
+        o = first.get(k)
+        want[i] = o if o is not None and t is not None and t - o <= 7 else None
+        if want[i] is None:
+            first[k] = t
+    marked = log.recent_duplicates(df.repartition(7), ["k"], "t", "i", 7.0)
+    assert marked.columns == ["k", "t", "i", "copy_of"]
+    assert {r["i"]: r["copy_of"] for r in marked.collect()} == want
+    assert log.recent_duplicates(df.limit(0), ["k"], "t", "i", 7.0).count() == 0
+    keys = [(f"k{rng.randrange(5000)}",) for _ in range(1500)] + [(None,)]
+    stored = spark.createDataFrame([("k1", 5), ("k77", 9)], "k string, id long")
+    new = sorted({k for k, in keys if k not in ("k1", "k77")}, key=lambda k: (k is not None, k or ""))
+    ids = {r["k"]: r["id"] for r in files.surrogate_ids(spark.createDataFrame(keys, "k string"), "k", stored).collect()}
+    assert ids == {"k1": 5, "k77": 9} | {k: 10 + n for n, k in enumerate(new)}
+
+
 def test_streams(spark, tmp_path):
     rows = [(1, "a", "2024-01-01 00:00:00"), (2, "a", "2024-01-01 00:00:05"), (3, "b", "2024-01-01 00:00:06")]
     df = spark.createDataFrame(rows, "id int, k string, t string").withColumn("t", F.col("t").cast("timestamp"))
