@@ -54,9 +54,14 @@ def binned(labels: DataFrame, bins: int = 20) -> DataFrame:
     return labels.select("id", F.least(F.floor((F.col("value") - s["a"]) / width), F.lit(bins - 1)).cast("double").alias("bin"))
 
 
-def signed_rows(labels: DataFrame) -> DataFrame:
-    """(value, id, y): per label value, 1 for ids that have it and -1 for the others; for labels of few values."""
+def signed_rows(labels: DataFrame, most_values: int = 1000) -> DataFrame:
+    """(value, id, y): per label value, 1 for ids that have it and -1 for the others.
+
+    There is a row for each id and value, and every task holds all values: over `most_values` raise an error.
+    """
     values, ids = labels.select("value").distinct(), labels.select("id").distinct()
+    if values.limit(most_values + 1).count() > most_values:
+        raise ValueError(f"signed_rows takes at most {most_values} label values")
     have = labels.select("value", "id").distinct().withColumn("y", F.lit(1))
     return ids.crossJoin(F.broadcast(values)).join(have, ["value", "id"], "left").select("value", "id", F.coalesce("y", F.lit(-1)).alias("y"))
 

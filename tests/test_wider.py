@@ -223,3 +223,11 @@ def test_searches_know_no_depth(spark):
     assert got == {i: 30 if i >= 30 else 0 for i in range(40)}
     deep = spark.createDataFrame([('{"a":{"b":{"c":{"d":{"e":{"f":1}}}}}}',)], "j string")
     assert {r["path"] for r in semi.key_paths(deep, "j").collect()} == {"a", "a.b", "a.b.c", "a.b.c.d", "a.b.c.d.e", "a.b.c.d.e.f"}
+
+
+def test_signed_rows_bounds_its_values(spark):
+    own = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "a"), (3, "c")], "id int, value string")
+    got = {(r["value"], r["id"]): r["y"] for r in labels.signed_rows(own, 3).collect()}
+    assert got == {(v, i): 1 if (i, v) in {(1, "a"), (1, "b"), (2, "a"), (3, "c")} else -1 for v in "abc" for i in (1, 2, 3)}
+    with pytest.raises(ValueError):
+        labels.signed_rows(own, 2)
